@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .fingerprints import op2_spotsigs
+from .idfiles import op5_id_files
+from .packing import op9_packing
 from .pii import op10_pii
 from .sharding import op4_virtual_slots
 
 QUERIES = {
     "op2_spotsigs": op2_spotsigs,
     "op4_virtual_slots": op4_virtual_slots,
+    "op5_id_files": op5_id_files,
+    "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {}
