@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op2_spotsigs
 from .idfiles import op5_id_files
+from .langid import op8_langid
 from .packing import op9_packing
 from .pii import op10_pii
 from .sharding import op4_virtual_slots
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_spotsigs": op2_spotsigs,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_id_files": op5_id_files,
+    "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
