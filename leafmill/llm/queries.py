@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op2_spotsigs
 from .idfiles import op5_id_files
 from .langid import op8_langid
+from .near import OP6_SQL, op6_lsh_forest
 from .packing import op9_packing
 from .pii import op10_pii
 from .sharding import op4_virtual_slots
@@ -13,8 +14,11 @@ QUERIES = {
     "op2_spotsigs": op2_spotsigs,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_id_files": op5_id_files,
+    "op6_lsh_forest": op6_lsh_forest,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_lsh_forest": OP6_SQL,
+}
