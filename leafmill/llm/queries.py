@@ -8,10 +8,12 @@ from .langid import op8_langid
 from .near import OP6_SQL, op6_lsh_forest
 from .packing import op9_packing
 from .pii import op10_pii
+from .repeats import OP3_SQL, op3_phrase_automata
 from .sharding import op4_virtual_slots
 
 QUERIES = {
     "op2_spotsigs": op2_spotsigs,
+    "op3_phrase_automata": op3_phrase_automata,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_id_files": op5_id_files,
     "op6_lsh_forest": op6_lsh_forest,
@@ -20,5 +22,6 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {
+    "op3_phrase_automata": OP3_SQL,
     "op6_lsh_forest": OP6_SQL,
 }
