@@ -10,8 +10,10 @@ from .packing import op9_packing
 from .pii import op10_pii
 from .repeats import OP3_SQL, op3_phrase_automata
 from .sharding import op4_virtual_slots
+from .topk import OP1_SQL, op1_kd_trees
 
 QUERIES = {
+    "op1_kd_trees": op1_kd_trees,
     "op2_spotsigs": op2_spotsigs,
     "op3_phrase_automata": op3_phrase_automata,
     "op4_virtual_slots": op4_virtual_slots,
@@ -22,6 +24,7 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {
+    "op1_kd_trees": OP1_SQL,
     "op3_phrase_automata": OP3_SQL,
     "op6_lsh_forest": OP6_SQL,
 }
