@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, shared_dir, written
 from .links import only
@@ -198,6 +199,28 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "d1", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256")), parts.select("doc_id", "d1", "kept")
 
 
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeats gone from `text` (kept words joined by a space); other texts stay as they are."""
+    folder = shared_dir(docs.sparkSession)
+    rows, parts = without_repeats(docs)
+    changed = written(rows.where("n_removed > 0").select("doc_id", F.col("d1").alias("__d1"), F.lit(True).alias("__cut")).distinct(), f"{folder}/changed")
+    ids = written(changed.select("doc_id").distinct(), f"{folder}/changed_ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__d1", T.LongType())])
+    names = schema.names
+
+    def name(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([digest(words.of(i))[0] for i in range(part.num_rows)], pa.int64())], names)
+
+    named = only(docs, ids, "doc_id").mapInArrow(name, schema)
+    kept = parts.select("doc_id", F.col("d1").alias("__d1"), F.col("kept").alias("__kept"))
+    cut = named.join(changed, ["doc_id", "__d1"], "left").join(kept, ["doc_id", "__d1"], "left")
+    text = F.when(F.col("__cut"), F.coalesce("__kept", F.lit(""))).otherwise(F.col("text"))
+    return only(docs, ids, "doc_id", "left_anti").union(cut.withColumn("text", text).select(docs.columns))
+
+
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))[0].select("doc_id", "n_words", "n_removed", "kept_sha256")
 
