@@ -7,6 +7,7 @@ from .idfiles import op5_id_files
 from .langid import op8_langid
 from .near import OP6_SQL, op6_lsh_forest
 from .packing import op9_packing
+from .pieces import op7_sentencepiece
 from .pii import op10_pii
 from .repeats import OP3_SQL, op3_phrase_automata
 from .sharding import op4_virtual_slots
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_virtual_slots": op4_virtual_slots,
     "op5_id_files": op5_id_files,
     "op6_lsh_forest": op6_lsh_forest,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,

@@ -28,16 +28,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class Remembered:
+    """Ids of texts from the ids of their distinct pieces, which are kept until there are too many."""
 
-        self.library = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        mark = self._whole(["a", "b", MARK, f"a {MARK} b", " a\n\tb "])
-        self.by_piece = len(mark[2]) == 1 and mark[3] == [*mark[0], *mark[2], *mark[1]] and mark[4] == [*mark[0], *mark[1]]
-        self.mark = mark[2][0] if self.by_piece else -1
+    def __init__(self):
         self._forget()
 
     def _forget(self) -> None:
@@ -47,20 +41,15 @@ class Encoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """A list of pieces for each text."""
+        raise NotImplementedError
+
+    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+        raise NotImplementedError
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if MARK not in p and SPECIAL not in p]
-        odd = [p for p in pieces if MARK in p or SPECIAL in p]
-        found: list[np.ndarray] = []
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, ids in zip(groups, self._whole([f" {MARK} ".join(g) for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
-            cut = np.nonzero(ids == self.mark)[0]
-            assert len(cut) == len(group) - 1
-            found += [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]
-        found += [np.array(x, np.uint32) for x in self._whole(odd)]
+        found = self.ids_of(pieces)
         sizes = np.array([len(x) for x in found], np.int64)
         n, total = len(self.at), int(sizes.sum())
         while self.used + total > len(self.pool):
@@ -71,15 +60,11 @@ class Encoder:
         self.starts[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(found)] = sizes
         self.used += total
-        self.at.update(zip(plain + odd, range(n, n + len(found)), strict=True))
+        self.at.update(zip(pieces, range(n, n + len(found)), strict=True))
 
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, `end` after each text, and where each text's ids end."""
-        texts = pc.fill_null(texts, "")
-        if not self.by_piece:
-            lists = [[*x, end] for x in self._whole(texts.to_pylist())]
-            return np.array([i for x in lists for i in x], np.uint32), np.cumsum([len(x) for x in lists])
-        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's ids end."""
+        pieces = self.pieces(texts)
         bounds = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
@@ -88,15 +73,56 @@ class Encoder:
         if new := [p for p in names if p not in self.at]:
             self._learn(new)
         index = np.array([self.at[p] for p in names], np.int64)[np.asarray(coded.indices)] if names else np.zeros(0, np.int64)
-        bounds = bounds - bounds[0]
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.pool[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(total)]
-        text_ends = np.concatenate([[0], ends])[bounds[1:]]
-        out = np.full(total + len(texts), end, np.uint32)
-        lengths = np.diff(text_ends, prepend=0)
-        out[np.arange(total) + np.repeat(np.arange(len(texts)), lengths)] = flat
+        return flat, np.concatenate([[0], ends])[bounds[1:] - bounds[0]]
+
+
+class Encoder(Remembered):
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        mark = self._whole(["a", "b", MARK, f"a {MARK} b", " a\n\tb "])
+        self.by_piece = len(mark[2]) == 1 and mark[3] == [*mark[0], *mark[2], *mark[1]] and mark[4] == [*mark[0], *mark[1]]
+        self.mark = mark[2][0] if self.by_piece else -1
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        return pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+
+    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+        """Plain pieces are encoded many to a text, a mark between them."""
+        found: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if MARK not in p and SPECIAL not in p]
+        odd = [i for i, p in enumerate(pieces) if MARK in p or SPECIAL in p]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, ids in zip(groups, self._whole([f" {MARK} ".join(pieces[i] for i in g) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            cut = np.nonzero(ids == self.mark)[0]
+            assert len(cut) == len(group) - 1
+            for k, (i, x) in enumerate(zip(group, np.split(ids, cut), strict=True)):
+                found[i] = x[1:] if k else x
+        for i, x in zip(odd, self._whole([pieces[i] for i in odd]), strict=True):
+            found[i] = np.array(x, np.uint32)
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, `end` after each text, and where each text's ids end."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            lists = [[*x, end] for x in self._whole(texts.to_pylist())]
+            return np.array([i for x in lists for i in x], np.uint32), np.cumsum([len(x) for x in lists])
+        flat, text_ends = self.joined(texts)
+        out = np.full(len(flat) + len(texts), end, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(text_ends, prepend=0))] = flat
         return out, text_ends + np.arange(1, len(texts) + 1)
 
 
