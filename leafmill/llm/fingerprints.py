@@ -1,10 +1,11 @@
 """Document fingerprints by SpotSigs (DataFrame and SQL functions only).
 
 A signature is a common word (the anchor) with the chain of the next CHAIN content
-words, common words between them skipped. A text's fingerprint is its sorted set of
-signatures, eight hex digits each. A text with no such chain takes each word as an
-anchor with the words that follow (fewer near the end), so any text with a word has a
-signature. Two fingerprints are compared by Jaccard, pruned by the ratio of set sizes.
+words, common words between them skipped. Where common words are rare (lists, tables), a
+content word with GAP content words right after it is an anchor too. A text's fingerprint
+is its sorted set of signatures, eight hex digits each. A text with no such chain takes
+each word as an anchor with the words that follow (fewer near the end), so any text with
+a word has a signature. Two fingerprints are compared by Jaccard, pruned by the ratio of set sizes.
 
 Null text is the empty text; the empty text has the empty fingerprint, which is like
 another empty one (1) and unlike all others (0). Rows that repeat a doc_id are put in
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, quantile_cuts, range_of, shuffle_parts
 
-CHAIN = 2
+CHAIN, GAP = 2, 3
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "the of and to in a is that it for on was with be as by this are at an from or which "
@@ -31,15 +32,16 @@ ANCHORS = (
 def signature_set(text: Column) -> Column:
     """Sorted distinct signatures of a text, as longs under 2^32."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    start = F.struct(F.lit("").alias("one"), F.lit("").alias("two"), F.array().cast("array<bigint>").alias("found"))
+    start = F.struct(F.lit("").alias("one"), F.lit("").alias("two"), F.lit(0).alias("run"), F.array().cast("array<bigint>").alias("found"))
 
     def step(acc: Column, w: Column) -> Column:
-        """From the last word to the first: the two content words that follow are at hand."""
+        """From the last word to the first: the two content words that follow, and how many come in a row, are at hand."""
+        common = w.isin(ANCHORS)
         spot = F.xxhash64(w, acc["one"], acc["two"]).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.when(
-            w.isin(ANCHORS),
-            F.struct(acc["one"].alias("one"), acc["two"].alias("two"), F.when(acc["two"] != "", F.array_append(acc["found"], spot)).otherwise(acc["found"]).alias("found")),
-        ).otherwise(F.struct(w.alias("one"), acc["one"].alias("two"), acc["found"].alias("found")))
+        found = F.when(F.when(common, acc["two"] != "").otherwise(acc["run"] >= GAP), F.array_append(acc["found"], spot)).otherwise(acc["found"])
+        return F.struct(
+            F.when(common, acc["one"]).otherwise(w).alias("one"), F.when(common, acc["two"]).otherwise(acc["one"]).alias("two"), F.when(common, 0).otherwise(acc["run"] + 1).alias("run"), found.alias("found")
+        )
 
     def plain(ws: Column) -> Column:
         return F.transform(ws, lambda w, i: F.xxhash64(w, F.coalesce(F.get(ws, i + 1), F.lit("")), F.coalesce(F.get(ws, i + 2), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -112,7 +112,9 @@ def plain_signatures(t):
     out = set()
     for i, w in enumerate(words):
         after = [x for x in words[i + 1 :] if x not in fingerprints.ANCHORS][: fingerprints.CHAIN]
-        if w in fingerprints.ANCHORS and len(after) == fingerprints.CHAIN:
+        row = words[i + 1 : i + 1 + fingerprints.GAP]
+        dense = len(row) == fingerprints.GAP and not set(row) & set(fingerprints.ANCHORS)
+        if (w in fingerprints.ANCHORS or dense) and len(after) == fingerprints.CHAIN:
             out.add((w, *after))
     return out or {tuple((words + ["", ""])[i : i + 3]) for i in range(len(words))}
 
