@@ -17,18 +17,18 @@ CAPTION = r"(?iU)^(?:Figure|Fig\.|Table)\s*\S+"
 MAX_FIGURES = 12
 
 
-def area(r: str = "") -> Column:
-    p = f"{r}." if r else ""
-    return F.greatest(F.lit(0.0), F.col(f"{p}x1") - F.col(f"{p}x0")) * F.greatest(F.lit(0.0), F.col(f"{p}y1") - F.col(f"{p}y0"))
+def area() -> Column:
+    return F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
 
 
 def share() -> Column:
     return area() / F.abs(F.col("page_w") * F.col("page_h"))
 
 
-def near(a: DataFrame, b: DataFrame, gap: float = GAP) -> Column:
-    """Boxes that overlap or lie at most `gap` apart on both axes."""
-    return (a["x1"] + gap >= b["x0"]) & (b["x1"] + gap >= a["x0"]) & (a["y1"] + gap >= b["y0"]) & (b["y1"] + gap >= a["y0"])
+def near(a: str, b: str, gap: float = GAP) -> Column:
+    """Boxes (structs or aliases) that overlap or lie at most `gap` apart on both axes."""
+    x = lambda n, c: F.col(f"{n}.{c}")
+    return (x(a, "x1") + gap >= x(b, "x0")) & (x(b, "x1") + gap >= x(a, "x0")) & (x(a, "y1") + gap >= x(b, "y0")) & (x(b, "y1") + gap >= x(a, "y0"))
 
 
 def grown(boxes: np.ndarray, gap: float = GAP) -> np.ndarray:

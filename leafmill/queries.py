@@ -174,9 +174,7 @@ def chunk_full(spark, sf):
 
 @query(f"SELECT doc_id, len(c[:2]) AS kept, list_sum(list_transform(c[3:], lambda x: length(x)))::BIGINT AS skipped_chars FROM ({CHUNKS}) WHERE len(c) > 2")
 def chunk_limit_skipped(spark, sf):
-    papers = line_chunks(spark, sf).select("doc_id", F.array_join("c", "\n\n").alias("text"), F.size("c").alias("n"))
     rest = F.aggregate(F.slice("c", 3, 1 << 30), F.lit(0), lambda n, x: n + F.length(x))
-    del papers
     return line_chunks(spark, sf).where(F.size("c") > 2).select("doc_id", F.size(F.slice("c", 1, 2)).cast("long").alias("kept"), rest.cast("long").alias("skipped_chars"))
 
 
@@ -334,6 +332,17 @@ def caption_nearest(spark, sf):
     return layout.with_captions(prims.drop("kind"), blocks).select("doc_id", "page", "region", "label", "caption")
 
 
+@query(
+    f"""WITH r AS ({PRIMS.format(s='VARCHAR')}) SELECT a.region AS a, b.region AS b FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.page = b.page AND a.region < b.region
+  AND a.x1 + 15 >= b.x0 AND b.x1 + 15 >= a.x0 AND a.y1 + 15 >= b.y0 AND b.y1 + 15 >= a.y0"""
+)
+def touching_boxes(spark, sf):
+    """Pairs of a page's boxes that touch or nearly do."""
+    boxes = _views(spark, sf)[0]
+    met = boxes.alias("a").join(boxes.alias("b"), ["doc_id", "page"]).where((F.col("a.region") < F.col("b.region")) & layout.near("a", "b"))
+    return met.select(F.col("a.region").alias("a"), F.col("b.region").alias("b"))
+
+
 MERGED = f"""{CAPTIONED}, merged AS (SELECT doc_id, page, page_w, page_h, caption, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min(label, region) AS label
   FROM captioned GROUP BY doc_id, page, page_w, page_h, caption, CASE WHEN caption IS NULL THEN region END)"""
 
@@ -553,7 +562,7 @@ def raw_md(spark, sf):
     return _rendered(spark, sf).select("doc_id", F.md5(render.raw_document(F.col("there")).cast("binary")).alias("content_md5"))
 
 
-# ---- beyond the reference: the tables that it doesn't have ---------------------------------
+# ---- beyond the document engine: the other test tables ------------------------------------
 
 
 @query(

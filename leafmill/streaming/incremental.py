@@ -22,6 +22,6 @@ def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and their values by window and type, for streams and tables alike (beyond the reference)."""
+    """Events and their values by window and type, for streams and tables alike (beyond the document engine)."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n_events"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("sum_cents"))
