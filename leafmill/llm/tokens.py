@@ -45,22 +45,22 @@ class Remembered:
         """A list of pieces for each text."""
         raise NotImplementedError
 
-    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in some order, all their ids in that order, and how many each has."""
         raise NotImplementedError
 
     def _learn(self, pieces: list[str]) -> None:
-        found = self.ids_of(pieces)
-        sizes = np.array([len(x) for x in found], np.int64)
-        n, total = len(self.at), int(sizes.sum())
+        names, ids, sizes = self.ids_of(pieces)
+        n, total = len(self.at), len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(found) > len(self.starts):
+        while n + len(names) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.pool[self.used : self.used + total] = np.concatenate(found) if found else []
-        self.starts[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(found)] = sizes
+        self.pool[self.used : self.used + total] = ids
+        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(names)] = sizes
         self.used += total
-        self.at.update(zip(pieces, range(n, n + len(found)), strict=True))
+        self.at.update(zip(names, range(n, n + len(names)), strict=True))
 
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids end."""
@@ -98,21 +98,20 @@ class Encoder(Remembered):
     def pieces(self, texts: pa.Array) -> pa.Array:
         return pc.ascii_split_whitespace(texts.cast(pa.large_string()))
 
-    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Plain pieces are encoded many to a text, a mark between them."""
-        found: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if MARK not in p and SPECIAL not in p]
-        odd = [i for i, p in enumerate(pieces) if MARK in p or SPECIAL in p]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, ids in zip(groups, self._whole([f" {MARK} ".join(pieces[i] for i in g) for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
-            cut = np.nonzero(ids == self.mark)[0]
-            assert len(cut) == len(group) - 1
-            for k, (i, x) in enumerate(zip(group, np.split(ids, cut), strict=True)):
-                found[i] = x[1:] if k else x
-        for i, x in zip(odd, self._whole([pieces[i] for i in odd]), strict=True):
-            found[i] = np.array(x, np.uint32)
-        return found
+        odd = [p for p in pieces if MARK in p or SPECIAL in p]
+        plain = [p for p in pieces if MARK not in p and SPECIAL not in p] if odd else pieces
+        ids: list[int] = []
+        for part in self._whole([f" {MARK} ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]):
+            ids += part
+            ids.append(self.mark)
+        flat = np.array(ids, np.uint32)
+        ends = np.nonzero(flat == self.mark)[0]
+        sizes = np.diff(ends, prepend=-1) - 1
+        assert len(sizes) == len(plain)
+        alone = self._whole(odd)
+        return plain + odd, np.concatenate([flat[flat != self.mark], *[np.array(x, np.uint32) for x in alone]]), np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text, and where each text's ids end."""

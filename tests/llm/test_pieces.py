@@ -60,7 +60,7 @@ def best_score(chars, vocab, names, memo):
 def test_viterbi_finds_the_best(vocab, names):
     tool = pieces.Segmenter(vocab)
     words = ["▁the", "▁nation", "▁größe", "\nNext", "▁\U0001f600a", "▁▁▁x", "▁internationalisation", "q", "日本語", "▁" + "ab" * 25]
-    for word, ids in zip(words, tool.ids_of(words), strict=True):
+    for word, ids in zip(words, tool.segmented(words), strict=True):
         total = sum(vocab.scores[i] for i in ids if vocab.scores[i] > pieces.NEVER)
         missing = sum(c not in names for c in word)
         assert total + missing * (vocab.rarest - pieces.PENALTY) == best_score(word, vocab, names, {})
