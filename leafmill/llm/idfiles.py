@@ -8,7 +8,7 @@ key, so a lookup costs a fixed number of steps and a key that isn't there is tol
 but for one in 2^32. Files are written by Spark's committer, so a lost task leaves none.
 
 Null text: the end id alone. Null doc_id: rows without a key, first in order. Rows that
-repeat a doc_id are kept, side by side in the order of their ids' hash, and found by the
+repeat a doc_id are kept, side by side in the order of their texts' hash, and found by the
 same key. Ties and one key with very many rows are dealt over several shards. An empty
 table gives no shard. Other columns are not read.
 """
@@ -116,26 +116,26 @@ class Index:
         return got[1], np.where(there, got[2], 0)
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = 1) -> DataFrame:
-    """doc_id, n_ids, ids (raw, 2 bytes each if the vocabulary allows), wide (bytes of an id)."""
-    path = vocabulary or default_vocabulary()
+def encoded(batches, path: str, end: int):
+    """(doc_id, number of ids, raw ids, bytes of an id) of each row of Arrow batches."""
+    tool = encoder(path)
+    wide = tool.dtype.itemsize
+    for batch in batches:
+        for part in slices(batch, "text"):
+            ids, ends = tool.encode(part.column("text"), end)
+            raw, start = ids.astype(tool.dtype).tobytes(), 0
+            for key, stop in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                yield key, stop - start, raw[start * wide : stop * wide], wide
+                start = stop
 
-    def run(batches):
-        tool = encoder(path)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, ends = tool.encode(part.column("text"), end)
-                raw, wide = ids.astype(tool.dtype).tobytes(), tool.dtype.itemsize
-                starts = np.concatenate([[0], ends[:-1]])
-                rows = [raw[a * wide : b * wide] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array(rows, pa.binary()), pa.array([wide] * len(rows), pa.int32())], ["doc_id", "n_ids", "ids", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_ids long, ids binary, wide int")
+def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 1, parts: int | None = None) -> str:
+    """Shards of the documents' ids under folder/shards, in ascending doc_id order by (part, seq).
 
-
-def write_shards(rows: DataFrame, folder: str, parts: int | None = None) -> str:
-    """Shards of `encoded` rows under folder/shards, in ascending doc_id order by (part, seq)."""
-    parts = parts or shuffle_parts(rows.sparkSession)
+    Texts are put in order before they are encoded: the ranges are found by a pass of their
+    own over what is dealt out, which encoded rows would have to be encoded twice for.
+    """
+    parts, path = parts or shuffle_parts(docs.sparkSession), vocabulary or default_vocabulary()
 
     def run(batches):
         part, seq, keys, ids, sizes, held, wide = TaskContext.get().partitionId(), 0, [], [], [], 0, 2
@@ -147,21 +147,21 @@ def write_shards(rows: DataFrame, folder: str, parts: int | None = None) -> str:
             row = {"part": part, "seq": seq, "first_key": keys[-1] if nulls == len(keys) else int(own[0]), "last_key": keys[-1], "n_docs": len(keys), "n_ids": int(sum(sizes)), "wide": wide, "keys": own.astype("<i8").tobytes(), "index": index, "payload": b"".join(ids)}
             return pa.RecordBatch.from_pylist([row], schema=SHARD)
 
-        for batch in batches:
-            for key, n, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "ids", "wide")), strict=True):  # noqa: B020
-                if keys and (held + len(raw) > SHARD_BYTES or len(keys) >= SHARD_ROWS):
-                    yield shard()
-                    seq, keys, ids, sizes, held = seq + 1, [], [], [], 0
-                keys.append(key)
-                ids.append(raw)
-                sizes.append(n)
-                held += len(raw)
+        for key, n, raw, wide in encoded(batches, path, end):  # noqa: B020
+            if keys and (held + len(raw) > SHARD_BYTES or len(keys) >= SHARD_ROWS):
+                yield shard()
+                seq, keys, ids, sizes, held = seq + 1, [], [], [], 0
+            keys.append(key)
+            ids.append(raw)
+            sizes.append(n)
+            held += len(raw)
         if keys:
             yield shard()
 
-    placed = rows.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie")
-    ordered = placed.sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").select("doc_id", "n_ids", "ids", "wide")
-    ordered.mapInArrow(run, SHARD_DDL).write.mode("overwrite").parquet(f"{folder}/shards")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    placed = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie")
+    ordered = placed.sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARD_DDL).write.mode("overwrite").parquet(f"{folder}/shards")
     return f"{folder}/shards"
 
 
@@ -219,5 +219,5 @@ def fetch(spark: SparkSession, path: str, key: int) -> list[np.ndarray]:
 
 
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_shards(encoded(documents(spark, sf_dir)), shared_dir(spark))
+    path = write_shards(documents(spark, sf_dir), shared_dir(spark))
     return read_shards(spark, path)

@@ -67,7 +67,7 @@ def test_id_files_odd_rows(spark, make, odd, whole):
 def test_fetch_by_key(spark, make, tmp_path, whole):
     rows = [(i * 7, f"text number {i}") for i in range(300)] + [(7, "again")]
     docs = spark.read.parquet(f"{make(rows)}/documents.parquet")
-    path = idfiles.write_shards(idfiles.encoded(docs), f"file://{tmp_path}/ids")
+    path = idfiles.write_shards(docs, f"file://{tmp_path}/ids")
     assert [x.tolist() for x in idfiles.fetch(spark, path, 14)] == [[*whole("text number 2"), 1]]
     assert sorted(x.tolist() for x in idfiles.fetch(spark, path, 7)) == sorted([[*whole("text number 1"), 1], [*whole("again"), 1]])
     assert idfiles.fetch(spark, path, 15) == []
