@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_CHARS = 800_000, 16_000_000
 SLICE_BYTES = 4 << 20
 MARK = "\x01"
 SPECIAL = "<|"
@@ -36,6 +36,7 @@ class Remembered:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
@@ -52,6 +53,7 @@ class Remembered:
     def _learn(self, pieces: list[str]) -> None:
         names, ids, sizes = self.ids_of(pieces)
         n, total = len(self.at), len(ids)
+        self.chars += sum(map(len, names))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(names) > len(self.starts):
@@ -68,7 +70,7 @@ class Remembered:
         bounds = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.at) + len(names) > REMEMBERED:
+        if len(self.at) + len(names) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         if new := [p for p in names if p not in self.at]:
             self._learn(new)
