@@ -155,18 +155,24 @@ def repeated_windows(docs: DataFrame, marks: DataFrame, folder: str) -> tuple[Da
                     new = np.concatenate([[True], (np.diff(starts) > 1) | (window[1:] != window[:-1])])
                     head = np.nonzero(new)[0]
                     sizes = np.diff(np.append(head, len(starts)))
-                    n = len(head)
-                    out.append(pa.table({"w": window[head], "doc_id": np.full(n, doc_id), "d1": np.full(n, d1), "place": (starts[head] << 32) + sizes}, schema=WINDOWS))
+                    order = np.argsort(window[head], kind="stable")
+                    names, first = np.unique(window[head][order], return_index=True)
+                    n, place = len(names), (starts[head] << 32) + sizes
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order]))
+                    out.append(pa.table({"w": names, "doc_id": np.full(n, doc_id), "d1": np.full(n, d1), "places": lists}, schema=WINDOWS))
         return pa.concat_tables(out) if out else WINDOWS.empty_table()
 
     grouped = salted.groupBy("shard", "deal").cogroup(copies.groupBy("shard", "deal"))
-    found = written(grouped.applyInArrow(locate, "w long, doc_id long, d1 long, place long"), f"{folder}/windows")
-    least = found.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
-    repeats = found.join(least, "w").where("doc_id > least").groupBy("doc_id", "d1").agg(F.collect_list("place").alias("places"))
+    found = written(grouped.applyInArrow(locate, "w long, doc_id long, d1 long, places array<long>"), f"{folder}/windows")
+    # Written, so that both sides of the join are plain exchanges and Spark can split a window that very many documents hold.
+    least = found.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = written(least.select("w", "least"), f"{folder}/least")
+    later = written(found.join(least, "w").where("doc_id > least").select("doc_id", "d1", "places"), f"{folder}/later")
+    repeats = later.groupBy("doc_id", "d1").agg(F.flatten(F.collect_list("places")).alias("places"))
     return firsts.select("d1", "d2", "first"), texts.select("doc_id", "d1", "text"), repeats
 
 
-WINDOWS = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("place", pa.int64())])
+WINDOWS = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("places", pa.list_(pa.int64()))])
 
 
 def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
