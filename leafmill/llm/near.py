@@ -5,13 +5,16 @@ of all trees are put in one range-partitioned order; sets that share a prefix of
 hashes in some tree form a region there. A region of up to REGION sets pairs all of
 them; a denser one is cut by deeper prefixes, one more hash at a time, and neighbours in
 the order (longest common prefix) stay paired across the cuts. A region that is dense
-even at full depth pairs each set with the REGION / 2 before it. Pairs that one-bit
-sketches place far below the threshold (five standard deviations) are not confirmed.
+even at full depth pairs each set with the REGION / 2 before it. In the first CHAINED trees
+a dense region pairs all its sets with its most central one. Pairs that one-bit sketches
+place far below the threshold (five standard deviations) are not confirmed.
 
-Neighbours in the first CHAINED trees are confirmed first and give components; of the
+Neighbours and central sets in the first CHAINED trees are confirmed first and give components; of the
 other pairs those between different components are confirmed then. So a large group of
-near copies costs a few comparisons for each member, and no pair is passed over for
-being one of too many. Sets at the threshold share a region in some tree with
+near copies costs a few comparisons for each member. What these leave open is finished
+exactly: dense regions that still hold several components are joined where they overlap,
+and in each such clump the sets outside its largest component meet all the others in
+blocks of about BLOCK by BLOCK, by counts of shared shingles. Sets at the threshold share a region in some tree with
 probability 1 - (1 - t^BASE)^TREES, 0.99999 at 0.85.
 
 Equal sets are one node, with the smallest doc_id. Null text and text without a word
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, shuffle_parts, written
-from .links import components, only
+from .links import MOST_BROADCAST, components, only
 from .tokens import slices
 from .words import Words, digest, mix, runs
 
 TREES, DEPTH, BASE, CHAINED, REGION = 16, 8, 4, 4, 48
+BLOCK, COLUMNS = 256, 4096
 ROW = 4 * BASE + DEPTH - BASE
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -104,6 +108,15 @@ def _region_pairs(deep: np.ndarray, sketch: np.ndarray, far: int, a: int, b: int
     return out
 
 
+def _central_pairs(sketch: np.ndarray, far: int, a: int, b: int):
+    """Index pairs of a dense region's rows with the one nearest to its commonest sketch bits."""
+    bits = np.unpackbits(sketch[a:b], axis=1)
+    p = a + int((bits != (2 * bits.sum(axis=0, dtype=np.int64) > b - a)).sum(axis=1).argmin())
+    i = np.arange(a, b)
+    i = i[(i != p) & (_BITS[sketch[a:b] ^ sketch[p]].sum(axis=1) <= far)]
+    return np.minimum(i, p), np.maximum(i, p)
+
+
 def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
     """a, b, chained: pairs of nodes to confirm."""
     agree = (1 + at_least) / 2
@@ -120,6 +133,9 @@ def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
         def region(tree, key, sketch, ids, a, b):
             i, j = (np.concatenate(x) for x in zip(*_region_pairs(key[:, 4 * BASE :], sketch, far, a, b, 0), strict=True))
             chained = (j == i + 1) & (tree[i] < CHAINED)
+            if b - a > REGION and tree[a] < CHAINED:
+                x, y = _central_pairs(sketch, far, a, b)
+                i, j, chained = np.concatenate([i, x]), np.concatenate([j, y]), np.concatenate([chained, np.ones(len(x), bool)])
             return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), chained.astype(np.int32)
 
         def pairs_of(table: pa.Table, last: bool):
@@ -191,6 +207,82 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> D
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def dense_members(reps: DataFrame, folder: str) -> DataFrame:
+    """id, region of the sets in regions where candidates() may pass over pairs: more than one side of a cut between tasks holds."""
+    trees = reps.select(F.col("rep").alias("id"), "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = trees.select("id", F.xxhash64("tree", F.expr(f"substring(keys, tree * {ROW} + 1, {4 * BASE})")).alias("region"))
+    dense = written(rows.groupBy("region").agg(F.count("*").alias("n")).where(f"n > {REGION // 2}").select("region"), f"{folder}/dense")
+    return written(only(rows, dense, "region"), f"{folder}/members")
+
+
+def block_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    for k in range(0, len(shared), COLUMNS):
+        columns = shared[k : k + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(columns)), np.float32)
+            for i, x in enumerate(sets):
+                x = x[np.searchsorted(x, columns[0]) : np.searchsorted(x, columns[-1], "right")]
+                at = np.searchsorted(columns, x)
+                m[i, at[columns[at] == x]] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    return both.astype(np.int64)
+
+
+def finished(members: DataFrame, sets: DataFrame, found: DataFrame, at_least: tuple[int, int], folder: str) -> DataFrame | None:
+    """Links between components that share a dense region, of all pairs there; None if there is no such region."""
+    part, whole = at_least
+    named = members.join(found.toDF("id", "c"), "id", "left").select("id", "region", F.coalesce("c", "id").alias("c"))
+    regions = named.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("least")).where("low != high").select("region", "least")
+    regions = written(regions, f"{folder}/open")
+    if regions.isEmpty():
+        return None
+    inside = written(only(named, regions.select("region"), "region"), f"{folder}/inside")
+    clumps = components(inside.join(F.broadcast(regions) if regions.count() <= MOST_BROADCAST else regions, "region").select(F.col("id").alias("a"), F.col("least").alias("b")), f"{folder}/clumps")
+    nodes = written(inside.select("id", "c").distinct().join(clumps.toDF("id", "clump"), "id"), f"{folder}/nodes")
+    sizes = nodes.groupBy("clump", "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("clump").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    most = most.select("clump", F.col("top.c").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"))
+    most = written(most, f"{folder}/sizes")
+    nodes = nodes.join(F.broadcast(most) if most.count() <= MOST_BROADCAST else most, "clump")
+    full = written(nodes.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id"), f"{folder}/full")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = full.where("c != main").select("id", "c", "shingles", F.lit(0).alias("side"), "clump", own("rest").alias("i"), "all").select("*", every("all").alias("j")).drop("all")
+    others = full.select("id", "c", "shingles", F.lit(1).alias("side"), "clump", own("all").alias("j"), "rest").select("*", every("rest").alias("i")).drop("rest")
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = [table.filter(pa.array(np.asarray(table.column("side")) == s)) for s in (0, 1)]
+        out = []
+        if all(t.num_rows for t in sides):
+            held = [[np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c] for t in sides]
+            ids, names = ([np.asarray(t.column(c)) for t in sides] for c in ("id", "c"))
+            n, m = (np.array([len(x) for x in sets], np.int64) for sets in held)
+            both = block_counts(*held)
+            linked = (whole * both >= part * (n[:, None] + m - both)) & (names[0][:, None] != names[1])
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in np.argwhere(linked).tolist():
+                x, y = find(int(names[0][i])), find(int(names[1][j]))
+                if x != y:
+                    root[x] = y
+                    out.append((int(ids[0][i]), int(ids[1][j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    blocks = rest.select("clump", "i", "j", "side", "id", "c", "shingles").union(others.select("clump", "i", "j", "side", "id", "c", "shingles"))
+    return written(blocks.groupBy("clump", "i", "j").applyInArrow(run, "a long, b long"), f"{folder}/links3")
+
+
 def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; at_least is a fraction."""
     spark = docs.sparkSession
@@ -199,7 +291,8 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
     real = marks.where("n_shingles > 0 and doc_id is not null")
     reps = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), f"{folder}/reps")
     pairs = candidates(reps, at_least[0] / at_least[1], folder)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{folder}/ids")
+    members = dense_members(reps, folder)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("id")).distinct(), f"{folder}/ids")
 
     def collect(batches):
         for batch in batches:
@@ -216,6 +309,9 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
     apart = written(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{folder}/apart")
     more = written(confirmed(apart, sets, at_least), f"{folder}/links2")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/second")
+    last = finished(members, sets, final, at_least, folder)
+    if last is not None:
+        final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last), f"{folder}/third")
     named = reps.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     rows = marks.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))

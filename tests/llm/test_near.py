@@ -72,6 +72,31 @@ def test_dense_groups(spark, make):
     check(spark, make(rows))
 
 
+@pytest.mark.parametrize("hub", [-1, 5000])
+def test_star_group(spark, make, hub):
+    """Copies that are each close to one original and not to each other, more than a region pairs."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(402)]
+    rows = [(hub, " ".join(base))]
+    for i in range(1200):
+        words = list(base)
+        for k in range(10):
+            words[rnd.randrange(40 * k + 2, 40 * k + 38)] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(400)} for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert min(alike(sets[0], x) for x in sets[1:]) >= 0.85
+    assert max(alike(sets[1], x) for x in sets[2:]) < 0.85
+    got = near.near_groups(spark.read.parquet(f"{make(rows)}/documents.parquet"), 3, (85, 100)).collect()
+    assert len(got) == 1201 and {r.component_id for r in got} == {min(hub, 0)}
+
+
+def test_block_counts():
+    rnd = np.random.default_rng(3)
+    left, right = ([np.unique(rnd.integers(0, 9000, rnd.integers(1, 9000)).astype(np.uint64)) for _ in range(n)] for n in (7, 9))
+    assert near.block_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_odd_rows(spark, make):
     rows = [(1, "A b"), (2, None), (3, ""), (4, "a B"), (5, " \t\n"), (7, "word " * 30000), (8, "word word word word"), (9, "é ß"), (10, "x y z w"), (12, "X Y\nZ W")]
     want = check(spark, make(rows))
