@@ -301,9 +301,12 @@ BLOCKS = """SELECT CAST(o_orderkey % 300 AS {s}) AS doc_id, CAST(o_custkey % 7 A
 SHARE = "(greatest(0, x1 - x0) * greatest(0, y1 - y0) / abs(page_w * page_h))"
 
 
-def _views(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _views(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Primitives and blocks as in the SQL; whole: of all rows, a document for every 20 order keys."""
     frames = []
     for name, sql in (("lineitem", PRIMS), ("orders", BLOCKS)):
+        if whole:
+            sql = sql.rpartition(" WHERE ")[0].replace("% 300 ", "div 20 ")
         frames.append(spark.sql(sql.format(s="STRING").replace(f"FROM {name}", "FROM {src}"), src=table(spark, sf, name)))
     return frames[0], frames[1]
 
@@ -356,14 +359,14 @@ def caption_merge(spark, sf):
 @query()
 def rect_cluster(spark, sf):
     """Boxes of each page grown together until none reaches another; tests hold it against brute force."""
-    return layout.clustered(_views(spark, sf)[0]).select("doc_id", "page", "x0", "y0", "x1", "y1")
+    return layout.clustered(_views(spark, sf, whole=True)[0]).select("doc_id", "page", "x0", "y0", "x1", "y1")
 
 
 @query()
 def figure_regions(spark, sf):
     """All steps from primitives and blocks to the kept figures of each document."""
-    prims, blocks = _views(spark, sf)
-    found = layout.figures(prims.drop("region"), blocks, max_pages=6)
+    prims, blocks = _views(spark, sf, whole=True)
+    found = layout.figures(prims.drop("region"), blocks)
     return found.select("doc_id", "ord", "page", "fig_idx", "rect.x0", "rect.y0", "rect.x1", "rect.y1", "label", "caption")
 
 
