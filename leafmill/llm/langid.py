@@ -10,7 +10,7 @@ A word is a run of letters, lower case, with the vocabulary's word mark before i
 over CHUNK letters are taken CHUNK at a time. A letter that is no piece has a small
 fixed probability in all languages. Fitting is on a bounded sample: about
 SAMPLE_DOCS whole documents of each language, drawn by a hash of doc_id, and of their
-words the WORD_TYPES commonest. Prediction reads every whole text.
+words the WORD_TYPES commonest of each language. Prediction reads every whole text.
 
 Null text or a text with no letter: `und`, score 0. With no labelled rows all is `und`.
 Null doc_id: not learned from, not held out. Repeated rows give repeated results.
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,8 @@ SAMPLE_DOCS = 400
 WORD_TYPES = 40_000
 ROUNDS = 3
 CHUNK = 32
-LONGEST = 12
+#: No piece found in a stretch is longer: its letters and the mark.
+LONGEST = CHUNK + 1
 REMEMBERED = 400_000
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
@@ -61,6 +62,7 @@ class Pieces:
         tool = sentencepiece.SentencePieceProcessor(model_file=path)
         every = {tool.id_to_piece(i) for i in range(tool.get_piece_size())}
         self.names = sorted(p for p in every if len(p) <= LONGEST and p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha()) and p.rfind(MARK) <= 0)
+        self.longest = max(map(len, self.names), default=1)
         self.tables = []
         left, keys = np.arange(len(self.names)), np.array([self._hash(p) for p in self.names], np.uint64)
         while len(left):
@@ -99,7 +101,7 @@ class Pieces:
         out = {}
         for i in range(width):
             h = np.zeros(n, np.uint64)
-            for k in range(1, min(LONGEST, width - i) + 1):
+            for k in range(1, min(self.longest, width - i) + 1):
                 h = self._next(h, codes[:, i + k - 1])
                 got = self.find(h)
                 if k == 1 or (got >= 0).any():
@@ -271,8 +273,8 @@ def learned(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = S
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").where(F.col("word") != "").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
-    most = WORD_TYPES * len(sizes)
-    for r in counted.orderBy(F.desc("n"), "lang", "word").limit(most).collect():
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in counted.withColumn("place", place).where(F.col("place") <= WORD_TYPES).collect():  # WORD_TYPES for each language
         words.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return fit(words, sizes, vocabulary)
 

@@ -51,3 +51,22 @@ def test_odd_rows(spark, make, odd):
     assert all(rows[i].lang_pred in ("en", "fr") for i in (1, 4, 7, 8, 21, None))
     assert langid.op8_langid(spark, make([])).collect() == []
     assert {r.lang_pred for r in langid.op8_langid(spark, make([(1, "some words")])).collect()} == {"und"}
+
+
+def test_long_pieces_are_found():
+    tool = langid.pieces_of(langid.default_vocabulary())
+    word = langid.MARK + "international"
+    assert word in tool.names
+    grid = tool.grid(np.array([[ord(c) for c in word]], np.uint64))
+    assert tool.names[grid[0, len(word)][0]] == word
+
+
+def test_words_kept_for_each_language(spark, make, monkeypatch):
+    monkeypatch.setattr(langid, "WORD_TYPES", 2)
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda words, sizes, vocabulary: seen.update(words))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "un deux trois trois quatre quatre" if k == 0 else "one two three four " * 3) for k, i in enumerate(ids)]
+    path = make(rows, {i: "fr" if k == 0 else "en" for k, i in enumerate(ids)})
+    langid.learned(spark.read.parquet(f"{path}/documents.parquet"))
+    assert {k: sorted(v.values()) for k, v in seen.items()} == {"fr": [2, 2], "en": [3 * (len(ids) - 1)] * 2}
