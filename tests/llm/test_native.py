@@ -60,6 +60,15 @@ def test_pii_trees_add_spelled_out_kinds(spark, make):
     assert found[5].startswith("iban:6:")
 
 
+def test_pii_email_candidates_are_those_of_the_pattern(spark):
+    texts = ["write to jane at example.com now", "jane(at)example.com", "jane at example dot org", "jane at\nhome", "x [AT] y {dot} z", "at a.b", "look at this. That", "[at]b.c", "a at b . c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = pii._spans("email", pii._places(pii.F.col("text"), pii.EXTRA["email"]))
+    rows = df.select("text", pii.candidate_spans(pii.F.col("text"), "email").alias("got"), whole.alias("want")).collect()
+    assert all(r.got == r.want for r in rows)
+    assert {r.text: [x.found for x in r.got] for r in rows}[texts[0]] == ["jane at example.com"]
+
+
 def test_redaction(spark, make):
     rows = [(0, "x a@b.cd y 1.2.3.4"), (1, "clean"), (2, None)]
     docs = spark.read.parquet(f"{make(rows)}/documents.parquet")
