@@ -537,11 +537,11 @@ def combined_md(spark, sf):
     return out.select("filename", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-def _rendered(spark, sf) -> DataFrame:
+def _rendered(spark, sf, body: F.Column) -> DataFrame:
     fig = F.struct(F.lit(0).alias("page"), F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("rect"), F.lit("Figure 1:").alias("label"), F.lit("Figure 1: a [b]").alias("caption"), F.concat(F.lit("/w/"), F.col("doc_id"), F.lit("/fig_p0_0.png")).alias("png_path"), F.lit("one\n\ntwo").alias("description"))
     docs = table(spark, sf, "documents")
     figures = F.when(F.col("doc_id") % 2 == 0, F.array(fig)).otherwise(F.array().cast(FIGURES)).cast(FIGURES)
-    text = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 3 == 0, F.lit(" 10.1145/12.3. ")).otherwise(F.lit("")), F.lit("\nFigure 1: a [b] here\nend"))
+    text = F.concat(body, F.when(F.col("doc_id") % 3 == 0, F.lit(" 10.1145/12.3. ")).otherwise(F.lit("")), F.lit("\nFigure 1: a [b] here\nend"))
     return docs.select("doc_id", F.concat(F.lit("d_"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.concat(F.lit("in/d_"), F.col("doc_id"), F.lit(".pdf")).alias("pdf_path"), F.concat(F.lit("T "), F.col("lang")).alias("title"), text.alias("text"), figures.alias("figures"), F.lit("  the summary \n").alias("summary_md"), F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("/w/"), F.col("doc_id"), F.lit("/fig_p0_0.png")))).otherwise(F.array().cast("array<string>")).alias("there"))
 
 
@@ -553,7 +553,7 @@ N = "chr(10)"
   || CASE WHEN doc_id % 2 = 0 THEN '## Figures' || {N} || {N} || CASE WHEN doc_id % 4 = 0 THEN '![Figure 1: a (b)](figures/d_' || doc_id || '/fig_p0_0.png)' || {N} || {N} ELSE '' END || '---' || {N} || {N} ELSE '' END || 'the summary' || {N} AS content FROM documents"""
 )
 def paper_md(spark, sf):
-    return _rendered(spark, sf).select("doc_id", render.paper_document(F.col("there")).alias("content"))
+    return _rendered(spark, sf, F.col("text")).select("doc_id", render.paper_document(F.col("there")).alias("content"))
 
 
 @query(
@@ -562,7 +562,7 @@ def paper_md(spark, sf):
   || {N} || {N} || '> one' || {N} || '>' || {N} || '> two' ELSE '' END || {N} || 'end', ' ' || {N}) || {N}) AS content_md5 FROM documents"""
 )
 def raw_md(spark, sf):
-    return _rendered(spark, sf).select("doc_id", F.md5(render.raw_document(F.col("there")).cast("binary")).alias("content_md5"))
+    return _rendered(spark, sf, F.substring("text", 1, 40)).select("doc_id", F.md5(render.raw_document(F.col("there")).cast("binary")).alias("content_md5"))
 
 
 # ---- beyond the document engine: the other test tables ------------------------------------
