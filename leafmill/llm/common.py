@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +42,43 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives freed memory back at its end, since workers live on to run other tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
+def mapped(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
+    """mapInArrow over all columns, which gives them and the added ones; other columns than doc_id and text go through by number, as their names may hold anything."""
+    fields = [T.StructField(f.name if f.name in ("doc_id", "text") else f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *added])]
+    numbered = df.toDF(*[f.name for f in fields[: len(df.columns)]])
+    return numbered.mapInArrow(tidy(run), T.StructType(fields)).toDF(*df.columns, *[f.name for f in added])
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    """The columns in their order, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once: a one-element array binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

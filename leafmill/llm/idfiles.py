@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, shuffle_parts
-from .tokens import crc32, default_vocabulary, encoder, slices
+from .common import documents, shared_dir, shuffle_parts, tidy
+from .tokens import TOKEN_BYTES, crc32, default_vocabulary, encoder, slices
 
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 1 << 16
@@ -121,12 +121,13 @@ def encoded(batches, path: str, end: int):
     tool = encoder(path)
     wide = tool.dtype.itemsize
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", TOKEN_BYTES):
             ids, ends = tool.encode(part.column("text"), end)
             raw, start = ids.astype(tool.dtype).tobytes(), 0
             for key, stop in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                 yield key, stop - start, raw[start * wide : stop * wide], wide
                 start = stop
+    tool.forget()
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 1, parts: int | None = None) -> str:
@@ -161,7 +162,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     placed = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie")
     ordered = placed.sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
-    ordered.select("doc_id", "text").mapInArrow(run, SHARD_DDL).write.mode("overwrite").parquet(f"{folder}/shards")
+    ordered.select("doc_id", "text").mapInArrow(tidy(run), SHARD_DDL).write.mode("overwrite").parquet(f"{folder}/shards")
     return f"{folder}/shards"
 
 

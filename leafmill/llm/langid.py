@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_table
-from .tokens import slices
+from .common import documents, mapped, small_table, tidy
+from .tokens import TOKEN_BYTES, slices
 
 SAMPLE_DOCS = 400
 WORD_TYPES = 40_000
@@ -37,7 +37,8 @@ ROUNDS = 3
 CHUNK = 32
 #: No piece found in a stretch is longer: its letters and the mark.
 LONGEST = CHUNK + 1
-REMEMBERED = 400_000
+#: Scores of remembered words, and of words scored at once.
+REMEMBERED, AT_ONCE = 1_600_000, 16_384
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
 MARK = "▁"
@@ -152,11 +153,12 @@ class Model:
         """Log probability of each word (mark and at most CHUNK letters) in each language."""
         out = np.zeros((len(words), len(self.langs)))
         tool = pieces_of(self.vocabulary)
+        step = max(AT_ONCE // len(self.langs), 64)
         for index, codes in by_length(words):
-            for a in range(0, len(index), 4096):
-                part = codes[a : a + 4096]
+            for a in range(0, len(index), step):
+                part = codes[a : a + step]
                 alpha = forward(tool.grid(part), len(part), part.shape[1], self.probs)
-                out[index[a : a + 4096]] = np.log(alpha[-1])
+                out[index[a : a + step]] = np.log(alpha[-1])
         return out
 
 
@@ -176,7 +178,7 @@ def chunks(word: str) -> list[str]:
 
 
 class Scorer:
-    """Sums of word scores for each text; scores of words are remembered, up to REMEMBERED."""
+    """Sums of word scores for each text; words are remembered up to REMEMBERED scores."""
 
     def __init__(self, model: Model):
         self.model, self.at = model, {}
@@ -186,7 +188,7 @@ class Scorer:
         """Log likelihoods (a row for each text) and the number of words."""
         bounds, coded = split_words(texts)
         names = coded.dictionary.to_pylist()
-        if len(self.at) + len(names) > REMEMBERED:
+        if (len(self.at) + len(names)) * self.scores.shape[1] > REMEMBERED:
             self.at, self.scores = {}, self.scores[:0]
         if new := [w for w in names if w not in self.at]:
             parts = [chunks(w) if w else [] for w in new]
@@ -271,7 +273,7 @@ def learned(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = S
                 width = max(len(coded.dictionary), 1)
                 yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(own // width)).cast(pa.string()), coded.dictionary.take(pa.array(own % width)).cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").where(F.col("word") != "").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(count), "lang string, word string, n long").where(F.col("word") != "").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     for r in counted.withColumn("place", place).where(F.col("place") <= WORD_TYPES).collect():  # WORD_TYPES for each language
@@ -281,13 +283,11 @@ def learned(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = S
 
 def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of docs, and the prediction."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    names = [f.name for f in schema.fields]
-
     def run(batches):
         tool = Scorer(model)
+        most = TOKEN_BYTES * 4 // max(len(model.langs), 4)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", most):
                 n = part.num_rows
                 langs, scores = [UND] * n, np.zeros(n)
                 if model.langs:
@@ -296,9 +296,10 @@ def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
                     best = own.argmax(axis=1)
                     scores = np.where(count > 0, 1 / np.exp(own - own.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
                     langs = [model.langs[b] if c else UND for b, c in zip(best.tolist(), count.tolist(), strict=True)]
+                names = [*part.schema.names, *[f"c{part.num_columns + k}" for k in range(2)]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import every_column, written
 
 MOST_BROADCAST = 1_000_000
 
@@ -30,5 +30,5 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with written ids, which are broadcast if they are at most MOST_BROADCAST."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, how)
+    """Semi or anti join with written ids, which are broadcast if they are at most MOST_BROADCAST; columns stay in order."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, how).select(every_column(rows))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, shuffle_parts, written
+from .common import documents, shared_dir, shuffle_parts, tidy, written
 from .links import MOST_BROADCAST, components, only
 from .tokens import slices
 from .words import Words, digest, mix, runs
@@ -83,7 +83,7 @@ def signed(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                 n, d1, d2, keys, sketch = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys binary, sketch binary")
 
 
 def _region_pairs(deep: np.ndarray, sketch: np.ndarray, far: int, a: int, b: int, depth: int):
@@ -176,7 +176,7 @@ def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
             yield from pairs_of(table.combine_chunks(), True)
 
     ordered = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("id", "tree", "key", "sketch")
-    found = written(ordered.mapInArrow(run, "a long, b long, chained int, side string, task int, region binary"), f"{folder}/found")
+    found = written(ordered.mapInArrow(tidy(run), "a long, b long, chained int, side string, task int, region binary"), f"{folder}/found")
     tails = found.where("side = 'tail'").select(F.col("a").alias("x"), "region", (F.col("task") + 1).alias("task"), "chained")
     heads = found.where("side = 'head'").select(F.col("a").alias("y"), "region", "task")
     across = tails.join(heads, ["region", "task"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "chained")
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> D
 
     left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     full = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def dense_members(reps: DataFrame, folder: str) -> DataFrame:
@@ -302,7 +302,7 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "shingles"])
 
     texts = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id").where("text is not null")
-    sets = written(texts.mapInArrow(collect, "doc_id long, shingles binary").where(F.length("shingles") > 0), f"{folder}/sets")
+    sets = written(texts.mapInArrow(tidy(collect), "doc_id long, shingles binary").where(F.length("shingles") > 0), f"{folder}/sets")
     links = written(confirmed(pairs.where("chained = 1"), sets, at_least), f"{folder}/links1")
     first = components(links, f"{folder}/first")
     apart = pairs.where("chained = 0").join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")

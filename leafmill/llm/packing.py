@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, written
-from .tokens import crc32, default_vocabulary, encoder, slices
+from .common import documents, shared_dir, tidy, written
+from .tokens import TOKEN_BYTES, crc32, default_vocabulary, encoder, slices
 
 CAPACITY = 2048
 SLACK = 4
@@ -69,7 +69,7 @@ def packed_locally(docs: DataFrame, vocabulary: str | None = None, end: int = 0,
             )
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKEN_BYTES):
                 ids, ends = tool.encode(part.column("text"), end)
                 begin = 0
                 for key, stop in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
@@ -81,8 +81,9 @@ def packed_locally(docs: DataFrame, vocabulary: str | None = None, end: int = 0,
                         yield out()
         if held:
             yield out()
+        tool.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, end: int = 0, capacity: int = CAPACITY) -> DataFrame:

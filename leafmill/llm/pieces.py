@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, tidy
 from .langid import by_length, default_vocabulary
 from .tokens import Remembered, crc32, slices
 
@@ -268,7 +268,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 edges = [0, *(2 * ends).tolist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -288,7 +288,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
             n, b, crc, score, text = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(crc, pa.int64()), pa.array(score, pa.float64()), pa.array(text, pa.string())], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "score", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, text string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, text string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

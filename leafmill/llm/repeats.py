@@ -6,7 +6,8 @@ document with a smaller doc_id; the words of repeats go.
 Every window has one anchor, the least hash among its phrases of PHRASE words, and
 windows with the same words have the same anchor. An anchor seen in two documents is
 a recurring passage. The phrases of recurring anchors are compiled into Aho-Corasick
-automata over words, sharded by the first document that holds the phrase; a document
+automata over words, sharded by the first document that holds the phrase (the phrases of
+one document are dealt over several shards where they are more than SHARD_PHRASES); a document
 goes to the shards of its own anchors, where the automaton locates every occurrence and
 so confirms the phrases word by word. The windows around them are compared by 64-bit
 hashes with the least doc_id of each. A shard with much text is dealt out over several
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, shared_dir, written
-from .links import only
+from .common import documents, every_column, fresh, mapped, shared_dir, tidy, written
+from .links import MOST_BROADCAST, only
 from .tokens import slices
 from .words import Words, digest, runs
 
@@ -70,7 +71,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha, pa.binary()), lists], ["doc_id", "n_words", "d1", "d2", "sha", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, d1 long, d2 long, sha binary, anchors array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_words long, d1 long, d2 long, sha binary, anchors array<long>")
 
 
 def compiled(phrases: list[tuple[bytes, int]]):
@@ -105,10 +106,17 @@ def repeated_windows(docs: DataFrame, marks: DataFrame, folder: str) -> tuple[Da
     firsts = written(long.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.first("anchors").alias("anchors")), f"{folder}/firsts")
     spread = firsts.select(F.col("first").alias("doc_id"), "d1", F.explode("anchors").alias("anchor"))
     ends = spread.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last")
-    hits = written(spread.join(ends.select("anchor", "home"), "anchor"), f"{folder}/hits")
-    shards = max(1, -(-hits.where("doc_id = home").count() // SHARD_PHRASES))
-    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int")
-    lists = hits.groupBy("doc_id", "d1").agg(F.collect_set(shard).alias("shards"), F.collect_set(F.when(F.col("home") == F.col("doc_id"), F.col("anchor"))).alias("own"))
+    # Written, so that Spark can split the join at an anchor that very many documents hold.
+    ends = written(ends.select("anchor", "home"), f"{folder}/ends")
+    shards = max(1, -(-ends.count() // SHARD_PHRASES))
+    rich = ends.groupBy("home").agg(F.ceil(F.count("*") / SHARD_PHRASES).cast("int").alias("split")).where("split > 1")
+    rich = written(rich, f"{folder}/rich")
+    if rich.count() <= MOST_BROADCAST:
+        rich = F.broadcast(rich)
+    shard = F.pmod(F.xxhash64("home", F.coalesce(F.pmod(F.xxhash64("anchor"), F.col("split")), F.lit(0))), F.lit(shards)).cast("int")
+    hits = spread.join(ends, "anchor").join(rich, "home", "left").select("doc_id", "d1", "anchor", "home", shard.alias("shard"))
+    hits = written(hits, f"{folder}/hits")
+    lists = hits.groupBy("doc_id", "d1").agg(F.collect_set("shard").alias("shards"), F.collect_set(F.when(F.col("home") == F.col("doc_id"), F.col("anchor"))).alias("own"))
     ids = written(hits.select("doc_id").distinct(), f"{folder}/ids")
 
     def name(batches):
@@ -118,7 +126,7 @@ def repeated_windows(docs: DataFrame, marks: DataFrame, folder: str) -> tuple[Da
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([digest(words.of(i))[0] for i in range(part.num_rows)], pa.int64())], ["doc_id", "text", "d1"])
 
     held = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), ids, "doc_id")
-    texts = written(held.mapInArrow(name, "doc_id long, text string, d1 long").dropDuplicates(["doc_id", "d1"]).join(lists, ["doc_id", "d1"]), f"{folder}/texts")
+    texts = written(held.mapInArrow(tidy(name), "doc_id long, text string, d1 long").dropDuplicates(["doc_id", "d1"]).join(lists, ["doc_id", "d1"]), f"{folder}/texts")
 
     def phrases_of(batches):
         for batch in batches:
@@ -131,12 +139,13 @@ def repeated_windows(docs: DataFrame, marks: DataFrame, folder: str) -> tuple[Da
                     ids = word_ids(words.of(i))
                     out += [(doc_id, n, ids[k : k + PHRASE].tobytes()) for n, k in zip(names.view(np.int64).tolist(), where[at].tolist(), strict=True)]
                 home, names, ids = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array(names, pa.int64()), pa.array(ids, pa.binary())], ["home", "name", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array(names, pa.int64()), pa.array(ids, pa.binary())], ["home", "anchor", "ids"])
 
     routed = texts.select("doc_id", "d1", "text", F.explode("shards").alias("shard"))
     deals = written(routed.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / SHARD_BYTES).cast("int").alias("deals")), f"{folder}/deals")
     salted = routed.join(deals, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "d1"), F.col("deals")).cast("int").alias("deal"), "doc_id", "d1", "text")
-    phrases = texts.where(F.size("own") > 0).select("doc_id", "text", "own").mapInArrow(phrases_of, "home long, name long, ids binary").withColumn("shard", shard)
+    phrases = texts.where(F.size("own") > 0).select("doc_id", "text", "own").mapInArrow(tidy(phrases_of), "home long, anchor long, ids binary")
+    phrases = phrases.join(rich, "home", "left").select(shard.alias("shard"), F.col("anchor").alias("name"), "ids")
     copies = phrases.join(deals, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "name", "ids")
 
     def locate(rows: pa.Table, keys: pa.Table) -> pa.Table:
@@ -183,20 +192,21 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words = text.encode().split()
-                change = np.zeros(len(words) + 1, np.int64)
-                places = np.array(places, np.int64)
-                start = places >> 32
-                np.add.at(change, start, 1)
-                np.add.at(change, start + (places & 0xFFFFFFFF) - 1 + WINDOW, -1)
-                stay = np.cumsum(change[:-1]) == 0
-                rows.append((int((~stay).sum()), b" ".join(compress(words, stay.tolist())).decode()))
-            n, kept = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d1"), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "d1", "n_cut", "kept"])
-
-    parts = written(texts.join(repeats, ["doc_id", "d1"]).select("doc_id", "d1", "text", "places").mapInArrow(cut, "doc_id long, d1 long, n_cut long, kept string"), f"{folder}/cut")
+            for part in slices(batch, "text"):
+                rows = []
+                for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
+                    words = text.encode().split()
+                    change = np.zeros(len(words) + 1, np.int64)
+                    places = np.array(places, np.int64)
+                    start = places >> 32
+                    np.add.at(change, start, 1)
+                    np.add.at(change, start + (places & 0xFFFFFFFF) - 1 + WINDOW, -1)
+                    stay = np.cumsum(change[:-1]) == 0
+                    rows.append((int((~stay).sum()), b" ".join(compress(words, stay.tolist())).decode()))
+                n, kept = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d1"), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "d1", "n_cut", "kept"])
+
+    parts = written(texts.join(repeats, ["doc_id", "d1"]).select("doc_id", "d1", "text", "places").mapInArrow(tidy(cut), "doc_id long, d1 long, n_cut long, kept string"), f"{folder}/cut")
     short = parts.select("doc_id", "d1", "n_cut", F.sha2(F.col("kept").cast("binary"), 256).alias("cut_sha"))
     rows = marks.select("doc_id", "n_words", "d1", "d2", "sha").join(firsts, ["d1", "d2"], "left").join(short, ["doc_id", "d1"], "left")
     copy = (F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull() & (F.col("first") < F.col("doc_id"))
@@ -209,22 +219,20 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """docs with the words of repeats gone from `text` (kept words joined by a space); other texts stay as they are."""
     folder = shared_dir(docs.sparkSession)
     rows, parts = without_repeats(docs)
-    changed = written(rows.where("n_removed > 0").select("doc_id", F.col("d1").alias("__d1"), F.lit(True).alias("__cut")).distinct(), f"{folder}/changed")
+    d1, gone, kept = (fresh(docs, x) for x in ("d1", "gone", "kept"))
+    changed = written(rows.where("n_removed > 0").select("doc_id", F.col("d1").alias(d1), F.lit(True).alias(gone)).distinct(), f"{folder}/changed")
     ids = written(changed.select("doc_id").distinct(), f"{folder}/changed_ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__d1", T.LongType())])
-    names = schema.names
 
     def name(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([digest(words.of(i))[0] for i in range(part.num_rows)], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([digest(words.of(i))[0] for i in range(part.num_rows)], pa.int64())], [*part.schema.names, f"c{part.num_columns}"])
 
-    named = only(docs, ids, "doc_id").mapInArrow(name, schema)
-    kept = parts.select("doc_id", F.col("d1").alias("__d1"), F.col("kept").alias("__kept"))
-    cut = named.join(changed, ["doc_id", "__d1"], "left").join(kept, ["doc_id", "__d1"], "left")
-    text = F.when(F.col("__cut"), F.coalesce("__kept", F.lit(""))).otherwise(F.col("text"))
-    return only(docs, ids, "doc_id", "left_anti").union(cut.withColumn("text", text).select(docs.columns))
+    named = mapped(only(docs, ids, "doc_id"), name, [T.StructField(d1, T.LongType())])
+    cut = named.join(changed, ["doc_id", d1], "left").join(parts.select("doc_id", F.col("d1").alias(d1), F.col("kept").alias(kept)), ["doc_id", d1], "left")
+    text = F.when(F.col(gone), F.coalesce(kept, F.lit(""))).otherwise(F.col("text"))
+    return only(docs, ids, "doc_id", "left_anti").union(cut.withColumn("text", text).select(every_column(docs)))
 
 
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

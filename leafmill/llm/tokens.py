@@ -2,7 +2,7 @@
 
 The vocabulary drops white space, so a text's ids are those of its pieces between ASCII
 white space, one after the other; each distinct piece is encoded once per worker while
-it stays among the REMEMBERED last ones. A vocabulary for which that doesn't hold (a
+it stays among at most REMEMBERED ones. When they are full, those that were met again stay. A vocabulary for which that doesn't hold (a
 probe tells) gets whole texts.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 REMEMBERED, REMEMBERED_CHARS = 800_000, 16_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, TOKEN_BYTES = 1 << 19, 2 << 20
 MARK = "\x01"
 SPECIAL = "<|"
 
@@ -32,15 +32,22 @@ class Remembered:
     """Ids of texts from the ids of their distinct pieces, which are kept until there are too many."""
 
     def __init__(self):
-        self._forget()
-
-    def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.chars = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Pieces that were met again stay, unless they fill half the room."""
+        names = [p for p, again in zip(self.at, self.again.tolist(), strict=False) if again] if self.at else []
+        if len(names) > REMEMBERED // 2 or sum(map(len, names)) > REMEMBERED_CHARS // 2:
+            names = []
+        index = np.array([self.at[p] for p in names], np.int64)
+        sizes = self.sizes[index] if names else np.zeros(0, np.int64)
+        begins = np.cumsum(sizes) - sizes
+        ids = self.pool[np.repeat(self.starts[index] - begins, sizes) + np.arange(int(sizes.sum()))] if names else []
+        self.at, self.chars, self.used = {}, 0, 0
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.sizes = np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes, self.again = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+        self._keep(names, ids, sizes)
 
     def pieces(self, texts: pa.Array) -> pa.Array:
         """A list of pieces for each text."""
@@ -50,14 +57,13 @@ class Remembered:
         """The pieces in some order, all their ids in that order, and how many each has."""
         raise NotImplementedError
 
-    def _learn(self, pieces: list[str]) -> None:
-        names, ids, sizes = self.ids_of(pieces)
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, total = len(self.at), len(ids)
         self.chars += sum(map(len, names))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(names) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
         self.pool[self.used : self.used + total] = ids
         self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(names)] = sizes
@@ -71,10 +77,13 @@ class Remembered:
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.at) + len(names) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self._forget()
+            self.forget()
+        known = len(self.at)
         if new := [p for p in names if p not in self.at]:
-            self._learn(new)
-        index = np.array([self.at[p] for p in names], np.int64)[np.asarray(coded.indices)] if names else np.zeros(0, np.int64)
+            self._keep(*self.ids_of(new))
+        own = np.array([self.at[p] for p in names], np.int64)
+        self.again[own[own < known]] = True
+        index = own[np.asarray(coded.indices)] if names else own
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -132,10 +141,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Parts of a batch of about SLICE_BYTES of text each; a longer text is one part."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
+    """Parts of a batch of about `most` bytes of text each; a longer text is one part."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes) - sizes) // most
     edges = [0, *(np.nonzero(np.diff(part))[0] + 1), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+BLOCK = 1 << 17
 STEP = np.uint64(0xD6E8FEB86659FD93)
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -29,7 +30,10 @@ def powers(n: int, step: np.uint64 = STEP) -> np.ndarray:
 
 
 class Words:
-    """hashes of all words of a batch in order; bounds: first word of each text and the end; start, stop: their bytes in data."""
+    """hashes of all words of a batch in order; bounds: first word of each text and the end; start, stop: their bytes in data.
+
+    Beyond a flag and a code for each byte, memory is by the word: bytes are hashed BLOCK at a time.
+    """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
@@ -49,13 +53,32 @@ class Words:
         self.stop = np.nonzero(full & ~after)[0] + 1
         self.bounds = np.searchsorted(self.start, edges)
         sizes = self.stop - self.start
-        inside = np.repeat(self.start, sizes)
-        at = np.arange(len(inside)) + np.repeat(self.start - np.cumsum(sizes) + sizes, sizes)
-        power = powers(int(sizes.max()) if len(sizes) else 0)
         with np.errstate(over="ignore"):
-            terms = _BYTE[self.data[at]] * power[at - inside]
-            sums = np.add.reduceat(terms, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
-            self.hashes = mix(sums + sizes.astype(np.uint64) * STEP)
+            self.hashes = mix(self._sums(sizes) + sizes.astype(np.uint64) * STEP)
+
+    def _sums(self, sizes: np.ndarray) -> np.ndarray:
+        """For each word the sum of its bytes' codes times the powers of STEP."""
+        out = np.zeros(len(sizes), np.uint64)
+        power = powers(min(int(sizes.max()), BLOCK) if len(sizes) else 0)
+        ends = np.cumsum(sizes)
+        long = np.nonzero(sizes > BLOCK)[0]
+        with np.errstate(over="ignore"):
+            for w in long.tolist():
+                ahead = np.uint64(1)
+                for a in range(int(self.start[w]), int(self.stop[w]), BLOCK):
+                    part = _BYTE[self.data[a : min(a + BLOCK, int(self.stop[w]))]]
+                    out[w] += (part * power[: len(part)]).sum() * ahead
+                    ahead = ahead * power[-1] * STEP
+            block = (ends - sizes) // BLOCK
+            block[long] = -1
+            cuts = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(sizes)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a and block[a] >= 0:
+                    own = sizes[a:b]
+                    at = np.cumsum(own) - own
+                    inside = np.arange(int(own.sum())) - np.repeat(at, own)
+                    out[a:b] = np.add.reduceat(_BYTE[self.data[np.repeat(self.start[a:b], own) + inside]] * power[inside], at)
+        return out
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
