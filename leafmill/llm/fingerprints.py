@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, quantile_cuts, range_of, shuffle_parts
+from .common import bound, documents, quantile_cuts, range_of, shuffle_parts
 
 CHAIN, GAP = 2, 3
 #: Common words of English, French, German and Spanish.
@@ -29,39 +29,42 @@ ANCHORS = (
 ).split()
 
 
+def _spot(*words: Column) -> Column:
+    return F.substring(F.md5(F.concat_ws(" ", *words).cast("binary")), 1, 8)
+
+
 def signature_set(text: Column) -> Column:
-    """Sorted distinct signatures of a text, as longs under 2^32."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    start = F.struct(F.lit("").alias("one"), F.lit("").alias("two"), F.lit(0).alias("run"), F.array().cast("array<bigint>").alias("found"))
-
-    def step(acc: Column, w: Column) -> Column:
-        """From the last word to the first: the two content words that follow, and how many come in a row, are at hand."""
-        common = w.isin(ANCHORS)
-        spot = F.xxhash64(w, acc["one"], acc["two"]).bitwiseAND(F.lit(0xFFFFFFFF))
-        found = F.when(F.when(common, acc["two"] != "").otherwise(acc["run"] >= GAP), F.array_append(acc["found"], spot)).otherwise(acc["found"])
-        return F.struct(
-            F.when(common, acc["one"]).otherwise(w).alias("one"), F.when(common, acc["two"]).otherwise(acc["one"]).alias("two"), F.when(common, 0).otherwise(acc["run"] + 1).alias("run"), found.alias("found")
-        )
+    """Sorted distinct signatures of a text, each eight hex digits; every word is looked at a fixed number of times."""
+    none = F.array().cast("array<string>")
+
+    def around(ws: Column, at: Column, p: Column, k: Column) -> Column:
+        """Signatures of the content word in place p, the k-th (from 0), and of the common words right before it."""
+        one, two = F.get(at, k + 1), F.get(at, k + 2)
+        ahead = F.when(k == 0, -1).otherwise(F.get(at, k - 1))
+        common = F.transform(F.slice(ws, ahead + 2, p - ahead - 1), lambda c: _spot(c, F.get(ws, p), F.get(ws, one)))
+        dense = F.array(_spot(F.get(ws, p), F.get(ws, one), F.get(ws, two)))
+        return F.concat(F.when((p - ahead > 1) & one.isNotNull(), common).otherwise(none), F.when(F.get(at, k + GAP) == p + GAP, dense).otherwise(none))
 
     def plain(ws: Column) -> Column:
-        return F.transform(ws, lambda w, i: F.xxhash64(w, F.coalesce(F.get(ws, i + 1), F.lit("")), F.coalesce(F.get(ws, i + 2), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.transform(ws, lambda w, i: _spot(w, F.coalesce(F.get(ws, i + 1), F.lit("")), F.coalesce(F.get(ws, i + 2), F.lit(""))))
 
     def both(ws: Column) -> Column:
-        spots = F.aggregate(F.reverse(ws), start, step, lambda acc: acc["found"])
-        return F.transform(F.array(spots), lambda s: F.when(F.size(s) > 0, s).otherwise(plain(ws)))[0]
+        at = F.filter(F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(ws, i).isin(ANCHORS))
+        spots = bound(at, lambda places: F.flatten(F.transform(places, lambda p, k: around(ws, places, p, k))))
+        return bound(spots, lambda found: F.when(F.size(found) > 0, found).otherwise(plain(ws)))
 
-    # A one-element array binds the word list once for all that uses it.
-    return F.transform(F.array(words), lambda ws: F.array_sort(F.array_distinct(both(ws))))[0]
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.sort_array(F.array_distinct(bound(words, both)))
 
 
 def as_string(signatures: Column) -> Column:
-    return F.array_join(F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
+    return F.array_join(signatures, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of two signature sets; 1 for two empty ones."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common)).cast("double")
+    shared = bound(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared).cast("double")
 
 
 def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
@@ -136,3 +139,46 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+_COMMON = ", ".join(f"'{w}'" for w in ANCHORS)
+OP2_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents
+), ring AS (
+  SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM docs
+), pairs AS (
+  SELECT *, left(t, n - n // 2) || left(after, n // 2) AS edited, lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id FROM ring
+), texts AS (
+  SELECT doc_id, 0 AS which, t FROM pairs UNION ALL SELECT doc_id, 1, edited FROM pairs
+), words AS (
+  SELECT doc_id, which, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM texts
+), one AS (
+  SELECT doc_id, which, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words
+), flagged AS (
+  SELECT *, w NOT IN ({_COMMON}) AS content FROM one
+), ranked AS (
+  SELECT *, count(*) FILTER (content) OVER (PARTITION BY doc_id, which ORDER BY i) AS k FROM flagged
+), contents AS (
+  SELECT doc_id, which, k, i, w, lead(w, 1) OVER c AS w1, lead(w, 2) OVER c AS w2, lead(i, {GAP}) OVER c AS far FROM ranked WHERE content WINDOW c AS (PARTITION BY doc_id, which ORDER BY i)
+), spots AS (
+  SELECT doc_id, which, w || ' ' || w1 || ' ' || w2 AS s FROM contents WHERE far = i + {GAP}
+  UNION ALL
+  SELECT r.doc_id, r.which, r.w || ' ' || c.w || ' ' || c.w1 FROM ranked r JOIN contents c ON r.doc_id = c.doc_id AND r.which = c.which AND r.k + 1 = c.k WHERE NOT r.content AND c.w1 IS NOT NULL
+), plain AS (
+  SELECT doc_id, which, w || ' ' || coalesce(lead(w, 1) OVER p, '') || ' ' || coalesce(lead(w, 2) OVER p, '') AS s FROM one WINDOW p AS (PARTITION BY doc_id, which ORDER BY i)
+), every AS (
+  SELECT * FROM spots UNION ALL SELECT plain.* FROM plain ANTI JOIN spots ON plain.doc_id = spots.doc_id AND plain.which = spots.which
+), sets AS (
+  SELECT doc_id, which, list(DISTINCT left(md5(s), 8)) AS sigs FROM every GROUP BY 1, 2
+), full_sets AS (
+  SELECT t.doc_id, t.which, coalesce(sigs, []) AS sigs FROM texts t LEFT JOIN sets s ON t.doc_id = s.doc_id AND t.which = s.which
+), met AS (
+  SELECT p.doc_id, p.n, p.edited, a.sigs AS a, b.sigs AS b, c.sigs AS c, len(list_intersect(a.sigs, b.sigs)) AS ab, len(list_intersect(a.sigs, c.sigs)) AS ac
+  FROM pairs p JOIN full_sets a ON a.doc_id = p.doc_id AND a.which = 0 JOIN full_sets b ON b.doc_id = p.doc_id AND b.which = 1
+  JOIN full_sets c ON c.which = 0 AND c.doc_id = coalesce(p.next_id, (SELECT max(doc_id) FROM pairs))
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(list_sort(a), '') AS fingerprint, array_to_string(list_sort(b), '') AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE ab::DOUBLE / (len(a) + len(b) - ab) END AS near_edited, CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE ac::DOUBLE / (len(a) + len(c) - ac) END AS near_next
+FROM met
+"""

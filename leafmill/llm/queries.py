@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fingerprints import op2_spotsigs
+from .fingerprints import OP2_SQL, op2_spotsigs
 from .idfiles import op5_id_files
 from .langid import op8_langid
 from .near import OP6_SQL, op6_lsh_forest
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_kd_trees": OP1_SQL,
+    "op2_spotsigs": OP2_SQL,
     "op3_phrase_automata": OP3_SQL,
     "op6_lsh_forest": OP6_SQL,
 }
