@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import langid, near, packing, pii, repeats
-from leafmill.llm.common import documents, shared_dir, written
+from leafmill.llm.common import documents, every_column, fresh, shared_dir, written
 
 #: A posterior below this names no language; with few languages only texts that fit several alike fall under it.
 LEAST_SCORE = 0.3
@@ -28,24 +28,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learned(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predicted(docs, model, "__lang", "__score")
-    return found.where((F.col("__lang") != langid.UND) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = langid.predicted(docs, model, lang, score)
+    return found.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(every_column(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: one document of each group stays."""
-    return near.deduplicated(docs).select(docs.columns)
+    return near.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words that an earlier document holds go."""
-    return _measured(repeats.cut_texts(docs)).select(docs.columns)
+    return _measured(repeats.cut_texts(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets."""
-    found = pii.with_spans(docs, "__pii")
-    return _measured(found.withColumn("text", pii.redacted(F.col("text"), F.col("__pii.all")))).select(docs.columns)
+    name = fresh(docs, "pii")
+    found = pii.with_spans(docs, name)
+    return _measured(found.withColumn("text", pii.redacted(F.col("text"), F.col(f"{name}.all")))).select(every_column(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
