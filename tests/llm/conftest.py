@@ -1,14 +1,14 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, halo string, shard string"
+DOCS = "lang string, text string, source string, n_chars long, part string, halo string, shard string, lang_pred string, pii string, d1 long, gone long, kept string, rep long, `a.b` string, doc_id long"
 
 
 @pytest.fixture
 def make(spark, tmp_path):
-    """A folder with a documents table of the given (doc_id, text) rows and columns whose names clash with inner ones."""
+    """A folder with a documents table of the given (doc_id, text) rows and columns whose names clash with inner ones; doc_id comes last."""
 
     def build(rows, langs=None):
-        full = [(i, t, (langs or {}).get(i), "s", len(t or ""), "p", "h", "x") for i, t in rows]
+        full = [((langs or {}).get(i), t, "s", len(t or ""), "p", "h", "x", "l", "q", 1, 2, "k", 3, "y", i) for i, t in rows]
         spark.createDataFrame(full, DOCS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         return str(tmp_path)
 

@@ -53,9 +53,11 @@ def test_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) and r.lang == full[i].lang for i, r in third.items())
 
     fourth = {r.doc_id: r for r in stage(spark, docs, "pii").collect()}
+    found = {r.doc_id: r.spans for r in pii.op10_pii(spark, SMALL).collect()}
     for i, t in texts:
-        spans, out, at = plain_base(t), [], 0
-        for kind, a, b in spans:
+        spans, out, at = [x.split(":") for x in found[i].split(",") if x], [], 0
+        assert set(plain_base(t)) <= {(k, int(a), int(b)) for k, a, b in spans}
+        for kind, a, b in ((k, int(a), int(b)) for k, a, b in spans):
             if a >= at:
                 out += [t[at:a], f"[{kind.upper()}]"]
             at = max(at, b)
@@ -88,4 +90,4 @@ def test_odd_rows(spark, make, odd):
 
 
 def test_spans_reach_the_text(spark):
-    assert pii.fitted()[1] < float("inf")
+    assert max(pii.fitted()[1].values()) < float("inf")
