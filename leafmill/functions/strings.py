@@ -32,7 +32,7 @@ BOILERPLATE = [
     r"conference acronym\b",
 ]
 #: Footnote marks at a line's start, and the length from which such a line stays.
-FOOTNOTE = r"(?U)^[*\u2217\u2020\u2021]+\s*\w"
+FOOTNOTE = rf"(?U)\A{WS}*+[*∗†‡]+\s*\w"
 FOOTNOTE_CHARS = 90
 #: The DOI pattern and what is taken off its end.
 DOI = r"(?iU)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
@@ -95,15 +95,18 @@ def clean_text(c: Column) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    """For a stripped line that isn't empty."""
-    listed = line.rlike("(?iU)^(?:" + "|".join(BOILERPLATE) + ")")
-    return listed | (line.rlike(FOOTNOTE) & (F.length(line) < FOOTNOTE_CHARS))
+    """White space around the line set aside; a blank line is none."""
+    listed = line.rlike(rf"(?iU)\A{WS}*+(?:" + "|".join(BOILERPLATE) + ")")
+    return F.when(line.rlike(FOOTNOTE), F.length(py_strip(line)) < FOOTNOTE_CHARS).otherwise(False) | listed
+
+
+def content_lines(c: Column) -> Column:
+    """Lines that aren't boilerplate."""
+    return F.filter(py_splitlines(c), lambda x: ~is_boilerplate(x))
 
 
 def strip_boilerplate(c: Column) -> Column:
-    lines = F.transform(py_splitlines(c), lambda x: F.struct(x.alias("line"), py_strip(x).alias("bare")))
-    kept = F.filter(lines, lambda x: (x["bare"] == "") | ~is_boilerplate(x["bare"]))
-    return clean_text(F.array_join(F.transform(kept, lambda x: F.when(x["bare"] == "", F.lit("")).otherwise(x["line"])), "\n"))
+    return clean_text(F.regexp_replace(F.array_join(content_lines(c), "\n"), r"(?U)(?<![^\n])(?:[^\S\n]|\x1f)++(?![^\n])", ""))
 
 
 @F.pandas_udf(T.StringType())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +55,23 @@ def grown(boxes: np.ndarray, gap: float = GAP) -> np.ndarray:
 
 
 def clustered(boxes: DataFrame, gap: float = GAP) -> DataFrame:
-    """Clusters of the boxes of each page (doc_id, page, page_w, page_h), a document's pages at a time."""
+    """Clusters of the boxes of each page (doc_id, page, page_w, page_h).
+
+    A page is one array, so a batch of Arrow rows holds many pages and a long document
+    isn't one task's.
+    """
     kinds, corners = dict(boxes.dtypes), ["x0", "y0", "x1", "y1"]
     keys = ["doc_id", "page", "page_w", "page_h"]
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x0 double, y0 double, x1 double, y1 double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", found array<array<double>>"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page", kind="stable")
-        points, pages = rows[corners].to_numpy(float), rows["page"].to_numpy()
-        edges = [0, *(np.nonzero(pages[1:] != pages[:-1])[0] + 1).tolist(), len(rows)]
-        found = [grown(points[a:b], gap) for a, b in zip(edges, edges[1:], strict=False)]
-        heads = rows[keys].iloc[np.repeat(edges[:-1], [len(x) for x in found])].reset_index(drop=True)
-        return pd.concat([heads, pd.DataFrame(np.concatenate(found), columns=corners)], axis=1)
+    def run(batches):
+        for rows in batches:
+            found = [grown(np.stack(list(b)).astype(float), gap).tolist() for b in rows["found"]]
+            yield rows.assign(found=found)
 
-    return boxes.select(*keys, *corners).groupBy("doc_id").applyInPandas(run, schema)
+    listed = boxes.groupBy(*keys).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in corners])).alias("found"))
+    rows = listed.select(*keys, "found").mapInPandas(run, schema).select(*keys, F.explode("found").alias("box"))
+    return rows.select(*keys, *[F.col("box")[i].alias(c) for i, c in enumerate(corners)])
 
 
 def raster_regions(prims: DataFrame) -> DataFrame:
@@ -119,16 +121,25 @@ def figures(prims: DataFrame, blocks: DataFrame, max_pages: int | None = None, m
     boxes = raster_regions(prims).select(*keys, "x0", "y0", "x1", "y1").unionByName(clustered(vector_boxes(prims)))
     on_page = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "y1", "x1")
     regions = clustered(boxes).withColumn("region", F.row_number().over(on_page))
-    merged = merged_by_caption(with_captions(regions, blocks)).where(share() >= MIN_FIGURE)
-    ordered = merged.withColumn("fig_idx", F.row_number().over(on_page) - 1).withColumn("area", area())
-    largest = Window.partitionBy("doc_id").orderBy(F.desc("area"), "page", "y0", "x0")
-    kept = ordered.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= max_figures)
+    kept = largest(merged_by_caption(with_captions(regions, blocks)), max_figures)
     in_doc = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "fig_idx")
     rect = F.struct("x0", "y0", "x1", "y1").alias("rect")
-    crop = F.struct(
+    return kept.select("doc_id", F.row_number().over(in_doc).alias("ord"), "page", "fig_idx", rect, crop_rect().alias("crop_rect"), "label", "caption")
+
+
+def largest(regions: DataFrame, max_figures: int = MAX_FIGURES, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The max_figures largest of each document's regions above the least size, with fig_idx; `ties` tells equal boxes apart."""
+    on_page = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "y1", "x1", *ties)
+    ordered = regions.where(share() >= MIN_FIGURE).withColumn("fig_idx", F.row_number().over(on_page) - 1).withColumn("area", area())
+    by_area = Window.partitionBy("doc_id").orderBy(F.desc("area"), "page", "y0", "x0", *ties)
+    return ordered.withColumn("rank", F.row_number().over(by_area)).where(F.col("rank") <= max_figures)
+
+
+def crop_rect() -> Column:
+    """The box with room around it, cut at the page's edges."""
+    return F.struct(
         F.greatest(F.lit(0.0), F.col("x0") - PAD).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - PAD).alias("y0"), F.least(F.col("page_w"), F.col("x1") + PAD).alias("x1"), F.least(F.col("page_h"), F.col("y1") + PAD).alias("y1")
-    ).alias("crop_rect")
-    return kept.select("doc_id", F.row_number().over(in_doc).alias("ord"), "page", "fig_idx", rect, crop, "label", "caption")
+    )
 
 
 def crop_name() -> Column:

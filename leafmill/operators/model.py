@@ -6,7 +6,10 @@ once in each worker by a factory. The default needs no network.
 
 from __future__ import annotations
 
+import functools
 import os
+import sys
+import traceback
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,10 +22,12 @@ from leafmill.functions import strings as S
 from .chunking import MAX_CHARS, MAX_CHUNKS, chunk_table
 from .weave import woven
 
+#: The notes that stand for missing results, the default model and service.
 NO_VISION = "[No vision interpretation available — caption only]"
 NO_TEXT = "_No extractable text in this PDF._"
 DEFAULT_MODEL = "google/gemini-3.1-flash-lite"
 DEFAULT_URL = "https://openrouter.ai/api/v1"
+DEBUG_TRACE = "LEAFMILL_DEBUG_TRACE"
 
 
 @dataclass(frozen=True)
@@ -68,17 +73,23 @@ class ChatModel:
             from openai import OpenAI
         except ImportError as e:
             raise RuntimeError("the openai package is not installed") from e
-        return OpenAI(api_key=os.environ["OPENAI_API_KEY"], base_url=os.environ.get("OPENAI_BASE_URL") or DEFAULT_URL)
+        return _shared(OpenAI, os.environ["OPENAI_API_KEY"], os.environ.get("OPENAI_BASE_URL") or DEFAULT_URL)
 
     def complete(self, prompts: list[str], images: list[str | None]) -> list[str]:
         client, out = self._client(), []
         for prompt, image in zip(prompts, images, strict=True):
             content = prompt if image is None else [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{image}"}}]
-            reply = client.chat.completions.create(model=self.model or text_model(), messages=[{"role": "user", "content": content}], **self.settings)
+            reply = client.chat.completions.create(model=self.model or (text_model() if image is None else vision_model()), messages=[{"role": "user", "content": content}], **self.settings)
             out.append(reply.choices[0].message.content)
         return out
 
 
+@functools.lru_cache(4)
+def _shared(kind, key: str, url: str):
+    """One client for all calls of a worker."""
+    return kind(api_key=key, base_url=url)
+
+
 def text_model() -> str:
     return os.environ.get("OPENAI_MODEL", DEFAULT_MODEL)
 
@@ -88,7 +99,9 @@ def vision_model() -> str:
 
 
 def error_text(e: BaseException) -> str:
-    """Type and message, or the type alone."""
+    """Type and message, or the type alone; with DEBUG_TRACE set, the traceback goes to the worker's error output."""
+    if os.environ.get(DEBUG_TRACE, "").strip().lower() not in ("", "0", "false", "no", "off"):
+        traceback.print_exception(e, file=sys.stderr)
     return f"{type(e).__name__}: {e}" if str(e).strip() else type(e).__name__
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
+from leafmill.functions.arrays import bound, sums_before
 
 from .model import NO_VISION
 from .weave import extra_caption, figure_label, woven
@@ -79,14 +80,13 @@ def raw_document(crops: Column | None = None) -> Column:
 
 def bump_headings(md: Column, levels: int = 1) -> Column:
     """Headings of levels 1 to 5 sink by `levels`; lines between fences stay."""
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
-        fence = S.py_lstrip(line).rlike(r"\A(?:```|~~~)")
-        heading = ~acc["fenced"] & ~fence & line.rlike(r"(?U)\A#{1,5}\s")
-        return F.struct((acc["fenced"] != fence).alias("fenced"), F.array_append(acc["out"], F.when(heading, F.concat(F.lit("#" * levels), line)).otherwise(line)).alias("out"))
+    def sunk(lines: Column) -> Column:
+        fences = F.transform(lines, lambda x: x.rlike(rf"(?U)\A{S.WS}*+(?:```|~~~)").cast("int"))
+        heading = lambda x: x.rlike(r"(?U)\A#{1,5}\s")  # noqa: E731  a fence is none
+        return bound(sums_before(fences), lambda before: F.transform(lines, lambda x, i: F.when((F.get(before, i) % 2 == 0) & heading(x), F.concat(F.lit("#" * levels), x)).otherwise(x)))
 
-    body = F.aggregate(S.py_splitlines(md), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    body = F.array_join(bound(S.py_splitlines(md), sunk), "\n")
     return F.when(F.endswith(md, F.lit("\n")), F.concat(body, F.lit("\n"))).otherwise(body)
 
 

@@ -16,31 +16,31 @@ def options_hash(**options) -> str:
     return hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()[:16]
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The state of this version; empty where there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={STATE_VERSION}/current")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """The state of this version: the table that the last pointer names; empty where there is none."""
+    base = f"{folder}/v={STATE_VERSION}"
+    target, fs = _fs(spark, f"{base}/pointers")
+    names = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+    if not names:
         return spark.createDataFrame([], STATE)
-    with_name = fs.open(path)
-    name = jvm.org.apache.commons.io.IOUtils.toString(with_name, "UTF-8")
-    with_name.close()
-    return spark.read.schema(STATE).parquet(f"{folder}/v={STATE_VERSION}/{name}")
+    return spark.read.schema(STATE).parquet(f"{base}/{max(names).partition('_')[2]}")
 
 
 def save(state: DataFrame, folder: str) -> None:
-    """Write beside the table being read, then point to the new one."""
+    """Write beside the table being read, then point to the new one by an empty file's name, which is there whole or not at all."""
+    import time
     import uuid
 
-    spark = state.sparkSession
+    spark, base = state.sparkSession, f"{folder}/v={STATE_VERSION}"
     name = f"state-{uuid.uuid4().hex}"
-    state.select(*STATE.names).write.parquet(f"{folder}/v={STATE_VERSION}/{name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={STATE_VERSION}/current")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    state.select(*STATE.names).write.parquet(f"{base}/{name}")
+    target, fs = _fs(spark, f"{base}/pointers/{time.time_ns():020d}_{name}")
+    fs.create(target, False).close()
 
 
 def split(files: DataFrame, state: DataFrame, options: str, crops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

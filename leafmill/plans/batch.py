@@ -44,26 +44,32 @@ class Report:
     written: list[str]
     crops: int
     little_text: list[str]
+    errors: list[str] = field(default_factory=list)
 
     @property
     def exit_code(self) -> int:
         return int(self.failures > 0)
 
 
-def extracted(found: DataFrame, o: Options) -> DataFrame:
-    """filename, pdf_path, hash, title, text, figures, error of new files."""
-    rows = titles.with_titles(pdf.texts(found, o.backend, o.max_pages))
-    rows = rows.select("filename", F.col("path").alias("pdf_path"), "hash", "title", S.clean_pdf_text(F.col("raw_text")).alias("text"), "error")
-    none = F.array().cast(FIGURES)
+def extracted(spark: SparkSession, found: DataFrame, o: Options) -> DataFrame:
+    """filename, pdf_path, hash, title, text, figures, error of new files; each is parsed once, the result written."""
+    work, none = f"{o.work_dir}/run", F.array().cast(FIGURES)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    titled = titles.with_titles(found.select("path", "filename", "hash", "content").join(parsed := written(pdf.read(found.select("path", "filename", "hash", "content"), o.backend, o.max_pages, o.figures), "parsed").drop("path", "hash"), "filename"))
+    rows = titled.select("filename", F.col("path").alias("pdf_path"), "hash", "title", S.clean_pdf_text(F.col("raw_text")).alias("text"), "error")
     if not o.figures:
-        return rows.withColumn("figures", none)
-    prims, blocks = pdf.geometry(found, o.backend)
-    regions = layout.figures(prims, blocks, o.max_pages, o.max_figures)
-    crops = pdf.write_crops(found, regions, o.backend, f"{o.work_dir}/figures")
+        return written(rows.withColumn("figures", none), "extracted")
+    prims, blocks = pdf.geometry(parsed.where(F.col("error").isNull()))
+    regions = written(layout.figures(prims, blocks, o.max_pages, o.max_figures), "regions")
+    crops = written(pdf.write_crops(found, regions, o.backend, f"{o.work_dir}/figures"), "crops")
     fig = F.struct("page", "rect", "label", "caption", "png_path", F.lit(None).cast("string").alias("description"))
-    listed = regions.join(crops, ["doc_id", "ord"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", fig.alias("fig")))).alias("figs"))
-    joined = rows.join(listed, S.stem(F.col("filename")) == F.col("doc_id"), "left")
-    return joined.withColumn("figures", F.coalesce(F.transform("figs", lambda x: x["fig"]).cast(FIGURES), none)).drop("figs", "doc_id")
+    listed = regions.join(crops, ["doc_id", "ord"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", fig.alias("fig")))).alias("figs"), F.min_by("crop_error", F.when(F.col("crop_error").isNotNull(), F.col("ord"))).alias("crop_error"))
+    joined = rows.join(listed, S.stem(F.col("filename")) == F.col("doc_id"), "left").withColumn("error", F.coalesce("error", "crop_error"))
+    return written(joined.withColumn("figures", F.coalesce(F.transform("figs", lambda x: x["fig"]).cast(FIGURES), none)).drop("figs", "doc_id", "crop_error"), "extracted")
 
 
 def load(spark: SparkSession, o: Options) -> DataFrame:
@@ -72,13 +78,13 @@ def load(spark: SparkSession, o: Options) -> DataFrame:
     found = files.pdf_files(spark, o.papers_dir, only)
     folder, options = f"{o.work_dir}/state", state.options_hash(pages=o.max_pages, figures=o.figures, most=o.max_figures)
     if not o.use_cache:
-        return extracted(found, o)
+        return extracted(spark, found, o)
     known = state.load(spark, folder)
     if o.clear_cache:
         known = known.limit(0)
     crops = files.crop_files(spark, f"{o.work_dir}/figures")
     hits, misses = state.split(found, known, options, crops)
-    new = extracted(misses, o).withColumn("options_hash", F.lit(options))
+    new = extracted(spark, misses, o).withColumn("options_hash", F.lit(options))
     failed = new.where(F.col("error").isNotNull())
     fresh = new.where(F.col("error").isNull())
     state.save(state.upserted(known, fresh.select(*known.columns)), folder)
@@ -95,6 +101,7 @@ def run(spark: SparkSession, o: Options) -> Report:
     loaded = spark.read.parquet(f"{work}/loaded")
     papers = loaded.where(F.col("error").isNull()).drop("error")
     failures = loaded.where(F.col("error").isNotNull()).count()
+    errors = [f"extract failed for {r[0]}: {r[1]}" for r in loaded.where(F.col("error").isNotNull()).select("filename", "error").orderBy("filename").limit(100).collect()]
 
     def keep(parts: DataFrame) -> DataFrame:
         parts.write.mode("overwrite").parquet(f"{work}/parts")
@@ -105,10 +112,12 @@ def run(spark: SparkSession, o: Options) -> Report:
     done.write.mode("overwrite").parquet(f"{work}/summarized")
     done = spark.read.parquet(f"{work}/summarized")
     n = done.count()
-    failures += done.where("status = 'failed'").count()
+    failed = done.where("status = 'failed'")
+    failures += failed.count()
+    errors += [f"summary failed for {r[0]}: {r[1]}" for r in failed.select("filename", "error").orderBy("filename").limit(100).collect()]
     little = [r[0] for r in done.where(F.length("text") < LITTLE_TEXT).select("filename").orderBy("filename").limit(100).collect()]
     if o.paper and not n:
-        return Report(0, max(failures, 1), [], 0, little)
+        return Report(0, max(failures, 1), [], 0, little, errors)
     there = done.select("filename", F.explode("figures.png_path").alias("path")).join(crops.select("path"), "path", "left_semi")
     done = done.join(there.groupBy("filename").agg(F.collect_set("path").alias("__crops")), "filename", "left")
     existing = F.coalesce("__crops", F.array().cast("array<string>"))
@@ -117,14 +126,14 @@ def run(spark: SparkSession, o: Options) -> Report:
     main = docs.select(F.col("__name").alias("filename"), F.col("__main").alias("content"))
     raw = docs.where((F.col("text") != "") | (F.size("figures") > 0)).select(F.concat(F.lit("raw/"), "__name").alias("filename"), F.col("__raw").alias("content"))
     copied = sinks.export_crops(done, o.out_dir)
-    wrote = [r[0] for r in sinks.write_if_changed(main.union(raw), o.out_dir).where("written").collect()]
+    wrote = [r[0] for r in sinks.write_if_changed(main.union(raw), o.out_dir).collect()]
     docs = files.written_documents(spark, o.out_dir)
     raws = files.written_documents(spark, f"{o.out_dir}/raw").select("filename")
     derived = render.index_document(docs, raws)
     if o.combined:
         derived = derived.union(render.combined_document(docs))
-    wrote += [r[0] for r in sinks.write_if_changed(derived, o.out_dir).where("written").collect()]
-    return Report(n, failures, sorted(wrote), copied, little)
+    wrote += [r[0] for r in sinks.write_if_changed(derived, o.out_dir).collect()]
+    return Report(n, failures, sorted(wrote), copied, little, errors)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -139,11 +148,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--clear-cache", action="store_true")
     p.add_argument("--no-figures", action="store_true")
     p.add_argument("--max-figures", type=int, default=layout.MAX_FIGURES)
+    p.add_argument("--work-dir", default=".leafmill", help="state, crops and run tables; a folder that all executors share")
     p.add_argument("--prompts", default="prompts.json")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("leafmill").config("spark.sql.session.timeZone", "UTC").config("spark.speculation", "false").getOrCreate()
     options = Options(
-        papers_dir=os.path.abspath(a.papers_dir), out_dir=os.path.abspath(a.out_dir), work_dir=os.path.abspath(".leafmill"), paper=a.paper, combined=a.combined, max_chunks=a.max_chunks, max_pages=a.max_pages or None,
+        papers_dir=os.path.abspath(a.papers_dir), out_dir=os.path.abspath(a.out_dir), work_dir=os.path.abspath(a.work_dir), paper=a.paper, combined=a.combined, max_chunks=a.max_chunks, max_pages=a.max_pages or None,
         use_cache=not a.no_cache, clear_cache=a.clear_cache, figures=not a.no_figures, max_figures=a.max_figures, prompts=model.Prompts.from_json(a.prompts), model=model.ChatModel,
     )
     report = run(spark, options)
@@ -151,6 +161,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"Wrote: {path}")
     for name in report.little_text:
         print(f"[WARN] Very little text in {name}", file=sys.stderr)
+    for error in report.errors:
+        print(f"[ERROR] {error}", file=sys.stderr)
     if report.failures:
         print(f"[WARN] Failures: {report.failures}", file=sys.stderr)
     return report.exit_code

@@ -15,23 +15,27 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _there(spark: SparkSession, folder: str) -> bool:
+def there(spark: SparkSession, folder: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def files(spark: SparkSession, folder: str, glob: str = "*", only: str | None = None) -> DataFrame:
-    """path, filename, content of a folder's own files; `only` a file name, kept to at the listing."""
-    if not _there(spark, folder):
+    """path, filename, content of a folder's own files; `only` a file name, kept to at the listing: no other file is read."""
+    if not there(spark, folder):
         raise FileNotFoundError(f"no folder {folder}")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).schema(BINARY).load(folder)
-    found = found.select("path", basename(F.col("path")).alias("filename"), "content")
-    return found.where(F.col("filename") == only) if only else found
+    kept = "".join(f"[{c}]" if c in "*?[{" else f"\\{c}" if c in "\\]}" else c for c in only) if only else glob
+    found = spark.read.format("binaryFile").option("pathGlobFilter", kept).schema(BINARY).load(folder)
+    return found.select("path", basename(F.col("path")).alias("filename"), "content")
+
+
+def content_hash(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
 
 
 def pdf_files(spark: SparkSession, folder: str, only: str | None = None) -> DataFrame:
     """path, filename, content, hash."""
-    return files(spark, folder, "*.pdf", only).withColumn("hash", F.sha2("content", 256))
+    return files(spark, folder, "*.pdf", only).withColumn("hash", content_hash(F.col("content")))
 
 
 def selected(names: DataFrame, wanted: str, column: str = "filename") -> DataFrame:
@@ -55,7 +59,7 @@ def select_paper(spark: SparkSession, folder: str, wanted: str) -> str:
 
 def written_documents(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ("INDEX.md", "PAPERS_SUMMARY.md")) -> DataFrame:
     """filename, content of all markdown files there but the excluded; files that aren't UTF-8 are left out."""
-    if not _there(spark, folder):
+    if not there(spark, folder):
         return spark.createDataFrame([], "filename string, content string")
     rows = files(spark, folder, "*.md").where(~F.col("filename").isin(*exclude))
     return rows.select("filename", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where(F.col("content").isNotNull())
@@ -63,7 +67,7 @@ def written_documents(spark: SparkSession, folder: str, exclude: tuple[str, ...]
 
 def crop_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, content of the crops under folder, which may not be there yet."""
-    if not _there(spark, folder):
+    if not there(spark, folder):
         return spark.createDataFrame([], "path string, content binary")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").schema(BINARY).load(folder)
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")

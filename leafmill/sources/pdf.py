@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import strings as S
+from leafmill.operators.model import error_text
 from leafmill.schemas import BLOCKS, PRIMS
 
 
@@ -58,61 +59,71 @@ class Libraries:
             return doc[page].get_pixmap(dpi=dpi, clip=pymupdf.Rect(rect)).tobytes("png")
 
 
-def texts(files: DataFrame, backend: Backend, max_pages: int | None = None) -> DataFrame:
-    """files with first_page and raw text; a text that can't be read is empty, with the error beside it."""
-    schema = T.StructType([*files.schema.fields, *[T.StructField(n, T.StringType()) for n in ("first_page", "raw_text", "error")]])
+FOUND = "first_page string, raw_text string, error string, prims array<struct<{}>>, blocks array<struct<{}>>".format(*(", ".join(x.replace(" ", ": ", 1) for x in ddl.split(", ")[1:]) for ddl in (PRIMS, BLOCKS)))
+_NAMES = [[x.split()[0] for x in ddl.split(", ")[1:]] for ddl in (PRIMS, BLOCKS)]
 
-    def one(content, pages):
+
+def read(files: DataFrame, backend: Backend, max_pages: int | None = None, figures: bool = True) -> DataFrame:
+    """files without their content, and FOUND: each file is parsed once; what fails for one is that row's error.
+
+    A text that can't be read is empty; a library that isn't there and pages that can't be
+    read are errors.
+    """
+    schema = T.StructType([f for f in files.schema.fields if f.name != "content"] + T._parse_datatype_string(FOUND).fields)
+
+    def text(content, pages):
         try:
-            return backend.text(bytes(content), pages).strip(), None
-        except RuntimeError as e:
-            return "", f"{type(e).__name__}: {e}"
-        except Exception:  # noqa: BLE001  an unreadable file has no text
-            return "", None
+            return backend.text(content, pages).strip()
+        except RuntimeError:
+            raise
+        except Exception as e:  # noqa: BLE001  an unreadable file has no text
+            error_text(e)
+            return ""
+
+    def one(content):
+        try:
+            first, whole = text(content, 1), text(content, max_pages)
+            prims, blocks = backend.geometry(content) if figures else ([], [])
+            return first, whole, None, *([dict(zip(names, x, strict=True)) for x in rows] for names, rows in zip(_NAMES, (prims, blocks), strict=True))
+        except Exception as e:  # noqa: BLE001  any failure becomes the row's error
+            return "", "", error_text(e), [], []
 
     def run(batches):
         for rows in batches:
-            first = [one(c, 1) for c in rows["content"]]
-            whole = [one(c, max_pages) for c in rows["content"]]
-            yield rows.assign(first_page=[t for t, _ in first], raw_text=[t for t, _ in whole], error=[e for _, e in whole])
+            out = pd.DataFrame([one(bytes(c)) for c in rows["content"]], columns=["first_page", "raw_text", "error", "prims", "blocks"], index=rows.index)
+            yield pd.concat([rows.drop(columns="content"), out], axis=1)
 
     return files.mapInPandas(run, schema)
 
 
-def geometry(files: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
-    """Tables of PRIMS and BLOCKS, doc_id being the file's stem."""
-    rows = files.select(S.stem(F.col("filename")).alias("doc_id"), "content")
-
-    def run(part: int, columns: list[str]):
-        def go(batches):
-            for batch in batches:
-                out = [(doc, *x) for doc, c in zip(batch["doc_id"], batch["content"], strict=True) for x in backend.geometry(bytes(c))[part]]
-                yield pd.DataFrame(out, columns=columns)
-
-        return go
-
-    names = [[x.split()[0] for x in ddl.split(", ")] for ddl in (PRIMS, BLOCKS)]
-    return rows.mapInPandas(run(0, names[0]), PRIMS), rows.mapInPandas(run(1, names[1]), BLOCKS)
+def geometry(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of PRIMS and BLOCKS of what read() gave, doc_id being the file's stem."""
+    rows = found.select(S.stem(F.col("filename")).alias("doc_id"), "prims", "blocks")
+    return rows.select("doc_id", F.inline("prims")), rows.select("doc_id", F.inline("blocks"))
 
 
 def write_crops(files: DataFrame, figures: DataFrame, backend: Backend, folder: str, dpi: int = 150) -> DataFrame:
-    """doc_id, ord, png_path of the figures' crops, written under folder/<doc_id>/, which all executors share."""
+    """doc_id, ord, png_path, crop_error of the figures' crops, written under folder/<doc_id>/, which all executors share."""
     import os
 
     from leafmill.operators.layout import crop_name
 
     rows = figures.select("doc_id", "ord", "page", "crop_rect", crop_name().alias("name")).join(files.select(S.stem(F.col("filename")).alias("doc_id"), "content"), "doc_id")
 
+    def one(r):
+        try:
+            path = os.path.join(folder, r.doc_id, r.name)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            data = backend.crop(bytes(r.content), r.page, tuple(r.crop_rect[k] for k in ("x0", "y0", "x1", "y1")), dpi)
+            with open(path, "wb") as f:
+                f.write(data)
+            return path, None
+        except Exception as e:  # noqa: BLE001  any failure becomes the row's error
+            return None, error_text(e)
+
     def run(batches):
         for batch in batches:
-            paths = []
-            for r in batch.itertuples():
-                path = os.path.join(folder, r.doc_id, r.name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                box = tuple(r.crop_rect[k] for k in ("x0", "y0", "x1", "y1"))
-                with open(path, "wb") as f:
-                    f.write(backend.crop(bytes(r.content), r.page, box, dpi))
-                paths.append(path)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ord": batch["ord"], "png_path": paths})
-
-    return rows.mapInPandas(run, "doc_id string, ord int, png_path string")
+            done = [one(r) for r in batch.itertuples()]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ord": batch["ord"], "png_path": [p for p, _ in done], "crop_error": [e for _, e in done]})
+
+    return rows.mapInPandas(run, "doc_id string, ord int, png_path string, crop_error string")

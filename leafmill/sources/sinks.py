@@ -4,43 +4,44 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources import files
+
 
 def changed(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Rows (filename, content) that `old` doesn't hold as they are."""
-    before = old.select("filename", F.col("content").alias("__old"), F.lit(True).alias("__there"))
+    """Rows (filename, content) that `old` doesn't hold as they are; contents meet as digests."""
+    before = old.select("filename", F.sha2(F.col("content").cast("binary"), 256).alias("__old"))
     joined = new.join(before, "filename", "left")
-    return joined.where(F.col("__there").isNull() | ~F.col("content").eqNullSafe(F.col("__old"))).drop("__old", "__there")
+    return joined.where(~F.sha2(F.col("content").cast("binary"), 256).eqNullSafe(F.col("__old"))).drop("__old")
 
 
-def write_if_changed(new: DataFrame, folder: str) -> DataFrame:
-    """filename, written: each file of `new` under a folder that all executors share; equal files are left alone.
+def write_if_changed(new: DataFrame, folder: str, parts: tuple[str, ...] = ("", "raw/")) -> DataFrame:
+    """filename of each file of `new` that the folder, which all executors share, doesn't hold as it is; those are written.
 
-    A file is put in place whole, so a repeated task does no harm.
+    Markdown in the folder's `parts` is compared; names elsewhere count as new. A file is
+    put in place whole, so a repeated task does no harm.
     """
 
     def put(batches):
         for rows in batches:
-            done = []
             for name, content in zip(rows["filename"], rows["content"], strict=True):
-                path, data = os.path.join(folder, name), content.encode()
-                same = False
-                if os.path.exists(path):
-                    with open(path, "rb") as f:
-                        same = f.read() == data
-                if not same:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    with open(f"{path}.{os.getpid()}.part", "wb") as f:
-                        f.write(data)
-                    os.replace(f.name, path)
-                done.append(not same)
-            yield pd.DataFrame({"filename": rows["filename"], "written": done})
-
-    return new.select("filename", "content").mapInPandas(put, "filename string, written boolean")
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{uuid.uuid4().hex}.part", "wb") as f:
+                    f.write(content.encode())
+                os.replace(f.name, path)
+            yield rows[["filename"]]
+
+    there = new.sparkSession.createDataFrame([], "filename string, content binary")
+    for part in parts:
+        if files.there(new.sparkSession, f"{folder}/{part}"):
+            there = there.union(files.files(new.sparkSession, f"{folder}/{part}", "*.md").select(F.concat(F.lit(part), "filename"), "content"))
+    return changed(new.select("filename", "content"), there).mapInPandas(put, "filename string")
 
 
 def export_crops(papers: DataFrame, folder: str) -> int:

@@ -57,11 +57,77 @@ def test_run(spark, tmp_path):
     assert "Paper One" in (tmp_path / "out" / "INDEX.md").read_text()
 
 
+class Counting(Made):
+    """Leaves a line for each call; files with BAD have unreadable pages, those with TORN no crops."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def _told(self, what):
+        with open(self.log, "a") as f:
+            f.write(what + "\n")
+
+    def text(self, content, max_pages):
+        self._told("text")
+        return super().text(content, max_pages)
+
+    def geometry(self, content):
+        self._told("geometry")
+        if b"BAD" in content:
+            raise ValueError("no such page")
+        return super().geometry(content)
+
+    def crop(self, content, page, rect, dpi):
+        self._told("crop")
+        if b"TORN" in content:
+            raise ValueError("no such picture")
+        return b"PNG"
+
+
+def test_each_file_is_parsed_once_and_fails_alone(spark, tmp_path):
+    papers = tmp_path / "papers"
+    papers.mkdir()
+    picture = {"prims": [[0, "raster", 100, 100, 400, 400, 612, 792]], "blocks": [[0, 0, 100, 410, 400, 420, "Figure 1: it"]]}
+    for name, text in (("good.pdf", "fine"), ("bad.pdf", "BAD"), ("torn.pdf", "TORN")):
+        (papers / name).write_bytes(b"%%" + json.dumps({"text": text, **picture}).encode())
+    o = batch.Options(str(papers), str(tmp_path / "out"), str(tmp_path / "work"), backend=Counting(str(tmp_path / "log")))
+    done = batch.run(spark, o)
+    calls = (tmp_path / "log").read_text().split()
+    assert (calls.count("text"), calls.count("geometry"), calls.count("crop")) == (6, 3, 2)
+    assert done.papers == 1 and done.failures == 2 and done.exit_code == 1
+    assert done.errors == ["extract failed for bad.pdf: ValueError: no such page", "extract failed for torn.pdf: ValueError: no such picture"]
+    assert (tmp_path / "out" / "good.md").exists() and not (tmp_path / "out" / "bad.md").exists()
+
+
+def test_models_and_client(monkeypatch):
+    import types
+
+    from leafmill.operators import model
+
+    made, asked = [], []
+
+    class OpenAI:
+        def __init__(self, **kw):
+            made.append(kw)
+            reply = types.SimpleNamespace(choices=[types.SimpleNamespace(message=types.SimpleNamespace(content="x"))])
+            self.chat = types.SimpleNamespace(completions=types.SimpleNamespace(create=lambda **kw: asked.append(kw["model"]) or reply))
+
+    monkeypatch.setitem(sys.modules, "openai", types.SimpleNamespace(OpenAI=OpenAI))
+    for name, value in (("OPENAI_API_KEY", "k"), ("OPENAI_MODEL", "words"), ("OPENAI_VISION_MODEL", "pictures")):
+        monkeypatch.setenv(name, value)
+    chat = model.ChatModel()
+    chat.complete(["a"], [None])
+    chat.complete(["b"], ["aW1n"])
+    monkeypatch.delenv("OPENAI_VISION_MODEL")
+    chat.complete(["c"], ["aW1n"])
+    assert asked == ["words", "pictures", "words"] and len(made) == 1
+
+
 def test_missing_library_is_told(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF")
     from leafmill.sources import files
 
-    row = pdf.texts(files.pdf_files(spark, str(tmp_path)), pdf.Libraries()).first()
+    row = pdf.read(files.pdf_files(spark, str(tmp_path)), pdf.Libraries()).first()
     assert row.raw_text == "" and "not installed" in row.error
 
 

@@ -205,8 +205,8 @@ def test_files(spark, tmp_path):
     out = tmp_path / "out"
     out.mkdir()
     docs = spark.createDataFrame([("a.md", "v1"), ("raw/a.md", "é")], "filename string, content string")
-    assert sorted(tuple(r) for r in sinks.write_if_changed(docs, str(out)).collect()) == [("a.md", True), ("raw/a.md", True)]
-    assert not any(r.written for r in sinks.write_if_changed(docs, str(out)).collect())
+    assert sorted(tuple(r) for r in sinks.write_if_changed(docs, str(out)).collect()) == [("a.md",), ("raw/a.md",)]
+    assert sinks.write_if_changed(docs, str(out)).collect() == []
     (out / "bad.md").write_bytes(b"\xff\xfe")
     (out / "INDEX.md").write_text("i")
     assert [tuple(r) for r in files.written_documents(spark, str(out)).collect()] == [("a.md", "v1")]
