@@ -6,7 +6,7 @@ them in the texts first, in both forms alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
@@ -74,8 +74,7 @@ BOILED = "('© 2020 The Authors' || chr(10) || text || chr(10) || '  * short not
 )
 def boilerplate_lines(spark, sf):
     planted = F.concat(F.lit("© 2020 The Authors\n"), F.col("text"), F.lit("\n  * short note\nACM ISBN 1-2\n \nrecsys '21"))
-    kept = F.filter(S.py_splitlines(planted), lambda x: (S.py_strip(x) == "") | ~S.is_boilerplate(S.py_strip(x)))
-    return table(spark, sf, "documents").select("doc_id", F.size(kept).cast("long").alias("n_lines"), F.md5(S.strip_boilerplate(planted).cast("binary")).alias("cleaned_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.size(S.content_lines(planted)).cast("long").alias("n_lines"), F.md5(S.strip_boilerplate(planted).cast("binary")).alias("cleaned_md5"))
 
 
 PARAS = r"replace(replace(text, '. ', '.' || chr(10) || chr(10)), ', ', ',  ')"
@@ -106,26 +105,35 @@ def clean_pdf_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.clean_pdf_text(planted).cast("binary")).alias("cleaned_md5"))
 
 
+FOUND_DOI = r"rtrim(nullif(regexp_extract({}, '(?i)\b10\.\d{{4,9}}/[-._;()/:A-Z0-9]+\b', 0), ''), ').,;')"
+
+
 @query(
-    r"SELECT doc_id, rtrim(nullif(regexp_extract(t, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b', 0), ''), ').,;') AS doi FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 80) ELSE left(text, 80) || ' see doi:10.1145/' || doc_id || '.' || doc_id * 7 || '). and 10.99/no' END AS t FROM documents)"
+    rf"SELECT doc_id, {FOUND_DOI.format('t')} AS doi FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' see doi:10.1145/' || doc_id || '.' || doc_id * 7 || '). and 10.99/no' END AS t FROM documents)"
 )
 def find_doi(spark, sf):
-    """Planted behind whole texts; the SQL plants behind 80 characters, which is the same where texts hold no DOI."""
     planted = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" see doi:10.1145/"), F.col("doc_id"), F.lit("."), F.col("doc_id") * 7, F.lit("). and 10.99/no")))
     return table(spark, sf, "documents").select("doc_id", S.find_doi(planted).alias("doi"))
 
 
+ENDS = [
+    r"\n\s*\b(?:1\s+(?:introduction|intro)|keywords|ccs concepts|index terms|background|related work)\b",
+    r"\n\s*1\.?\s+Introduction",
+]
+#: How far the first end behind 200 characters is; the patterns are as in the cleaning rules.
+UPTO = "CASE WHEN regexp_matches(substr(a, 201), '(?is){0}') THEN 200 + length(regexp_extract(substr(a, 201), '(?is)^(.*?){0}', 1)) END"
+
+
 @query(
     f"""SELECT doc_id, md5({CLEAN.format('array_to_string(k, chr(10))')}) AS abstract_md5 FROM (
-  SELECT doc_id, {KEPT.replace('@', LINES.format('a'))} AS k FROM (
-    SELECT doc_id, CASE WHEN length(text) BETWEEN 200 AND 4500 THEN text WHEN length(text) > 4500 THEN left(text, 1500)
-      WHEN length(text || chr(10) || '1 Introduction' || chr(10) || 'x') >= 200 THEN text || chr(10) || '1 Introduction' || chr(10) || 'x' END AS a FROM documents
-    WHERE NOT regexp_matches(text, '(?i)background|keywords|abstract|index terms') AND NOT starts_with(text, ' ') AND text <> '' AND NOT regexp_matches(left(text, 1), '\\s')))"""
+  SELECT doc_id, {KEPT.replace('@', LINES.format('found'))} AS k FROM (
+    SELECT doc_id, CASE WHEN length(a) >= 200 THEN left(a, CASE WHEN one <= 4500 THEN one WHEN two <= 3000 THEN two ELSE 1500 END) END AS found FROM (
+      SELECT doc_id, a, {UPTO.format(ENDS[0])} AS one, {UPTO.format(ENDS[1])} AS two FROM (
+        SELECT doc_id, regexp_replace(text || chr(10) || '1 Introduction' || chr(10) || 'x', '^\\s+', '') AS a FROM documents))))"""
 )
 def extract_abstract(spark, sf):
     planted = F.concat(F.lit("Some Title\nAbstract\n"), F.col("text"), F.lit("\n1 Introduction\nx"))
-    rows = table(spark, sf, "documents").where(~F.col("text").rlike("(?i)background|keywords|abstract|index terms") & (F.col("text") != "") & ~F.substring("text", 1, 1).rlike(r"\s"))
-    return rows.select("doc_id", F.md5(S.extract_abstract(planted).cast("binary")).alias("abstract_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(S.extract_abstract(planted).cast("binary")).alias("abstract_md5"))
 
 
 # ---- chunks -----------------------------------------------------------------------------
@@ -172,10 +180,14 @@ def chunk_full(spark, sf):
     return rows.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.md5(F.array_join("c", "|").cast("binary")).alias("chunks_md5"))
 
 
-@query(f"SELECT doc_id, len(c[:2]) AS kept, list_sum(list_transform(c[3:], lambda x: length(x)))::BIGINT AS skipped_chars FROM ({CHUNKS}) WHERE len(c) > 2")
+@query(
+    SQL["chunk_full"].replace("400", "1000").rpartition("SELECT doc_id, len(c)")[0]
+    + "SELECT doc_id, CAST(i AS BIGINT) AS idx, CAST(least(len(c), 2) AS BIGINT) AS kept, coalesce(list_sum(list_transform(c[3:], lambda x: length(x))), 0)::BIGINT AS skipped_chars, md5(c[i]) AS chunk_md5 FROM (SELECT *, unnest(range(1, least(len(c), 2) + 1)) AS i FROM every)"
+)
 def chunk_limit_skipped(spark, sf):
-    rest = F.aggregate(F.slice("c", 3, 1 << 30), F.lit(0), lambda n, x: n + F.length(x))
-    return line_chunks(spark, sf).where(F.size("c") > 2).select("doc_id", F.size(F.slice("c", 1, 2)).cast("long").alias("kept"), rest.cast("long").alias("skipped_chars"))
+    papers = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    rows = chunking.chunk_table(papers, "doc_id", "text", 1000, 2)
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("total").cast("long").alias("kept"), "skipped_chars", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
 @query(f"SELECT lang, count(*) AS n_docs, sum(len(c))::BIGINT AS n_chunks, max(list_max(list_transform(c, lambda x: length(x)))) AS longest FROM ({CHUNKS}) GROUP BY lang")
@@ -188,9 +200,9 @@ def corpus_chunks_by_language(spark, sf):
 
 
 @query(
-    r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN 'A first line that is long enough here' WHEN 3 THEN 'paper ' || page_id ELSE 'Set by hand' END AS title,
-  CASE page_id % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'metadata' WHEN 2 THEN 'first_page' WHEN 3 THEN 'filename' ELSE 'override' END AS title_source
-FROM (SELECT CASE WHEN page_id % 5 = 4 THEN 4 ELSE page_id END AS page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[^\x21-\x7e]+', ' ', 'g')) AS t FROM pages WHERE page_id % 5 <> 4 OR page_id = 4)"""
+    r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN 'A first line that is long enough here' WHEN 3 THEN 'paper ' || page_id ELSE CASE page_id WHEN 4 THEN 'Set by hand' ELSE 'paper ' || page_id END END AS title,
+  CASE page_id % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'metadata' WHEN 2 THEN 'first_page' WHEN 3 THEN 'filename' ELSE CASE page_id WHEN 4 THEN 'override' ELSE 'filename' END END AS title_source
+FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[^\x21-\x7e]+', ' ', 'g')) AS t FROM pages)"""
 )
 def title_cascade(spark, sf):
     """Information dictionary, XMP behind an empty title, first page, file name, override."""
@@ -200,8 +212,7 @@ def title_cascade(spark, sf):
     xmp = F.when(kind == 1, F.concat(F.lit("/Title (Untitled) <dc:title> <rdf:Alt><rdf:li xml:lang='x'>"), t, F.lit("</rdf:li></rdf:Alt>")))
     content = F.coalesce(info, xmp, F.lit("/Title (a b c d e)"))
     page = F.when(kind == 2, F.lit("arXiv:1234 something long enough\nA first line that is long enough here\nOne, Two, Three and the other names\n"))
-    rows = table(spark, sf, "pages").where((kind != 4) | (F.col("page_id") == 4))
-    papers = rows.select("page_id", F.concat(F.lit("paper_"), F.col("page_id"), F.lit(".pdf")).alias("filename"), content.cast("binary").alias("content"), page.alias("first_page"))
+    papers = table(spark, sf, "pages").select("page_id", F.concat(F.lit("paper_"), F.col("page_id"), F.lit(".pdf")).alias("filename"), content.cast("binary").alias("content"), page.alias("first_page"))
     return titles.with_titles(papers, {"paper_4.pdf": "Set by hand"}).select("page_id", "title", "title_source")
 
 
@@ -244,7 +255,7 @@ def select_paper(spark, sf):
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", files.content_hash(F.col("text")).alias("hash"))
 
 
 def _state(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -291,22 +302,20 @@ def write_if_changed(spark, sf):
 
 # ---- layout -----------------------------------------------------------------------------
 
-PRIMS = """SELECT CAST(l_orderkey % 300 AS {s}) AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, CASE WHEN l_suppkey % 2 = 0 THEN 'raster' ELSE 'vector' END AS kind,
+PRIMS = """SELECT CAST(CAST(floor(l_orderkey / 20) AS BIGINT) AS {s}) AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, CASE WHEN l_suppkey % 2 = 0 THEN 'raster' ELSE 'vector' END AS kind,
   CAST((l_partkey * 37) % 500 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_orderkey * 7) % 600 AS DOUBLE) AS y0,
   CAST((l_partkey * 37) % 500 + l_quantity * 4 - 3 AS DOUBLE) AS x1, CAST((l_suppkey * 53 + l_orderkey * 7) % 600 + l_partkey % 150 AS DOUBLE) AS y1,
-  CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h, l_orderkey * 10 + l_linenumber AS region FROM lineitem WHERE l_orderkey <= 6000"""
-BLOCKS = """SELECT CAST(o_orderkey % 300 AS {s}) AS doc_id, CAST(o_custkey % 7 AS INT) AS page, CAST(o_orderkey AS INT) AS ord, CAST((o_custkey * 31) % 400 AS DOUBLE) AS x0,
+  CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h, l_orderkey * 10 + l_linenumber AS region FROM lineitem"""
+BLOCKS = """SELECT CAST(CAST(floor(o_orderkey / 20) AS BIGINT) AS {s}) AS doc_id, CAST(o_custkey % 7 AS INT) AS page, CAST(o_orderkey AS INT) AS ord, CAST((o_custkey * 31) % 400 AS DOUBLE) AS x0,
   CAST((o_orderkey * 17) % 700 AS DOUBLE) AS y0, CAST((o_custkey * 31) % 400 + 180 AS DOUBLE) AS x1, CAST((o_orderkey * 17) % 700 + 12 AS DOUBLE) AS y1,
-  CASE o_orderkey % 4 WHEN 0 THEN 'Figure ' || (o_custkey % 3) || ':  a plot of ' || (o_custkey % 5) WHEN 1 THEN 'Fig. ' || (o_custkey % 3) || ' shows' WHEN 2 THEN 'table 2. Numbers' ELSE 'Fig 7 is text' END AS text FROM orders WHERE o_orderkey <= 6000"""
+  CASE o_orderkey % 4 WHEN 0 THEN 'Figure ' || (o_custkey % 3) || ':  a plot of ' || (o_custkey % 5) WHEN 1 THEN 'Fig. ' || (o_custkey % 3) || ' shows' WHEN 2 THEN 'table 2. Numbers' ELSE 'Fig 7 is text' END AS text FROM orders"""
 SHARE = "(greatest(0, x1 - x0) * greatest(0, y1 - y0) / abs(page_w * page_h))"
 
 
-def _views(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Primitives and blocks as in the SQL; whole: of all rows, a document for every 20 order keys."""
+def _views(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Primitives and blocks as in the SQL: of all rows, a document for every 20 order keys."""
     frames = []
     for name, sql in (("lineitem", PRIMS), ("orders", BLOCKS)):
-        if whole:
-            sql = sql.rpartition(" WHERE ")[0].replace("% 300 ", "div 20 ")
         frames.append(spark.sql(sql.format(s="STRING").replace(f"FROM {name}", "FROM {src}"), src=table(spark, sf, name)))
     return frames[0], frames[1]
 
@@ -356,16 +365,54 @@ def caption_merge(spark, sf):
     return layout.merged_by_caption(layout.with_captions(prims.drop("kind"), blocks)).select("doc_id", "page", "caption", "label", "x0", "y0", "x1", "y1")
 
 
-@query()
+REACH = "a.x1 + 15 >= b.x0 AND b.x1 + 15 >= a.x0 AND a.y1 + 15 >= b.y0 AND b.y1 + 15 >= a.y0"
+
+
+def grown_sql(name: str, source: str) -> str:
+    """CTEs name_g and name: every box of a page becomes the bounds of all it reaches, as long as one on the page still changes."""
+    corners = "min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1"
+    return f"""{name}_g AS (
+  SELECT doc_id, page, page_w, page_h, row_number() OVER (PARTITION BY doc_id, page) AS i, x0, y0, x1, y1, 0 AS turn FROM {source}
+  UNION ALL
+  SELECT doc_id, page, page_w, page_h, i, x0, y0, x1, y1, turn + 1 FROM (
+    SELECT *, bool_or(moved) OVER (PARTITION BY doc_id, page) AS open FROM (
+      SELECT a.doc_id, a.page, a.page_w, a.page_h, a.i, a.turn, {corners}, min(b.x0) < a.x0 OR min(b.y0) < a.y0 OR max(b.x1) > a.x1 OR max(b.y1) > a.y1 AS moved
+      FROM {name}_g a JOIN {name}_g b ON a.doc_id = b.doc_id AND a.page = b.page AND {REACH}
+      GROUP BY a.doc_id, a.page, a.page_w, a.page_h, a.i, a.turn, a.x0, a.y0, a.x1, a.y1)) WHERE open
+), {name} AS (
+  SELECT DISTINCT doc_id, page, page_w, page_h, x0, y0, x1, y1 FROM (SELECT *, max(turn) OVER (PARTITION BY doc_id, page) AS last FROM {name}_g) WHERE turn = last
+)"""
+
+
+@query(f"WITH RECURSIVE p AS ({PRIMS.format(s='VARCHAR')}), {grown_sql('c', 'p')} SELECT doc_id, page, x0, y0, x1, y1 FROM c")
 def rect_cluster(spark, sf):
-    """Boxes of each page grown together until none reaches another; tests hold it against brute force."""
-    return layout.clustered(_views(spark, sf, whole=True)[0]).select("doc_id", "page", "x0", "y0", "x1", "y1")
+    """Boxes of each page grown together until none reaches another."""
+    return layout.clustered(_views(spark, sf)[0]).select("doc_id", "page", "x0", "y0", "x1", "y1")
 
 
-@query()
+SOLID = "x1 - x0 >= 2 AND y1 - y0 >= 2 AND NOT (x0 <= 1 AND y0 <= 1 AND x1 >= page_w - 1 AND y1 >= page_h - 1)"
+COMPOSED = f"""WITH RECURSIVE p AS ({PRIMS.format(s='VARCHAR')}), sized AS (SELECT * FROM p WHERE {SHARE} BETWEEN 0.01 AND 0.85),
+vectors AS (SELECT * FROM sized WHERE kind = 'vector' AND {SOLID}), {grown_sql('v', 'vectors')},
+boxes AS (SELECT doc_id, page, page_w, page_h, x0, y0, x1, y1 FROM sized WHERE kind = 'raster' UNION ALL SELECT * FROM v), {grown_sql('g', 'boxes')},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, y1, x1) AS region FROM g),
+b AS (SELECT *, regexp_replace(trim(text), '\\s+', ' ', 'g') AS c FROM ({BLOCKS.format(s='VARCHAR')})),
+met AS (SELECT r.doc_id, r.page, r.region, b.ord, b.c, rtrim(regexp_extract(b.c, '(?i)^(?:Figure|Fig\\.|Table)\\s*\\S+', 0)) AS label,
+  greatest(0, r.y0 - b.y1, b.y0 - r.y1) + CASE WHEN b.y1 <= r.y0 + 20 THEN 100 ELSE 0 END AS score
+  FROM r JOIN b ON r.doc_id = b.doc_id AND r.page = b.page AND greatest(0, r.y0 - b.y1, b.y0 - r.y1) <= 40 AND b.x1 >= r.x0 - 20 AND b.x0 <= r.x1 + 20
+  WHERE regexp_matches(b.c, '(?i)^(?:Figure|Fig\\.|Table)\\s*\\S+')),
+best AS (SELECT doc_id, page, region, label, c AS caption FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, page, region ORDER BY score, ord) = 1),
+merged AS (SELECT r.doc_id, r.page, page_w, page_h, caption, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min(label, r.region) AS label
+  FROM r LEFT JOIN best ON r.doc_id = best.doc_id AND r.page = best.page AND r.region = best.region
+  GROUP BY r.doc_id, r.page, page_w, page_h, caption, CASE WHEN caption IS NULL THEN r.region END),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, y1, x1) - 1 AS INTEGER) AS fig_idx FROM merged WHERE {SHARE} >= 0.04),
+kept AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY greatest(0, x1 - x0) * greatest(0, y1 - y0) DESC, page, y0, x0) <= 12)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, fig_idx) AS INTEGER) AS ord, page, fig_idx, x0, y0, x1, y1, label, caption FROM kept"""
+
+
+@query(COMPOSED)
 def figure_regions(spark, sf):
     """All steps from primitives and blocks to the kept figures of each document."""
-    prims, blocks = _views(spark, sf, whole=True)
+    prims, blocks = _views(spark, sf)
     found = layout.figures(prims.drop("region"), blocks)
     return found.select("doc_id", "ord", "page", "fig_idx", "rect.x0", "rect.y0", "rect.x1", "rect.y1", "label", "caption")
 
@@ -376,18 +423,13 @@ def figure_regions(spark, sf):
 SELECT doc_id, page, region, fig_idx FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, page, y0, x0, region) <= 12"""
 )
 def topk_figures(spark, sf):
-    prims, _ = _views(spark, sf)
-    rows = prims.where(layout.share() >= layout.MIN_FIGURE).withColumn("a", layout.area())
-    rows = rows.withColumn("fig_idx", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "y1", "x1", "region")) - 1).cast("long"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("a"), "page", "y0", "x0", "region")))
-    return ranked.where(F.col("rank") <= layout.MAX_FIGURES).select("doc_id", "page", "region", "fig_idx")
+    kept = layout.largest(_views(spark, sf)[0], ties=("region",))
+    return kept.select("doc_id", "page", "region", F.col("fig_idx").cast("long").alias("fig_idx"))
 
 
 @query(f"SELECT region, greatest(0, x0 - 6) AS x0, greatest(0, y0 - 6) AS y0, least(page_w, x1 + 6) AS x1, least(page_h, y1 + 6) AS y1 FROM ({PRIMS.format(s='VARCHAR')})")
 def pad_clip(spark, sf):
-    p = layout.PAD
-    zero = F.lit(0.0)
-    return _views(spark, sf)[0].select("region", F.greatest(zero, F.col("x0") - p).alias("x0"), F.greatest(zero, F.col("y0") - p).alias("y0"), F.least("page_w", F.col("x1") + p).alias("x1"), F.least("page_h", F.col("y1") + p).alias("y1"))
+    return _views(spark, sf)[0].select("region", layout.crop_rect().alias("r")).select("region", "r.*")
 
 
 # ---- weaving and models -----------------------------------------------------------------
@@ -433,14 +475,14 @@ def figure_blocks(spark, sf):
     return rows.select("doc_id", "f.page", weave.figure_block(F.col("f")).alias("block"))
 
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace('T {title} {idx}/{total}' || chr(10) || '{chunk}', '{title}', 'on {chunk} ' || lang), '{idx}', doc_id::VARCHAR), '{total}', '9'), '{chunk}', left(text, 50))) AS prompt_md5 FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(replace('T {title} {idx}/{total}' || chr(10) || '{chunk}', '{title}', 'on {chunk} ' || lang), '{idx}', doc_id::VARCHAR), '{total}', '9'), '{chunk}', text)) AS prompt_md5 FROM documents")
 def prompt_build(spark, sf):
     """A title with a name in braces is searched again, in the same order."""
-    p = model.filled("T {title} {idx}/{total}\n{chunk}", title=F.concat(F.lit("on {chunk} "), F.col("lang")), idx=F.col("doc_id"), total=F.lit(9), chunk=F.substring("text", 1, 50))
+    p = model.filled("T {title} {idx}/{total}\n{chunk}", title=F.concat(F.lit("on {chunk} "), F.col("lang")), idx=F.col("doc_id"), total=F.lit(9), chunk=F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.md5(p.cast("binary")).alias("prompt_md5"))
 
 
-PLAIN = model.Prompts(chunk_prompt="{chunk}", reduce_prompt="{title}: {summaries}", chunk_max_chars=500, max_chunks=3)
+PLAIN = model.Prompts(chunk_prompt="{chunk}", reduce_prompt="{title}: {summaries}")
 
 
 def _papers(spark, sf) -> DataFrame:
@@ -449,15 +491,15 @@ def _papers(spark, sf) -> DataFrame:
 
 
 FIRST_SENTENCE = "rtrim('- ' || left(trim(split_part({}, '. ', 1)), 200))"
-PARTS = f"list_transform(c[:3], lambda x: {FIRST_SENTENCE.format('string_split(x, chr(10) || chr(10))[-1]')})"
+PARTS = f"list_transform(c[:8], lambda x: {FIRST_SENTENCE.format('string_split(x, chr(10) || chr(10))[-1]')})"
 
 
 @query(
-    SQL["chunk_full"].replace("400", "500").rpartition("SELECT doc_id, len(c)")[0]
+    SQL["chunk_full"].replace("400", "12000").rpartition("SELECT doc_id, len(c)")[0]
     + f"""SELECT 'd' || doc_id || '.pdf' AS filename, {FIRST_SENTENCE.format("CASE WHEN len(p) > 1 THEN p[-1] ELSE 'T: ' || p[1] END")} AS summary_md, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, {PARTS} AS p FROM every)"""
 )
 def map_reduce_summary(spark, sf):
-    """The stand-in model over the first three chunks of each paper, then over their summaries."""
+    """The stand-in model over each paper's chunks, then over their summaries."""
     papers = _papers(spark, sf)
     parts = model.chunk_summaries(papers, prompts=PLAIN)
     return model.reduced(papers, parts, prompts=PLAIN).select("filename", "summary_md", "error")
@@ -480,15 +522,15 @@ def slug(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.github_slug(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("slug"))
 
 
-MD = "('# ' || lang || ' ' || doc_id || '  ' || chr(10) || chr(10) || '### TL;DR (3 bullets)' || chr(10) || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '* ' END || '**Main** ' || left(replace(text, chr(10), ' '), CAST(doc_id % 250 AS INTEGER)) || chr(10) || '```' || chr(10) || '# code' || chr(10) || ' ~~~' || chr(10) || '## Two' || chr(10) || '###### Six' || chr(10))"
+MD = "('# ' || lang || ' ' || doc_id || '  ' || chr(10) || chr(10) || '### TL;DR (3 bullets)' || chr(10) || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '* ' END || '**Main** ' || replace(text, chr(10), ' ') || chr(10) || '```' || chr(10) || '# code' || chr(10) || ' ~~~' || chr(10) || '## Two' || chr(10) || '###### Six' || chr(10) || '| ' || replace(text, chr(10), chr(10) || '| ') || chr(10))"
 DOCS = f"SELECT doc_id, 'd_' || doc_id || '.md' AS filename, CASE WHEN doc_id % 7 = 0 THEN 'no title' || chr(10) ELSE {MD} END AS content FROM documents"
 
 
 def _docs(spark, sf) -> DataFrame:
     bullet = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.lit("* "))
     head = F.concat(F.lit("# "), F.col("lang"), F.lit(" "), F.col("doc_id"), F.lit("  \n\n### TL;DR (3 bullets)\n\n"), bullet, F.lit("**Main** "))
-    line = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(1), (F.col("doc_id") % 250).cast("int"))
-    md = F.concat(head, line, F.lit("\n```\n# code\n ~~~\n## Two\n###### Six\n"))
+    line, quoted = F.replace("text", F.lit("\n"), F.lit(" ")), F.replace("text", F.lit("\n"), F.lit("\n| "))
+    md = F.concat(head, line, F.lit("\n```\n# code\n ~~~\n## Two\n###### Six\n| "), quoted, F.lit("\n"))
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d_"), F.col("doc_id"), F.lit(".md")).alias("filename"), F.when(F.col("doc_id") % 7 == 0, F.lit("no title\n")).otherwise(md).alias("content"))
 
 
@@ -546,10 +588,11 @@ def _rendered(spark, sf, body: F.Column) -> DataFrame:
 
 
 N = "chr(10)"
+RENDERED = f"(text || CASE WHEN doc_id % 3 = 0 THEN ' 10.1145/12.3. ' ELSE '' END || {N} || 'Figure 1: a [b] here' || {N} || 'end')"
 
 
 @query(
-    f"""SELECT doc_id, '# T ' || lang || {N} || {N} || '- **Source PDF**: `in/d_' || doc_id || '.pdf`' || {N} || CASE WHEN doc_id % 3 = 0 THEN '- **DOI**: `https://doi.org/10.1145/12.3`' || {N} ELSE '' END || {N}
+    f"""SELECT doc_id, '# T ' || lang || {N} || {N} || '- **Source PDF**: `in/d_' || doc_id || '.pdf`' || {N} || coalesce('- **DOI**: `https://doi.org/' || {FOUND_DOI.format(RENDERED)} || '`' || {N}, '') || {N}
   || CASE WHEN doc_id % 2 = 0 THEN '## Figures' || {N} || {N} || CASE WHEN doc_id % 4 = 0 THEN '![Figure 1: a (b)](figures/d_' || doc_id || '/fig_p0_0.png)' || {N} || {N} ELSE '' END || '---' || {N} || {N} ELSE '' END || 'the summary' || {N} AS content FROM documents"""
 )
 def paper_md(spark, sf):
@@ -558,11 +601,11 @@ def paper_md(spark, sf):
 
 @query(
     f"""SELECT doc_id, md5('# T ' || lang || {N} || {N} || '> Raw extract of `in/d_' || doc_id || '.pdf` — full paper text with figure crops and their vision-model descriptions (quoted). Layout is not faithful to the original PDF.' || {N} || {N} || '---' || {N} || {N}
-  || trim(left(text, 40) || CASE WHEN doc_id % 3 = 0 THEN ' 10.1145/12.3. ' ELSE '' END || {N} || 'Figure 1: a [b] here' || CASE WHEN doc_id % 2 = 0 THEN {N} || {N} || '**Figure 1** (page 1) — Figure 1: a [b]' || CASE WHEN doc_id % 4 = 0 THEN {N} || {N} || '![Figure 1](../figures/d_' || doc_id || '/fig_p0_0.png)' ELSE '' END
-  || {N} || {N} || '> one' || {N} || '>' || {N} || '> two' ELSE '' END || {N} || 'end', ' ' || {N}) || {N}) AS content_md5 FROM documents"""
+  || trim(text || CASE WHEN doc_id % 3 = 0 THEN ' 10.1145/12.3. ' ELSE '' END || {N} || 'Figure 1: a [b] here' || CASE WHEN doc_id % 2 = 0 THEN {N} || {N} || '**Figure 1** (page 1) — Figure 1: a [b]' || CASE WHEN doc_id % 4 = 0 THEN {N} || {N} || '![Figure 1](../figures/d_' || doc_id || '/fig_p0_0.png)' ELSE '' END
+  || {N} || {N} || '> one' || {N} || '>' || {N} || '> two' ELSE '' END || {N} || 'end', ' ' || chr(9) || {N}) || {N}) AS content_md5 FROM documents"""
 )
 def raw_md(spark, sf):
-    return _rendered(spark, sf, F.substring("text", 1, 40)).select("doc_id", F.md5(render.raw_document(F.col("there")).cast("binary")).alias("content_md5"))
+    return _rendered(spark, sf, F.col("text")).select("doc_id", F.md5(render.raw_document(F.col("there")).cast("binary")).alias("content_md5"))
 
 
 # ---- beyond the document engine: the other test tables ------------------------------------
