@@ -114,28 +114,38 @@ def document_title() -> Column:
     return F.coalesce(extract_h1(F.col("content")), F.replace(S.stem(F.col("filename")), F.lit("_"), F.lit(" ")))
 
 
-def _in_order(docs: DataFrame, *parts: Column) -> DataFrame:
-    """One row: each part of all documents in filename order, as arrays (the output is one file of them)."""
-    names = [f"p{i}" for i in range(len(parts))]
-    rows = docs.select("filename", *[p.alias(n) for p, n in zip(parts, names, strict=True)])
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("filename", *names))).alias("rows"))
-    return listed.select(*[F.col(f"rows.{n}").alias(n) for n in names])
+PIECES = "part int, filename string, piece string"
 
 
-def index_document(docs: DataFrame, raw: DataFrame) -> DataFrame:
-    """docs(filename, content), raw(filename): filename, content of the index."""
+def _pieces(docs: DataFrame, *parts: str | tuple[Column, str, str]) -> DataFrame:
+    """part, filename, piece: texts of their own, and for each document a Column with what stands before the first and the others.
+
+    The pieces in order of (part, filename) are the whole file; no row holds more than one
+    document's share, however many there are.
+    """
+    first = docs.agg(F.min("filename").alias("__first"))
+    rows = docs.join(F.broadcast(first))
+    out = docs.sparkSession.createDataFrame([(i, None, p) for i, p in enumerate(parts) if isinstance(p, str)], PIECES)
+    for i, p in enumerate(parts):
+        if not isinstance(p, str):
+            own, lead, between = p
+            before = F.when(F.col("filename") == F.col("__first"), F.lit(lead)).otherwise(F.lit(between))
+            out = out.union(rows.select(F.lit(i).alias("part"), "filename", F.concat(before, own).alias("piece")))
+    return out
+
+
+def index_pieces(docs: DataFrame, raw: DataFrame) -> DataFrame:
+    """Pieces of the index of docs(filename, content), with links to raw(filename)."""
     has_raw = raw.select("filename").distinct().withColumn("__raw", F.lit(True))
-    rows = docs.join(has_raw, "filename", "left")
     link = F.when(F.col("__raw"), F.concat(F.lit(" ([raw](raw/"), F.col("filename"), F.lit("))")))
     tldr = F.concat(F.lit(" — "), first_tldr(F.col("content")))
     entry = F.concat(F.lit("- ["), document_title(), F.lit("]("), F.col("filename"), F.lit(")"), F.coalesce(link, F.lit("")), F.coalesce(tldr, F.lit("")))
-    whole = F.concat(S.py_rstrip(F.concat(F.lit("# Papers Index\n\n"), F.array_join("p0", "\n"))), F.lit("\n"))
-    return _in_order(rows, entry).select(F.lit(INDEX).alias("filename"), whole.alias("content"))
+    return _pieces(docs.join(has_raw, "filename", "left"), "# Papers Index", (entry, "\n\n", "\n"), "\n")
 
 
-def combined_document(docs: DataFrame) -> DataFrame:
+def combined_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of all of docs(filename, content) under one heading."""
     title = document_title()
-    entry = F.concat(F.lit("- ["), title, F.lit("](#"), S.github_slug(title), F.lit(")"))
+    entry = F.concat(F.lit("- ["), title, F.lit("](#"), S.github_slug(title), F.lit(")\n"))
     body = S.py_rstrip(bump_headings(F.col("content")))
-    whole = F.concat(F.lit("# Papers Summary\n\n## Index\n\n"), F.array_join(F.concat("p0", F.array(F.lit(""), F.lit("---"), F.lit(""))), "\n"), F.lit("\n\n"), F.array_join("p1", "\n\n"), F.lit("\n"))
-    return _in_order(docs, entry, body).select(F.lit(COMBINED).alias("filename"), whole.alias("content"))
+    return _pieces(docs, "# Papers Summary\n\n## Index\n\n", (entry, "", ""), "\n---\n\n\n", (body, "", "\n\n"), "\n")

@@ -129,10 +129,8 @@ def run(spark: SparkSession, o: Options) -> Report:
     wrote = [r[0] for r in sinks.write_if_changed(main.union(raw), o.out_dir).collect()]
     docs = files.written_documents(spark, o.out_dir)
     raws = files.written_documents(spark, f"{o.out_dir}/raw").select("filename")
-    derived = render.index_document(docs, raws)
-    if o.combined:
-        derived = derived.union(render.combined_document(docs))
-    wrote += [r[0] for r in sinks.write_if_changed(derived, o.out_dir).collect()]
+    derived = {render.INDEX: render.index_pieces(docs, raws)} | ({render.COMBINED: render.combined_pieces(docs)} if o.combined else {})
+    wrote += [name for name, pieces in derived.items() if sinks.write_pieces(pieces, o.out_dir, name)]
     return Report(n, failures, sorted(wrote), copied, little, errors)
 
 

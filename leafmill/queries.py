@@ -557,26 +557,53 @@ def bump_headings(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(render.bump_headings(F.col("content")).cast("binary")).alias("bumped_md5"))
 
 
+EVERY = f"(SELECT d.*, {TLDR_RAW} AS t, coalesce({H1}, replace(regexp_replace(filename, '\\.[^.]+$', ''), '_', ' ')) AS h, filename = (SELECT min(filename) FROM ({DOCS})) AS first FROM ({DOCS}) d)"
+
+
 @query(
-    f"""SELECT 'INDEX.md' AS filename, md5('# Papers Index' || chr(10) || chr(10) || string_agg(e, chr(10) ORDER BY filename COLLATE "C") || chr(10)) AS content_md5, count(*) AS n_entries FROM (
-  SELECT filename, '- [' || coalesce({H1}, replace(regexp_replace(filename, '\\.[^.]+$', ''), '_', ' ')) || '](' || filename || ')' || CASE WHEN l.doc_id IS NOT NULL THEN ' ([raw](raw/' || filename || '))' ELSE '' END || coalesce(' — ' || {TLDR}, '') AS e
-  FROM (SELECT *, {TLDR_RAW} AS t FROM ({DOCS})) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)""".replace(' COLLATE "C"', "")
+    f"""SELECT CAST(0 AS INTEGER) AS part, CAST(NULL AS VARCHAR) AS filename, md5('# Papers Index') AS piece_md5 UNION ALL SELECT 2, NULL, md5(chr(10)) UNION ALL
+SELECT 1, filename, md5(CASE WHEN first THEN chr(10) || chr(10) ELSE chr(10) END || '- [' || h || '](' || filename || ')' || CASE WHEN l.doc_id IS NOT NULL THEN ' ([raw](raw/' || filename || '))' ELSE '' END || coalesce(' — ' || {TLDR}, ''))
+FROM {EVERY} d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"""
 )
 def index_md(spark, sf):
     docs = _docs(spark, sf)
     raw = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("filename")
-    out = render.index_document(docs.select("filename", "content"), raw)
-    return out.select("filename", F.md5(F.col("content").cast("binary")).alias("content_md5"), (F.size(F.split("content", "\n")) - 3).cast("long").alias("n_entries"))
+    return render.index_pieces(docs.select("filename", "content"), raw).select("part", "filename", F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
 
 
 @query(
-    f"""SELECT 'PAPERS_SUMMARY.md' AS filename, md5('# Papers Summary' || chr(10) || chr(10) || '## Index' || chr(10) || chr(10) || string_agg('- [' || t || '](#' || regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s', '-', 'g') || ')', chr(10) ORDER BY filename)
-  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || chr(10) || string_agg(rtrim(replace({BUMPED}, chr(10) || '## Two', chr(10) || '### Two'), ' ' || chr(10)), chr(10) || chr(10) ORDER BY filename) || chr(10)) AS content_md5
-FROM (SELECT *, coalesce({H1}, replace(regexp_replace(filename, '\\.[^.]+$', ''), '_', ' ')) AS t FROM ({DOCS}))"""
+    f"""SELECT CAST(0 AS INTEGER) AS part, CAST(NULL AS VARCHAR) AS filename, md5('# Papers Summary' || chr(10) || chr(10) || '## Index' || chr(10) || chr(10)) AS piece_md5
+UNION ALL SELECT 2, NULL, md5(chr(10) || '---' || chr(10) || chr(10) || chr(10)) UNION ALL SELECT 4, NULL, md5(chr(10)) UNION ALL
+SELECT 1, filename, md5('- [' || h || '](#' || regexp_replace(regexp_replace(lower(h), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s', '-', 'g') || ')' || chr(10)) FROM {EVERY} UNION ALL
+SELECT 3, filename, md5(CASE WHEN first THEN '' ELSE chr(10) || chr(10) END || rtrim(replace({BUMPED}, chr(10) || '## Two', chr(10) || '### Two'), ' ' || chr(10))) FROM {EVERY}"""
 )
 def combined_md(spark, sf):
-    out = render.combined_document(_docs(spark, sf).select("filename", "content"))
-    return out.select("filename", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return render.combined_pieces(_docs(spark, sf).select("filename", "content")).select("part", "filename", F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
+
+
+@query(
+    f"""SELECT doc_id, CAST(f.k - 1 AS INTEGER) AS page, CASE WHEN f.k = 4 OR doc_id % 3 = 0 THEN '[No vision interpretation available — caption only]'
+  ELSE rtrim('- ' || left(trim(split_part('Describe this figure so that it can be understood unseen.' || chr(10) || 'Caption: ' || coalesce(nullif(f.caption, ''), '(none found)'), '. ', 1), ' ' || chr(9) || chr(10)), 200), ' ' || chr(10)) END AS description,
+  CASE WHEN doc_id % 3 = 0 THEN 'ValueError: no picture' END AS vision_error FROM ({FIG_ROWS})"""
+)
+def described_figures(spark, sf):
+    """A figure without a crop isn't asked about; where a call fails, the note stands and the paper names the error."""
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.lit("T").alias("title"), _figures().alias("figures"))
+    path = lambda f: F.when(f["page"] != 3, F.concat(F.col("filename"), F.lit("/"), f["page"].cast("string")))
+    papers = rows.withColumn("figures", F.transform("figures", lambda f: f.withField("png_path", path(f))))
+    crops = papers.select(F.explode("figures.png_path").alias("path"), F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.lit("png")).cast("binary").alias("content")).where(F.col("path").isNotNull())
+    prompts = model.Prompts(figure_prompt="Describe this figure so that it can be understood unseen.\nCaption: {caption}")
+    told = model.described(papers, crops, _Seeing, prompts)
+    return told.select("doc_id", F.explode("figures").alias("f"), "vision_error").select("doc_id", "f.page", "f.description", "vision_error")
+
+
+class _Seeing(model.FirstSentences):
+    """Fails on pictures that are none."""
+
+    def complete(self, prompts, images):
+        if images[0] != "cG5n":
+            raise ValueError("no picture")
+        return super().complete(prompts, images)
 
 
 def _rendered(spark, sf, body: F.Column) -> DataFrame:

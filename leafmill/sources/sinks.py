@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
 import uuid
@@ -44,6 +45,20 @@ def write_if_changed(new: DataFrame, folder: str, parts: tuple[str, ...] = ("",
     return changed(new.select("filename", "content"), there).mapInPandas(put, "filename string")
 
 
+def write_pieces(pieces: DataFrame, folder: str, name: str) -> bool:
+    """Whether folder/name, put together from pieces in order, is another file than before; a partition at a time is held."""
+    path = os.path.join(folder, name)
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{path}.{uuid.uuid4().hex}.part", "w", encoding="utf-8", newline="") as f:
+        for row in pieces.orderBy("part", "filename").select("piece").toLocalIterator():
+            f.write(row[0])
+    if os.path.exists(path) and filecmp.cmp(f.name, path, shallow=False):
+        os.remove(f.name)
+        return False
+    os.replace(f.name, path)
+    return True
+
+
 def export_crops(papers: DataFrame, folder: str) -> int:
     """Copies crops that exist to folder/figures/<stem>/; how many."""
 

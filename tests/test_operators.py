@@ -170,9 +170,12 @@ def test_documents(spark):
     assert got[0] == "Title x" and got[1].startswith("Bold word") and got[1].endswith("word…") and len(got[1]) <= 138
     assert got[2] == md.replace("# Title", "## Title").replace("### TL", "#### TL").replace("##### Five", "###### Five")
     docs = spark.createDataFrame([("b_x.md", "text"), ("a.md", "# A & B\n\n### TLDR\n- short")], "filename string, content string")
-    index = render.index_document(docs, spark.createDataFrame([("a.md",)], "filename string")).first()
-    assert index.content == "# Papers Index\n\n- [A & B](a.md) ([raw](raw/a.md)) — short\n- [b x](b_x.md)\n"
-    combined = render.combined_document(docs).first().content
+    whole = lambda pieces: "".join(r.piece for r in pieces.orderBy("part", "filename").collect())
+    index = whole(render.index_pieces(docs, spark.createDataFrame([("a.md",)], "filename string")))
+    assert index == "# Papers Index\n\n- [A & B](a.md) ([raw](raw/a.md)) — short\n- [b x](b_x.md)\n"
+    combined = whole(render.combined_pieces(docs))
+    none = docs.limit(0)
+    assert whole(render.index_pieces(none, none)) == "# Papers Index\n" and whole(render.combined_pieces(none)) == "# Papers Summary\n\n## Index\n\n\n---\n\n\n\n"
     assert combined == "# Papers Summary\n\n## Index\n\n- [A & B](#a--b)\n- [b x](#b-x)\n\n---\n\n\n## A & B\n\n#### TLDR\n- short\n\ntext\n"
 
 
