@@ -44,6 +44,25 @@ def test_many_shards_and_ties(spark, tmp_path, monkeypatch):
     assert got(topk.op1_kd_trees(spark, str(tmp_path))) == plain(rows)
 
 
+def test_cells_keep_queries_away(spark, tmp_path, monkeypatch):
+    """Several cells, parts and shards; vectors apart from each other are not all searched."""
+    for name, value in (("SHARD", 40), ("LEAF", 8), ("GROUP", 2), ("BLOCK", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-40, 40, (12, 4))
+    rows = [(i, ((centres[i % 12] + rng.integers(-2, 3, 4)) / 8).tolist()) for i in range(1500)] + [(5000 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(700)]
+    spark.createDataFrame([(i, x, 0, "d", "v") for i, x in rows], DDL).repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert got(topk.op1_kd_trees(spark, str(tmp_path))) == plain(rows)
+    vectors = topk.usable(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))
+    cells = topk.cells_of(vectors)
+    shards = topk.shards_of(vectors, cells).cache()
+    boxes = topk.boxes_of(shards)
+    assert len(boxes[4][0]) > 10 and max(cells[4].parts) > 1
+    floors = vectors.where("vec_id % 100 = 0").withColumn("variant", topk.F.lit(0)).withColumn("floor", topk.F.aggregate("v", topk.F.lit(0.0), lambda a, x: a + x * x) * 0.9)
+    sent = topk.blocks_of(floors, 22, boxes, False).collect()
+    assert 0 < len(sent) < 11 * len(boxes[4][0]) * 0.7
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (100, [0.5]), (200, None), (300, [1.0, None]), (400, [float("nan"), 1.0]), (500, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0009]), (8, [1e6, -1e6]), (9, [3.0]), (600, []), (11, [])]
     spark.createDataFrame([(i, x, 0, "d", "v") for i, x in rows], DDL).write.parquet(f"{tmp_path}/embeddings.parquet")
