@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("leafmill.shared.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
             spark.conf.set("leafmill.shared.dir", base)
     path = f"{base.rstrip('/')}/leafmill-{uuid.uuid4().hex}"
@@ -74,11 +76,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), the value computed once: a one-element array binds it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound, documents, quantile_cuts, range_of, shuffle_parts
+from leafmill.functions.arrays import bound
+
+from .common import documents, quantile_cuts, range_of, shuffle_parts
 
 CHAIN, GAP = 2, 3
 #: Common words of English, French, German and Spanish.

@@ -14,10 +14,12 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """node, component (its smallest node) of every node that has a link (a, b); all else is alone."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = written(edges, f"{folder}/edges0")
-    turn, state = 0, None
+    turn, state, n = 0, None, edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written where it is too large to send, so that Spark can split the join at a node with very many links.
+        least = F.broadcast(least) if 2 * n <= MOST_BROADCAST else written(least, f"{folder}/least{turn}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(small).distinct()
@@ -26,7 +28,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+        state, n = now, now[0]
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

@@ -28,7 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, documents, small_table
+from leafmill.functions.arrays import bound
+
+from .common import documents, small_table
 
 #: The base patterns, in the order of the kinds. Possessive repeats and
 #: look-behinds only spare the matcher retries from inside a run, and find the same.
