@@ -8,9 +8,9 @@ are fitted by expectation-maximisation over the same segmentations.
 
 A word is a run of letters, lower case, with the vocabulary's word mark before it; runs
 over CHUNK letters are taken CHUNK at a time. A letter that is no piece has a small
-fixed probability in all languages. Fitting is on a bounded sample: about
-SAMPLE_DOCS whole documents of each language, drawn by a hash of doc_id, and of their
-words the WORD_TYPES commonest of each language. Prediction reads every whole text.
+fixed probability in all languages. Fitting is on a bounded sample: all words of about
+SAMPLE_DOCS whole documents of each language, drawn by a hash of doc_id. Prediction reads
+every whole text.
 
 Null text or a text with no letter: `und`, score 0. With no labelled rows all is `und`.
 Null doc_id: not learned from, not held out. Repeated rows give repeated results.
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,6 @@ from .common import documents, mapped, small_table, tidy
 from .tokens import TOKEN_BYTES, slices
 
 SAMPLE_DOCS = 400
-WORD_TYPES = 40_000
 ROUNDS = 3
 CHUNK = 32
 #: No piece found in a stretch is longer: its letters and the mark.
@@ -208,25 +207,31 @@ def fit(words: dict[str, dict[str, int]], docs: dict[str, int], vocabulary: str)
     """words: counts of words by language; docs: numbers of documents by language."""
     tool, langs = pieces_of(vocabulary), sorted(docs)
     counts = np.zeros((len(tool.names), len(langs)))
-    grids = []
     every = sorted({c for lang in langs for w in words.get(lang, {}) for c in chunks(w)})
-    weight = np.zeros((len(every), len(langs)))
     place = {c: i for i, c in enumerate(every)}
-    for j, lang in enumerate(langs):
-        for w, n in words.get(lang, {}).items():
-            for c in chunks(w):
-                weight[place[c], j] += n
-    for index, codes in by_length(every) if every else []:
-        for a in range(0, len(index), 4096):
-            part = codes[a : a + 4096]
-            grids.append((index[a : a + 4096], tool.grid(part), part.shape[1]))
+    cells = np.array([(place[c], j, n) for j, lang in enumerate(langs) for w, n in words.get(lang, {}).items() for c in chunks(w)], np.int64).reshape(-1, 3)
+    cells = cells[np.argsort(cells[:, 0], kind="stable")]
+    begins = np.searchsorted(cells[:, 0], np.arange(len(every) + 1))
+    lengths, most = list(by_length(every)) if every else [], max(AT_ONCE // len(langs), 64)
+
+    def parts():
+        """(piece grid, length, weights by language) of some words at a time, so that memory doesn't grow with their number."""
+        for index, codes in lengths:
+            for a in range(0, len(index), most):
+                own, part = index[a : a + most], codes[a : a + most]
+                n = begins[own + 1] - begins[own]
+                at = np.arange(int(n.sum())) + np.repeat(begins[own] - np.cumsum(n) + n, n)
+                weight = np.zeros((len(own), len(langs)))
+                np.add.at(weight, (np.repeat(np.arange(len(own)), n), cells[at, 1]), cells[at, 2])
+                yield tool.grid(part), part.shape[1], weight
+
     sizes = np.array([len(p) for p in tool.names])
     probs = np.repeat((1.0 / 8.0 ** np.minimum(sizes, 4))[:, None], len(langs), axis=1)
     probs /= probs.sum(axis=0)
     for _ in range(ROUNDS):
         counts[:] = 0
-        for index, grid, width in grids:
-            n, own = len(index), weight[index]
+        for grid, width, own in parts():
+            n = len(own)
             alpha = forward(grid, n, width, probs)
             beta = np.zeros_like(alpha)
             beta[width] = 1.0
@@ -275,9 +280,9 @@ def learned(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = S
 
     counted = sample.mapInArrow(tidy(count), "lang string, word string, n long").where(F.col("word") != "").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    for r in counted.withColumn("place", place).where(F.col("place") <= WORD_TYPES).collect():  # WORD_TYPES for each language
-        words.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    found = counted.toArrow()  # the words of SAMPLE_DOCS documents of each language
+    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        words.setdefault(lang, {})[word] = n
     return fit(words, sizes, vocabulary)
 
 

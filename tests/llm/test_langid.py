@@ -1,6 +1,7 @@
 """Operator 8: sums over segmentations against enumeration, held-out accuracy, odd rows."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -61,12 +62,28 @@ def test_long_pieces_are_found():
     assert tool.names[grid[0, len(word)][0]] == word
 
 
-def test_words_kept_for_each_language(spark, make, monkeypatch):
-    monkeypatch.setattr(langid, "WORD_TYPES", 2)
+def test_all_words_of_the_sample_are_learned_from(spark, make, monkeypatch):
     seen = {}
     monkeypatch.setattr(langid, "fit", lambda words, sizes, vocabulary: seen.update(words))
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
     rows = [(i, "un deux trois trois quatre quatre" if k == 0 else "one two three four " * 3) for k, i in enumerate(ids)]
     path = make(rows, {i: "fr" if k == 0 else "en" for k, i in enumerate(ids)})
     langid.learned(spark.read.parquet(f"{path}/documents.parquet"))
-    assert {k: sorted(v.values()) for k, v in seen.items()} == {"fr": [2, 2], "en": [3 * (len(ids) - 1)] * 2}
+    assert {k: sorted(v.values()) for k, v in seen.items()} == {"fr": [1, 1, 2, 2], "en": [3 * (len(ids) - 1)] * 4}
+
+
+def test_fifty_languages(spark):
+    """Rare languages keep all their words beside common ones."""
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9))) for _ in range(60)] for k in range(50)}
+    rows, i = [], 0
+    for k, (lang, own) in enumerate(words.items()):
+        for _ in range(8 if k % 5 else 60):
+            rows.append((i, " ".join(rnd.choices(own, k=40)), lang))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    assert len(model.langs) == 50
+    found = langid.predicted(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
