@@ -290,7 +290,7 @@ def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     """All columns of docs, and the prediction."""
     def run(batches):
         tool = Scorer(model)
-        most = TOKEN_BYTES * 4 // max(len(model.langs), 4)
+        most = TOKEN_BYTES * 2 // max(len(model.langs), 4)
         for batch in batches:
             for part in slices(batch, "text", most):
                 n = part.num_rows

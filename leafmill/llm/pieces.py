@@ -155,9 +155,9 @@ class Segmenter(Remembered):
     def _bytes(self, c: str) -> np.ndarray:
         return self.v.byte_ids[np.frombuffer((MARK if c == OWN else c).encode(), np.uint8)]
 
-    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        found = self.segmented(pieces)
-        return pieces, np.concatenate(found), np.array([len(x) for x in found], np.int64)
+    def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.segmented(pieces.to_pylist())
+        return np.arange(len(found)), np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
     def segmented(self, pieces: list[str]) -> list[np.ndarray]:
         found: list = [np.zeros(0, np.uint32)] * len(pieces)

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED, REMEMBERED_CHARS = 800_000, 16_000_000
-SLICE_BYTES, TOKEN_BYTES = 1 << 19, 2 << 20
+REMEMBERED, REMEMBERED_BYTES, AT_ONCE = 800_000, 24 << 20, 256
+SLICE_BYTES, TOKEN_BYTES = 1 << 19, 4 << 20
 MARK = "\x01"
 SPECIAL = "<|"
 
@@ -32,58 +32,55 @@ class Remembered:
     """Ids of texts from the ids of their distinct pieces, which are kept until there are too many."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
-        self.forget()
+        self.names = pa.array([], pa.large_string())
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.again = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def forget(self) -> None:
         """Pieces that were met again stay, unless they fill half the room."""
-        names = [p for p, again in zip(self.at, self.again.tolist(), strict=False) if again] if self.at else []
-        if len(names) > REMEMBERED // 2 or sum(map(len, names)) > REMEMBERED_CHARS // 2:
-            names = []
-        index = np.array([self.at[p] for p in names], np.int64)
-        sizes = self.sizes[index] if names else np.zeros(0, np.int64)
-        begins = np.cumsum(sizes) - sizes
-        ids = self.pool[np.repeat(self.starts[index] - begins, sizes) + np.arange(int(sizes.sum()))] if names else []
-        self.at, self.chars, self.used = {}, 0, 0
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes, self.again = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
-        self._keep(names, ids, sizes)
+        names, sizes, starts = self.names.filter(pa.array(self.again)), self.sizes[self.again], self.starts[self.again]
+        if len(names) > REMEMBERED // 2 or names.nbytes > REMEMBERED_BYTES // 2:
+            names, sizes, starts = names.slice(0, 0), sizes[:0], starts[:0]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        Remembered.__init__(self)
+        # A copy, so that the old names are let go.
+        self._keep(pa.concat_arrays([names, self.names]), ids, sizes)
 
     def pieces(self, texts: pa.Array) -> pa.Array:
         """A list of pieces for each text."""
         raise NotImplementedError
 
-    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The pieces in some order, all their ids in that order, and how many each has."""
+    def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the pieces, all their ids in that order, and how many each has."""
         raise NotImplementedError
 
-    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, total = len(self.at), len(ids)
-        self.chars += sum(map(len, names))
-        while self.used + total > len(self.pool):
+    def _keep(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(names) > len(self.starts):
-            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
-        self.pool[self.used : self.used + total] = ids
-        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(names)] = sizes
-        self.used += total
-        self.at.update(zip(names, range(n, n + len(names)), strict=True))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.names = pa.concat_arrays([self.names, names])
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
+        self.used += len(ids)
 
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids end."""
         pieces = self.pieces(texts)
         bounds = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.at) + len(names) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.names) + len(coded.dictionary) > REMEMBERED or self.names.nbytes > REMEMBERED_BYTES:
             self.forget()
-        known = len(self.at)
-        if new := [p for p in names if p not in self.at]:
-            self._keep(*self.ids_of(new))
-        own = np.array([self.at[p] for p in names], np.int64)
-        self.again[own[own < known]] = True
-        index = own[np.asarray(coded.indices)] if names else own
+        known = len(self.names)
+        own = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.names), -1)).astype(np.int64)
+        self.again[own[own >= 0]] = True
+        if (new := own < 0).any():
+            fresh = coded.dictionary.filter(pa.array(new))
+            order, ids, sizes = self.ids_of(fresh)
+            self._keep(fresh.take(pa.array(order)), ids, sizes)
+            own[np.nonzero(new)[0][order]] = known + np.arange(len(order))
+        index = own[np.asarray(coded.indices)]
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -109,20 +106,22 @@ class Encoder(Remembered):
     def pieces(self, texts: pa.Array) -> pa.Array:
         return pc.ascii_split_whitespace(texts.cast(pa.large_string()))
 
-    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Plain pieces are encoded many to a text, a mark between them."""
-        odd = [p for p in pieces if MARK in p or SPECIAL in p]
-        plain = [p for p in pieces if MARK not in p and SPECIAL not in p] if odd else pieces
+        odd = np.asarray(pc.or_(pc.match_substring(pieces, MARK), pc.match_substring(pieces, SPECIAL)))
+        plain = pieces.filter(pa.array(~odd))
         ids: list[int] = []
-        for part in self._whole([f" {MARK} ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]):
+        cuts = pa.array([*range(0, len(plain), AT_ONCE), len(plain)], pa.int64())
+        for part in self._whole(pc.binary_join(pa.LargeListArray.from_arrays(cuts, plain), pa.scalar(f" {MARK} ", pa.large_string())).to_pylist()) if len(plain) else []:
             ids += part
             ids.append(self.mark)
         flat = np.array(ids, np.uint32)
         ends = np.nonzero(flat == self.mark)[0]
         sizes = np.diff(ends, prepend=-1) - 1
         assert len(sizes) == len(plain)
-        alone = self._whole(odd)
-        return plain + odd, np.concatenate([flat[flat != self.mark], *[np.array(x, np.uint32) for x in alone]]), np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
+        alone = self._whole(pieces.filter(pa.array(odd)).to_pylist())
+        order = np.concatenate([np.nonzero(~odd)[0], np.nonzero(odd)[0]])
+        return order, np.concatenate([flat[flat != self.mark], *[np.array(x, np.uint32) for x in alone]]), np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text, and where each text's ids end."""
