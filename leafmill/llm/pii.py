@@ -9,7 +9,7 @@ security number, an account number, a secret key. The trees score a candidate by
 and by CONTEXT characters on both sides. They are fitted on SAMPLE texts written for it
 (none of the corpus), on which the same generators and features run, so what the trees see
 there is what they see later; on texts kept apart, the threshold of each kind is the lowest
-score from which PRECISION holds. A candidate is kept if it reaches its kind's threshold,
+score from which PRECISION holds, even odds at least. A candidate is kept if it reaches its kind's threshold,
 overlaps no base span, and overlaps no kept one of a higher score (then: earlier, then the
 kind listed first).
 
@@ -55,8 +55,8 @@ EXTRA_HINT = {"email": "(?i)" + EXTRA["email"][EXTRA["email"].index(AT) :].remov
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
 CONTEXT, SAMPLE, PRECISION = 28, 4000, 0.98
 #: Words that go before or after such data, and words that go with other numbers.
-CLUES = "tel|phone|fon|fax|mobil|cell|call|dial|ssn|social|security|tax|iban|account|konto|cuenta|compte|transfer|bank|mail|contact|kontakt|write|reach|token|secret|passw|api|auth|bearer|credential|key"
-OTHERS = "order|invoice|ticket|serial|isbn|part|model|sku|item|version|build|batch|lot|ref|page|commit|hash|sha|md5|checksum|uuid|digest|url|path|file|meet|arriv|sold|price|score|figure|table"
+CLUES = "(?<![a-z])(?:tel|phone|fon|fax|mobil|cell|call|dial|ssn|social|security|tax|iban|account|konto|cuenta|compte|transfer|bank|mail|contact|kontakt|write|reach|token|secret|passw|api|auth|bearer|credential|key)"
+OTHERS = "(?<![a-z])(?:order|invoice|ticket|serial|isbn|part|model|sku|item|version|build|batch|lot|ref|page|commit|hash|sha|md5|checksum|uuid|digest|url|path|file|meet|arriv|sold|price|score|figure|table)"
 #: Entries that a fold copies at most in one step, characters of a text's parts, and spans that are looked through at once.
 BLOCK, PART, MANY = 256, 1024, 64
 
@@ -189,6 +189,7 @@ def features(parts: Column, span: Column) -> dict[str, Column]:
         "in_path": flag(before.rlike(r"[/#$_&?]$") | after.rlike(r"^[/#$_&?]")),
         "bracketed": flag(found.rlike(r"[\[({]")),
         "spelled_dot": flag(found.rlike(r"(?i)\bdot\b")),
+        "loose_dot": flag(found.rlike(r"\.\s")),
         "number_before": flag(before.rlike(r"[0-9]\s*[-+*/,.]?\s*$")),
         "remainder": F.when(span["kind"] == "iban", _remainder_97(found)).otherwise(F.lit(0)),
         "hex": flag(found.rlike("^[0-9a-f]+$")),
@@ -196,7 +197,7 @@ def features(parts: Column, span: Column) -> dict[str, Column]:
 
 
 FEATURES = [
-    "kind", "n_chars", "n_digits", "n_kinds_of_digit", "n_marks", "n_upper", "clue", "other", "clue_after", "other_after", "bad_start", "assigned", "in_path", "bracketed", "spelled_dot", "number_before", "remainder", "hex",
+    "kind", "n_chars", "n_digits", "n_kinds_of_digit", "n_marks", "n_upper", "clue", "other", "clue_after", "other_after", "bad_start", "assigned", "in_path", "bracketed", "spelled_dot", "loose_dot", "number_before", "remainder", "hex",
 ]
 
 
@@ -300,7 +301,7 @@ def _apply(tree, rows):
 
 @functools.cache
 def fitted(trees: int = 32, depth: int = 4, rate: float = 0.3) -> tuple[list, dict[int, float]]:
-    """Boosted trees from one set of written texts; from another, for each kind the lowest score from which PRECISION holds."""
+    """Boosted trees from one set of written texts; from another, for each kind the lowest score, 0 at least, from which PRECISION holds."""
     spark = SparkSession.active()
     x, y = judged(spark, written_texts(7))
     score, out = np.zeros(len(x)), []
@@ -317,7 +318,7 @@ def fitted(trees: int = 32, depth: int = 4, rate: float = 0.3) -> tuple[list, di
         scores, own = held[mine], held_y[mine]
         cuts = np.unique(scores)[::-1]
         good = [c for c in cuts if own[scores >= c].mean() >= PRECISION]
-        least[KINDS.index(kind)] = float(min(good)) if good else float("inf")
+        least[KINDS.index(kind)] = max(float(min(good)), 0.0) if good else float("inf")
     return out, least
 
 
