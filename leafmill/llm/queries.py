@@ -10,7 +10,7 @@ from .packing import op9_packing
 from .pieces import op7_sentencepiece
 from .pii import op10_pii
 from .repeats import OP3_SQL, op3_phrase_automata
-from .sharding import op4_virtual_slots
+from .sharding import OP4_SQL, op4_virtual_slots
 from .topk import OP1_SQL, op1_kd_trees
 
 QUERIES = {
@@ -29,5 +29,6 @@ ORACLE: dict[str, str] = {
     "op1_kd_trees": OP1_SQL,
     "op2_spotsigs": OP2_SQL,
     "op3_phrase_automata": OP3_SQL,
+    "op4_virtual_slots": OP4_SQL,
     "op6_lsh_forest": OP6_SQL,
 }

@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, small_table, written
@@ -25,6 +25,11 @@ HOT = 128
 MAP_SCHEMA = "version: int, slot: int, shard: int, bytes: bigint, rows: bigint, first_place: bigint"
 
 
+def _hashed(value: Column, n: Column) -> Column:
+    """0 to n - 1 by the first 32 bits of a digest, which any SQL engine can compute."""
+    return F.pmod(F.conv(F.substring(F.md5(value.cast("binary")), 1, 8), 16, 10).cast("long"), n).cast("int")
+
+
 def place_slots(stats: list[tuple[int, int, int]], n_shards: int, version: int = 1) -> list[dict]:
     """Version 1 of a map: largest slots first, each to the shard with the fewest bytes."""
     loads = [(0, 0, s) for s in range(n_shards)]
@@ -84,7 +89,7 @@ def sharded(docs: DataFrame, n_shards: int = 8, folder: str | None = None) -> Da
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.col("doc_id").cast("string"))), F.lit(SLOTS)).cast("int").alias("base"),
+            _hashed(F.coalesce(F.col("text"), F.col("doc_id").cast("string"), F.lit("")), F.lit(SLOTS)).alias("base"),
         ),
         f"{folder}/records",
     )
@@ -100,7 +105,7 @@ def sharded(docs: DataFrame, n_shards: int = 8, folder: str | None = None) -> Da
             next_slot += n
     if parts:
         hot = small_table(spark, [{"base": s, "start": a, "parts": n} for s, (a, n) in parts.items()], "base: int, start: int, parts: int")
-        slot = F.coalesce(F.col("start") + F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")), F.col("base"))
+        slot = F.coalesce(F.col("start") + _hashed(F.concat_ws(":", "doc_id", "size"), F.col("parts")), F.col("base"))
         records = records.join(F.broadcast(hot), "base", "left").withColumn("virtual_slot", slot.cast("int"))
         split = records.where(F.col("start").isNotNull()).groupBy("virtual_slot").agg(*totals).collect()
         sums = [s for s in sums if s[0] not in parts] + [tuple(r) for r in split]
@@ -119,3 +124,37 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
+
+
+OP4_SQL = f"""
+WITH RECURSIVE crc_steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS steps
+), texts AS (
+  SELECT DISTINCT coalesce(text, '') AS t FROM documents
+), crcs AS (
+  SELECT t, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM texts, crc_steps
+), records AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, text_crc32, CAST('0x' || left(md5(coalesce(text, CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) % {SLOTS} AS base
+  FROM documents JOIN crcs ON coalesce(text, '') = t
+), sums AS (
+  SELECT base, greatest(sum(size)::DOUBLE / (SELECT sum(size) FROM records), count(*)::DOUBLE / (SELECT count(*) FROM records)) AS share FROM records GROUP BY base
+), hot AS (
+  SELECT base, ceil(share * {8 * HOT})::BIGINT AS parts FROM sums WHERE share > 1.0::DOUBLE / {HOT}
+), dealt AS (
+  SELECT base, parts, {SLOTS} + sum(parts) OVER (ORDER BY base) - parts AS start FROM hot
+), virtual AS (
+  SELECT r.*, CAST(coalesce(start + CAST('0x' || left(md5(concat_ws(':', doc_id, size)), 8) AS BIGINT) % parts, r.base) AS INTEGER) AS virtual_slot FROM records r LEFT JOIN dealt d ON r.base = d.base
+), stats AS (
+  SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, count(*) DESC, virtual_slot) AS i FROM virtual GROUP BY virtual_slot
+), placed AS (
+  SELECT 0::BIGINT AS i, list_transform(range(8), lambda s: {{'total': 0::BIGINT, 'n': 0::BIGINT, 'shard': s}}) AS loads, 0::BIGINT AS shard
+  UNION ALL
+  SELECT s.i, list_sort(list_append(p.loads[2:], {{'total': p.loads[1].total + s.bytes, 'n': p.loads[1].n + s.n, 'shard': p.loads[1].shard}})), p.loads[1].shard FROM placed p JOIN stats s ON s.i = p.i + 1
+), slot_map AS (
+  SELECT virtual_slot, shard, sum(n) OVER (PARTITION BY shard ORDER BY virtual_slot) - n AS first_place FROM stats JOIN placed USING (i)
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(first_place + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot
+FROM virtual JOIN slot_map USING (virtual_slot)
+"""

@@ -153,6 +153,18 @@ def test_shards_odd_rows_and_hot_text(spark, make, odd):
     assert sharding.op4_virtual_slots(spark, make([])).collect() == []
 
 
+def test_shards_sql_gives_the_same(spark, make):
+    """On the small table, and on one with null and hot texts."""
+    hot = [(1, "a b"), (2, None), (3, ""), (4, "é\U0001f600 ß"), (5, None), *[(100 + i, "same text") for i in range(500)], *[(1000 + i, f"text {i}") for i in range(300)]]
+    for path in (SMALL, make(hot)):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{'' if path == SMALL else '/*.parquet'}'")
+        want = sorted(con.sql(sharding.OP4_SQL).fetchall())
+        got = sharding.op4_virtual_slots(spark, path)
+        assert got.columns == con.sql(sharding.OP4_SQL).columns
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_map_grows_into_the_new_shard_only():
     first = sharding.place_slots([(s, 10 + s % 7, 1) for s in range(200)], 8)
     second = sharding.grow_map(first, 8)
