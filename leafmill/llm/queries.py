@@ -11,6 +11,7 @@ from .pieces import op7_sentencepiece
 from .pii import op10_pii
 from .repeats import OP3_SQL, op3_phrase_automata
 from .sharding import OP4_SQL, op4_virtual_slots
+from .stamps import OP12_SQL, op12_stamps
 from .topk import OP1_SQL, op1_kd_trees
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op12_stamps": op12_stamps,
 }
 ORACLE: dict[str, str] = {
     "op1_kd_trees": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLE: dict[str, str] = {
     "op3_phrase_automata": OP3_SQL,
     "op4_virtual_slots": OP4_SQL,
     "op6_lsh_forest": OP6_SQL,
+    "op12_stamps": OP12_SQL,
 }
