@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_groups
 from .fingerprints import OP2_SQL, op2_spotsigs
 from .idfiles import op5_id_files
 from .langid import op8_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_groups": op11_groups,
     "op12_stamps": op12_stamps,
 }
 ORACLE: dict[str, str] = {
