@@ -14,6 +14,7 @@ from .repeats import OP3_SQL, op3_phrase_automata
 from .sharding import OP4_SQL, op4_virtual_slots
 from .stamps import OP12_SQL, op12_stamps
 from .topk import OP1_SQL, op1_kd_trees
+from .toxicity import op13_toxic_spans
 
 QUERIES = {
     "op1_kd_trees": op1_kd_trees,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_groups": op11_groups,
     "op12_stamps": op12_stamps,
+    "op13_toxic_spans": op13_toxic_spans,
 }
 ORACLE: dict[str, str] = {
     "op1_kd_trees": OP1_SQL,
