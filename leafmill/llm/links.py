@@ -15,6 +15,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = written(edges, f"{folder}/edges0")
     turn, state, n = 0, None, edges.count()
+    if not n:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

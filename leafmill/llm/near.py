@@ -1,9 +1,10 @@
 """Near duplicates by an LSH forest over min-wise hashes, links confirmed on full sets.
 
-Each distinct set of shingles gets TREES signatures of DEPTH min-wise hashes. The rows
-of all trees are put in one range-partitioned order; sets that share a prefix of BASE
-hashes in some tree form a region there. A region of up to REGION sets pairs all of
-them; a denser one is cut by deeper prefixes, one more hash at a time, and neighbours in
+Each distinct set of shingles gets TREES signatures of DEPTH min-wise hashes; sets that
+share a prefix of BASE hashes in some tree form a region there. Regions are counted first.
+One of up to REGION sets is dealt to a single task, in order, which pairs all of them. The
+rows of denser regions are put in one range-partitioned order, so that a region may be many
+tasks' work; it is cut by deeper prefixes, one more hash at a time, and neighbours in
 the order (longest common prefix) stay paired across the cuts. A region that is dense
 even at full depth pairs each set with the REGION / 2 before it. In the first CHAINED trees
 a dense region pairs all its sets with its most central one. Pairs that one-bit sketches
@@ -12,7 +13,7 @@ place far below the threshold (five standard deviations) are not confirmed.
 Neighbours and central sets in the first CHAINED trees are confirmed first and give components; of the
 other pairs those between different components are confirmed then. So a large group of
 near copies costs a few comparisons for each member. What these leave open is finished
-exactly: dense regions that still hold several components are joined where they overlap,
+exactly: dense regions that still hold several components, whatever tasks their rows were in, are joined where they overlap,
 and in each such clump the sets outside its largest component meet all the others in
 blocks of about BLOCK by BLOCK, by counts of shared shingles. Sets at the threshold share a region in some tree with
 probability 1 - (1 - t^BASE)^TREES, 0.99999 at 0.85.
@@ -117,12 +118,23 @@ def _central_pairs(sketch: np.ndarray, far: int, a: int, b: int):
     return np.minimum(i, p), np.maximum(i, p)
 
 
-def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
-    """a, b, chained: pairs of nodes to confirm."""
-    agree = (1 + at_least) / 2
-    far = int(128 * (1 - agree) + 5 * (128 * agree * (1 - agree)) ** 0.5) + 1
+def trees_of(reps: DataFrame) -> DataFrame:
+    """A row for each set and tree: id, tree, key, sketch, and the region that the key begins with."""
     trees = reps.select(F.col("rep").alias("id"), "sketch", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = trees.select("id", F.col("tree").cast("int").alias("tree"), F.expr(f"substring(keys, tree * {ROW} + 1, {ROW})").alias("key"), "sketch")
+    return rows.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * BASE)))
+
+
+def dense_regions(reps: DataFrame, folder: str) -> DataFrame:
+    """Regions of more sets than one task pairs all of."""
+    return written(trees_of(reps).groupBy("region").agg(F.count("*").alias("n")).where(f"n > {REGION}").select("region"), f"{folder}/dense")
+
+
+def candidates(reps: DataFrame, dense: DataFrame, at_least: float, folder: str) -> DataFrame:
+    """a, b, chained: pairs of nodes to confirm; all of the regions that aren't dense."""
+    agree = (1 + at_least) / 2
+    far = int(128 * (1 - agree) + 5 * (128 * agree * (1 - agree)) ** 0.5) + 1
+    rows = trees_of(reps)
     parts = max(shuffle_parts(reps.sparkSession), 2)
 
     def run(batches):
@@ -143,7 +155,8 @@ def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
             tree = np.asarray(table.column("tree"))
             ids = np.asarray(table.column("id"))
             key, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("key", "sketch"))
-            same = (tree[1:] == tree[:-1]) & (key[1:, : 4 * BASE] == key[:-1, : 4 * BASE]).all(axis=1)
+            region_of = np.asarray(table.column("region"))
+            same = region_of[1:] == region_of[:-1]
             starts = np.concatenate([[0], np.nonzero(~same)[0] + 1])
             stops = np.concatenate([starts[1:], [len(ids)]])
             edge = []
@@ -157,10 +170,9 @@ def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
                 starts, stops = starts[:-1], stops[:-1]
             found = [region(tree, key, sketch, ids, a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b - a > 1]
             a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "chained": pa.array(c, pa.int32()), "side": pa.nulls(len(a), pa.string()), "task": pa.nulls(len(a), pa.int32()), "region": pa.nulls(len(a), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "chained": pa.array(c, pa.int32()), "side": pa.nulls(len(a), pa.string()), "task": pa.nulls(len(a), pa.int32()), "region": pa.nulls(len(a), pa.int64())})
             for x, y, side in edge:
-                name = bytes([int(tree[x])]) + key[x, : 4 * BASE].tobytes()
-                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[x:y], pa.int64()), "b": pa.nulls(y - x, pa.int64()), "chained": pa.array([int(tree[x] < CHAINED)] * (y - x), pa.int32()), "side": pa.array([side] * (y - x)), "task": pa.array([task] * (y - x), pa.int32()), "region": pa.array([name] * (y - x), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[x:y], pa.int64()), "b": pa.nulls(y - x, pa.int64()), "chained": pa.array([int(tree[x] < CHAINED)] * (y - x), pa.int32()), "side": pa.array([side] * (y - x)), "task": pa.array([task] * (y - x), pa.int32()), "region": pa.array(region_of[x:y], pa.int64())})
 
         pending: list[pa.RecordBatch] = []
         for batch in batches:
@@ -175,8 +187,13 @@ def candidates(reps: DataFrame, at_least: float, folder: str) -> DataFrame:
             table = pa.concat_tables([*([held] if held is not None else []), *([pa.Table.from_batches(pending)] if pending else [])])
             yield from pairs_of(table.combine_chunks(), True)
 
-    ordered = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("id", "tree", "key", "sketch")
-    found = written(ordered.mapInArrow(tidy(run), "a long, b long, chained int, side string, task int, region binary"), f"{folder}/found")
+    order, shape = ["region", "key", "id"], "a long, b long, chained int, side string, task int, region long"
+    whole = only(rows, dense, "region", "left_anti").repartition(parts, "region").sortWithinPartitions(*order)
+    found = whole.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(run), shape).where("side is null")
+    if not dense.isEmpty():
+        spread = only(rows, dense, "region").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = found.union(spread.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(run), shape))
+    found = written(found, f"{folder}/found")
     tails = found.where("side = 'tail'").select(F.col("a").alias("x"), "region", (F.col("task") + 1).alias("task"), "chained")
     heads = found.where("side = 'head'").select(F.col("a").alias("y"), "region", "task")
     across = tails.join(heads, ["region", "task"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "chained")
@@ -207,12 +224,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> D
     return full.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
-def dense_members(reps: DataFrame, folder: str) -> DataFrame:
-    """id, region of the sets in regions where candidates() may pass over pairs: more than one side of a cut between tasks holds."""
-    trees = reps.select(F.col("rep").alias("id"), "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = trees.select("id", F.xxhash64("tree", F.expr(f"substring(keys, tree * {ROW} + 1, {4 * BASE})")).alias("region"))
-    dense = written(rows.groupBy("region").agg(F.count("*").alias("n")).where(f"n > {REGION // 2}").select("region"), f"{folder}/dense")
-    return written(only(rows, dense, "region"), f"{folder}/members")
+def dense_members(reps: DataFrame, dense: DataFrame, folder: str) -> DataFrame:
+    """id, region of the sets in dense regions, where candidates() may pass over pairs."""
+    return written(only(trees_of(reps).select("id", "region"), dense, "region"), f"{folder}/members")
 
 
 def block_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -290,9 +304,11 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
     marks = written(signed(docs, width, lower), f"{folder}/marks")
     real = marks.where("n_shingles > 0 and doc_id is not null")
     reps = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), f"{folder}/reps")
-    pairs = candidates(reps, at_least[0] / at_least[1], folder)
-    members = dense_members(reps, folder)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("id")).distinct(), f"{folder}/ids")
+    dense = dense_regions(reps, folder)
+    members = None if dense.isEmpty() else dense_members(reps, dense, folder)
+    pairs = candidates(reps, dense, at_least[0] / at_least[1], folder)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    ids = written((ids if members is None else ids.union(members.select("id"))).distinct(), f"{folder}/ids")
 
     def collect(batches):
         for batch in batches:
@@ -309,7 +325,7 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
     apart = written(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{folder}/apart")
     more = written(confirmed(apart, sets, at_least), f"{folder}/links2")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/second")
-    last = finished(members, sets, final, at_least, folder)
+    last = None if members is None else finished(members, sets, final, at_least, folder)
     if last is not None:
         final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last), f"{folder}/third")
     named = reps.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))

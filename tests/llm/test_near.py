@@ -91,6 +91,51 @@ def test_star_group(spark, make, hub):
     assert len(got) == 1201 and {r.component_id for r in got} == {min(hub, 0)}
 
 
+def star(n, seed=11):
+    """An original and n copies, each at 0.85 to it at least and below that to each other."""
+    rnd, base = random.Random(seed), [f"w{seed}_{i}" for i in range(402)]
+    out = [" ".join(base)]
+    for i in range(n):
+        words = list(base)
+        for k in range(10):
+            words[rnd.randrange(40 * k + 2, 40 * k + 38)] = f"x{seed}_{i}y{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.fixture
+def parts_of(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("parts", [4, 64, 200, 400])
+def test_components_whatever_the_number_of_tasks(spark, make, parts_of, parts):
+    """Stars of sizes around a region's, on their own and among each other: more tasks than rows cut them."""
+    parts_of(parts)
+    rows, centre = [], []
+    for k, n in enumerate([5, 20, 23, 24, 25, 30, 47, 48, 49, 50]):
+        for t in star(n, 11 + k):
+            rows.append((len(rows), t))
+            centre.append(len(rows) - 1 if not centre or t == star(n, 11 + k)[0] else centre[-1])
+    turned = [(len(rows) - 1 - i if i % 2 else i, t) for i, t in rows]
+    want = {}
+    for (i, _), c in zip(turned, centre, strict=True):
+        want.setdefault(c, []).append(i)
+    least = {i: min(own) for own in want.values() for i in own}
+    got = near.near_groups(spark.read.parquet(f"{make(turned)}/documents.parquet"), 3, (85, 100)).collect()
+    assert {r.doc_id: r.component_id for r in got} == least
+
+
+@pytest.mark.parametrize("parts", [200, 400])
+def test_one_star_in_very_many_tasks(spark, make, parts_of, parts):
+    parts_of(parts)
+    for n in (20, 23):
+        got = near.near_groups(spark.read.parquet(f"{make(list(enumerate(star(n))))}/documents.parquet"), 3, (85, 100)).collect()
+        assert {r.component_id for r in got} == {0}
+
+
 def test_block_counts():
     rnd = np.random.default_rng(3)
     left, right = ([np.unique(rnd.integers(0, 9000, rnd.integers(1, 9000)).astype(np.uint64)) for _ in range(n)] for n in (7, 9))
