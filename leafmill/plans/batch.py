@@ -79,16 +79,17 @@ def load(spark: SparkSession, o: Options) -> DataFrame:
     folder, options = f"{o.work_dir}/state", state.options_hash(pages=o.max_pages, figures=o.figures, most=o.max_figures)
     if not o.use_cache:
         return extracted(spark, found, o)
-    known = state.load(spark, folder)
     if o.clear_cache:
-        known = known.limit(0)
+        state.clear(spark, folder)
+    known = state.load(spark, folder, only)
     crops = files.crop_files(spark, f"{o.work_dir}/figures")
     hits, misses = state.split(found, known, options, crops)
     new = extracted(spark, misses, o).withColumn("options_hash", F.lit(options))
     failed = new.where(F.col("error").isNotNull())
     fresh = new.where(F.col("error").isNull())
-    state.save(state.upserted(known, fresh.select(*known.columns)), folder)
-    stored = state.load(spark, folder).where(F.col("options_hash") == options)
+    if state.append(fresh, folder):
+        state.compact(spark, folder)
+    stored = state.load(spark, folder, only).where(F.col("options_hash") == options)
     paths = found.select("filename", F.col("path").alias("pdf_path"), "hash")
     papers = stored.join(paths, ["filename", "hash"]).select("filename", "pdf_path", "hash", "title", "text", F.lit(None).cast("string").alias("error"), "figures")
     return papers.unionByName(failed.select(*papers.columns))

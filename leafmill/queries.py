@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import strings as S
 from leafmill.operators import chunking, layout, model, render, state, titles, weave
 from leafmill.schemas import FIGURES, STATE
-from leafmill.sources import files, sinks
+from leafmill.sources import files, shared, sinks
 from leafmill.streaming.incremental import windowed_counts
 
 QUERIES: dict = {}
@@ -292,6 +292,22 @@ def upsert_state(spark, sf):
     return state.upserted(known, new).select("filename", "hash")
 
 
+@query(
+    """SELECT 'd' || doc_id || '.pdf' AS filename, CASE WHEN doc_id % 6 = 0 THEN 'v4' WHEN doc_id % 4 = 0 THEN 'v3' WHEN doc_id % 2 = 0 THEN 'v2' WHEN doc_id % 5 = 0 THEN 'stale' ELSE sha256(text) END AS hash
+FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0"""
+)
+def state_log(spark, sf):
+    """A planted state as a log: a first segment, three later ones over it, merged on reading after the later ones were merged."""
+    found, known = _state(spark, sf)
+    folder = shared.shared_dir(spark)
+    state.append(known, folder)
+    for version, every in ((2, 2), (3, 4), (4, 6)):
+        changed = found.where(F.col("doc_id") % every == 0).select("filename", F.lit(f"v{version}").alias("hash"), *[F.lit(None).cast(STATE[c].dataType).alias(c) for c in STATE.names[2:]])
+        state.append(changed, folder)
+    state.compact(spark, folder, fan=2)
+    return state.load(spark, folder).select("filename", "hash")
+
+
 @query("SELECT 'd' || doc_id AS filename, md5(text) AS content_md5 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0")
 def write_if_changed(spark, sf):
     """New documents and changed ones, of a folder that lacks every third and differs in every fourth."""

@@ -187,8 +187,8 @@ def test_state(spark, tmp_path):
     assert [r.filename for r in hits.collect()] == ["a"] and sorted(r.filename for r in misses.collect()) == list("bcdef")
     folder = f"file://{tmp_path}/state"
     assert state.load(spark, folder).count() == 0
-    state.save(known, folder)
-    state.save(state.upserted(state.load(spark, folder), spark.createDataFrame([("a", "h9", "o", "N", "t", [])], STATE)), folder)
+    assert state.append(known, folder)
+    assert state.append(spark.createDataFrame([("a", "h9", "o", "N", "t", [])], STATE), folder)
     assert {r.filename: r.hash for r in state.load(spark, folder).collect()} == {"a": "h9", "b": "old", "c": "h3", "d": "h4", "e": "h5"}
     assert all(r.figures == [] for r in state.without_figures(known).collect())
 
