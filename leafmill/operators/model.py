@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import strings as S
 
 from .chunking import MAX_CHARS, MAX_CHUNKS, chunk_table
+from .ledger import Ledger
 from .weave import woven
 
 #: The notes that stand for missing results, the default model and service.
@@ -128,6 +129,13 @@ def answered(factory: Callable[[], object]) -> Callable[..., Column]:
     return call
 
 
+def told(asked: DataFrame, factory: Callable[[], object], ledger: Ledger | None) -> DataFrame:
+    """asked(prompt, image, ...) with __r, a struct of reply and error; with a ledger, no question is paid for twice."""
+    if ledger is not None:
+        return ledger.answered(asked, factory)
+    return asked.withColumn("__r", answered(factory)("prompt", "image"))
+
+
 def filled(template: str | Column, **values: Column) -> Column:
     """A template with {names} replaced in the given order; what goes in is searched for later names."""
     out = F.lit(template) if isinstance(template, str) else template
@@ -136,17 +144,17 @@ def filled(template: str | Column, **values: Column) -> Column:
     return out
 
 
-def chunk_summaries(papers: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, max_chunks: int | None = None, text: str = "text") -> DataFrame:
+def chunk_summaries(papers: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, max_chunks: int | None = None, text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """filename, idx, summary, error of each chunk; a chunk a row, dealt out for parallel calls."""
     prompts = prompts or Prompts()
     limit = prompts.max_chunks if max_chunks is None else max_chunks
     parts = chunk_table(papers, "filename", text, prompts.chunk_max_chars, limit).join(papers.select("filename", "title"), "filename")
     asked = parts.withColumn("prompt", filled(prompts.chunk_prompt, title=F.col("title"), idx=F.col("idx"), total=F.col("total"), chunk=F.col("chunk")))
-    dealt = asked.repartition("filename", "idx")
-    return dealt.withColumn("__r", answered(factory)("prompt", F.lit(None).cast("string"))).select("filename", "idx", F.col("__r.reply").alias("summary"), F.col("__r.error").alias("error"))
+    dealt = asked.repartition("filename", "idx").withColumn("image", F.lit(None).cast("string"))
+    return told(dealt, factory, ledger).select("filename", "idx", F.col("__r.reply").alias("summary"), F.col("__r.error").alias("error"))
 
 
-def reduced(papers: DataFrame, parts: DataFrame, factory=FirstSentences, prompts: Prompts | None = None) -> DataFrame:
+def reduced(papers: DataFrame, parts: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, ledger: Ledger | None = None) -> DataFrame:
     """filename, summary_md, error: the part summaries of a paper in order, joined and asked about once."""
     prompts = prompts or Prompts()
     # Chunks of a paper are at most max_chunks rows.
@@ -154,11 +162,10 @@ def reduced(papers: DataFrame, parts: DataFrame, factory=FirstSentences, prompts
     joined = papers.select("filename", "title").join(grouped, "filename", "left")
     summaries = F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<idx:int,summary:string>>")), lambda p: p["summary"]), "\n\n")
     asked = joined.withColumn("prompt", F.when(F.col("failed").isNull(), filled(prompts.reduce_prompt, title=F.col("title"), summaries=summaries)))
-    told = asked.withColumn("__r", answered(factory)("prompt", F.lit(None).cast("string")))
-    return told.select("filename", F.col("__r.reply").alias("summary_md"), F.coalesce("failed", "__r.error").alias("error"))
+    return told(asked.withColumn("image", F.lit(None).cast("string")), factory, ledger).select("filename", F.col("__r.reply").alias("summary_md"), F.coalesce("failed", "__r.error").alias("error"))
 
 
-def described(papers: DataFrame, crops: DataFrame, factory=FirstSentences, prompts: Prompts | None = None) -> DataFrame:
+def described(papers: DataFrame, crops: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, ledger: Ledger | None = None) -> DataFrame:
     """papers with figure descriptions, and vision_error, the first failure of each paper.
 
     crops(path, content): a figure whose png_path isn't there is not asked about.
@@ -169,26 +176,30 @@ def described(papers: DataFrame, crops: DataFrame, factory=FirstSentences, promp
     asked = flat.join(images, F.col("fig.png_path") == F.col("__path"), "left")
     label, caption = (F.coalesce(S.found(F.col(f"fig.{c}")), F.lit(d)) for c, d in (("label", "unlabeled figure"), ("caption", "(none found)")))
     prompt = F.when(F.col("image").isNotNull(), filled(prompts.figure_prompt, title=F.col("title"), label=label, caption=caption))
-    told = asked.withColumn("prompt", prompt).withColumn("__r", answered(factory)("prompt", "image"))
+    answers = told(asked.withColumn("prompt", prompt), factory, ledger)
     figure = F.col("fig").withField("description", F.coalesce(S.found(F.col("__r.reply")), F.lit(NO_VISION)))
-    told = told.select("filename", "pos", figure.alias("fig"), F.col("__r.error").alias("error"))
-    grouped = told.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("pos", "fig"))).alias("figs"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("vision_error"))
+    answers = answers.select("filename", "pos", figure.alias("fig"), F.col("__r.error").alias("error"))
+    grouped = answers.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("pos", "fig"))).alias("figs"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("vision_error"))
     figures = F.coalesce(F.transform("figs", lambda x: x["fig"]), F.col("figures"))
     return papers.join(grouped, "filename", "left").withColumn("figures", figures).drop("figs")
 
 
-def summarized(papers: DataFrame, crops: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, max_chunks: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def summarized(
+    papers: DataFrame, crops: DataFrame, factory=FirstSentences, prompts: Prompts | None = None, max_chunks: int | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, ledger: Ledger | None = None,
+) -> DataFrame:
     """papers with figures described, summary_md, status and error; `text` stays as it was.
 
-    keep() stands between map and reduce: hand in a table write, so that a lost executor
-    doesn't repeat paid calls.
+    keep(table, name) stands behind each step that asks (described, parts, answers): hand in a
+    table write, so that no step's plan, calls and all, is read twice. A ledger also spares
+    calls over tasks and runs that die, and for equal questions.
     """
     blank = (F.coalesce(F.col("text"), F.lit("")) == "") & (F.coalesce(F.size("figures"), F.lit(0)) <= 0)
     bare = papers.where(blank).withColumn("vision_error", F.lit(None).cast("string"))
-    full = described(papers.where(~blank), crops, factory, prompts)
+    full = keep(described(papers.where(~blank), crops, factory, prompts, ledger), "described")
     asked = full.withColumn("__input", woven(F.coalesce("text", F.lit("")), F.col("figures")))
-    parts = keep(chunk_summaries(asked, factory, prompts, max_chunks, "__input"))
-    answers = reduced(full, parts, factory, prompts).select("filename", F.col("summary_md").alias("__md"), "error")
+    parts = keep(chunk_summaries(asked, factory, prompts, max_chunks, "__input", ledger), "parts")
+    answers = keep(reduced(full, parts, factory, prompts, ledger), "answers").select("filename", F.col("summary_md").alias("__md"), "error")
     failed = F.concat(F.lit("> **Summary generation failed**: "), F.col("error"))
     done = full.join(answers, "filename", "left").withColumn("summary_md", F.coalesce("__md", failed)).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed")).drop("__md")
     none = bare.withColumn("summary_md", F.lit(NO_TEXT)).withColumn("error", F.lit(None).cast("string")).withColumn("status", F.lit("empty"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
-from leafmill.operators import layout, model, render, state, titles
+from leafmill.operators import layout, ledger, model, render, state, titles
 from leafmill.schemas import FIGURES
 from leafmill.sources import files, pdf, sinks
 
@@ -59,8 +59,10 @@ def extracted(spark: SparkSession, found: DataFrame, o: Options) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    titled = titles.with_titles(found.select("path", "filename", "hash", "content").join(parsed := written(pdf.read(found.select("path", "filename", "hash", "content"), o.backend, o.max_pages, o.figures), "parsed").drop("path", "hash"), "filename"))
-    rows = titled.select("filename", F.col("path").alias("pdf_path"), "hash", "title", S.clean_pdf_text(F.col("raw_text")).alias("text"), "error")
+    # One scan of the contents: what titles need of them is found on the way into the parser.
+    seen = titles.with_meta(found.select("path", "filename", "hash", "content"))
+    parsed = written(pdf.read(seen, o.backend, o.max_pages, o.figures), "parsed")
+    rows = titles.with_titles(parsed).select("filename", F.col("path").alias("pdf_path"), "hash", "title", S.clean_pdf_text(F.col("raw_text")).alias("text"), "error")
     if not o.figures:
         return written(rows.withColumn("figures", none), "extracted")
     prims, blocks = pdf.geometry(parsed.where(F.col("error").isNull()))
@@ -104,12 +106,13 @@ def run(spark: SparkSession, o: Options) -> Report:
     failures = loaded.where(F.col("error").isNotNull()).count()
     errors = [f"extract failed for {r[0]}: {r[1]}" for r in loaded.where(F.col("error").isNotNull()).select("filename", "error").orderBy("filename").limit(100).collect()]
 
-    def keep(parts: DataFrame) -> DataFrame:
-        parts.write.mode("overwrite").parquet(f"{work}/parts")
-        return spark.read.parquet(f"{work}/parts")
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{work}/{name}")
 
     crops = files.crop_files(spark, f"{o.work_dir}/figures")
-    done = model.summarized(papers, crops, o.model, o.prompts, o.max_chunks, keep)
+    answers = ledger.Ledger(f"{o.work_dir}/ledger", f"{getattr(o.model, '__qualname__', type(o.model).__name__)} {model.text_model()} {model.vision_model()}") if o.use_cache else None
+    done = model.summarized(papers, crops, o.model, o.prompts, o.max_chunks, keep, answers)
     done.write.mode("overwrite").parquet(f"{work}/summarized")
     done = spark.read.parquet(f"{work}/summarized")
     n = done.count()

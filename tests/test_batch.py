@@ -21,12 +21,12 @@ class Made:
     def text(self, content, max_pages):
         return self._read(content)["text"]
 
-    def geometry(self, content):
+    def geometry(self, content, max_pages):
         made = self._read(content)
         return [tuple(x) for x in made["prims"]], [tuple(x) for x in made["blocks"]]
 
-    def crop(self, content, page, rect, dpi):
-        return b"PNG"
+    def crops(self, content, wanted, dpi):
+        return [b"PNG"] * len(wanted)
 
 
 def test_run(spark, tmp_path):
@@ -71,17 +71,17 @@ class Counting(Made):
         self._told("text")
         return super().text(content, max_pages)
 
-    def geometry(self, content):
-        self._told("geometry")
+    def geometry(self, content, max_pages):
+        self._told(f"geometry{max_pages or ''}")
         if b"BAD" in content:
             raise ValueError("no such page")
-        return super().geometry(content)
+        return super().geometry(content, max_pages)
 
-    def crop(self, content, page, rect, dpi):
-        self._told("crop")
+    def crops(self, content, wanted, dpi):
+        self._told(f"crops{len(wanted)}")
         if b"TORN" in content:
             raise ValueError("no such picture")
-        return b"PNG"
+        return [ValueError("no ink") if b"DRY" in content and k else b"PNG" for k in range(len(wanted))]
 
 
 def test_each_file_is_parsed_once_and_fails_alone(spark, tmp_path):
@@ -93,12 +93,45 @@ def test_each_file_is_parsed_once_and_fails_alone(spark, tmp_path):
     o = batch.Options(str(papers), str(tmp_path / "out"), str(tmp_path / "work"), backend=Counting(str(tmp_path / "log")))
     done = batch.run(spark, o)
     calls = (tmp_path / "log").read_text().split()
-    assert (calls.count("text"), calls.count("geometry"), calls.count("crop")) == (6, 3, 2)
+    assert (calls.count("text"), calls.count("geometry"), calls.count("crops1")) == (6, 3, 2)
     assert done.papers == 1 and done.failures == 2 and done.exit_code == 1
     assert done.errors == ["extract failed for bad.pdf: ValueError: no such page", "extract failed for torn.pdf: ValueError: no such picture"]
     assert (tmp_path / "out" / "good.md").exists() and not (tmp_path / "out" / "bad.md").exists()
 
 
+def test_a_document_is_opened_once_for_all_its_figures(spark, tmp_path):
+    """Three figures of a file: one row with its content, one opening; a page limit reaches the parser; a place fails alone."""
+    papers = tmp_path / "papers"
+    papers.mkdir()
+    picture = {"prims": [[p, "raster", 100, 100, 400, 400, 612, 792] for p in range(3)], "blocks": [[p, 0, 100, 410, 400, 420, f"Figure {p + 1}: it"] for p in range(3)]}
+    (papers / "three.pdf").write_bytes(b"/Title (Three Pictures) %%" + json.dumps({"text": "fine", **picture}).encode())
+    (papers / "dry.pdf").write_bytes(b"%%" + json.dumps({"text": "DRY", **picture}).encode())
+    (papers / "plain.pdf").write_bytes(b"%%" + json.dumps({"text": "none", "prims": [], "blocks": []}).encode())
+    o = batch.Options(str(papers), str(tmp_path / "out"), str(tmp_path / "work"), max_pages=3, backend=Counting(str(tmp_path / "log")))
+    from leafmill.sources import files
+
+    got = {r.filename: r for r in batch.extracted(spark, files.pdf_files(spark, str(papers)), o).collect()}
+    assert sorted((tmp_path / "log").read_text().split()) == sorted(["text"] * 6 + ["geometry3"] * 3 + ["crops3"] * 2)
+    assert got["three.pdf"].title == "Three Pictures" and [f.page for f in got["three.pdf"].figures] == [0, 1, 2] and got["three.pdf"].error is None
+    assert [f.png_path is None for f in got["dry.pdf"].figures] == [False, True, True] and got["dry.pdf"].error == "ValueError: no ink"
+    places = spark.createDataFrame([("a", k, 0, k, (1.0, 2.0, 3.0, 4.0)) for k in range(3)], "doc_id string, ord int, page int, fig_idx int, crop_rect struct<x0:double,y0:double,x1:double,y1:double>")
+    plan = pdf.write_crops(spark.createDataFrame([("a.pdf", bytearray(b"x"))], "filename string, content binary"), places, o.backend, str(tmp_path / "f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "collect_list" in plan
+
+
+class Deep(Made):
+    def text(self, content, max_pages):
+        raise RecursionError("too deep")
+
+
+def test_a_text_that_cannot_be_read_is_empty(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%%" + json.dumps({"text": "x", "prims": [], "blocks": []}).encode())
+    from leafmill.sources import files
+
+    row = pdf.read(files.pdf_files(spark, str(tmp_path)), Deep()).first()
+    assert row.raw_text == "" and row.error is None
+
+
 def test_models_and_client(monkeypatch):
     import types
 
