@@ -30,7 +30,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    return shared.spread(found) if name in ("documents", "pages") else found
 
 
 # ---- text -------------------------------------------------------------------------------

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables of files up to this size may be a single file of one row group, which only one task reads.
+SMALL_BYTES = 64 << 20
 
 
 def at(spark: SparkSession, path: str):
@@ -57,3 +60,9 @@ def read_text(spark: SparkSession, path: str) -> str:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
     finally:
         held.close()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table of files dealt out to all cores, as work on texts costs far more than moving them once; a larger one stays as its files are."""
+    n = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if n <= SMALL_BYTES else table
