@@ -7,7 +7,7 @@ The four base kinds stay whatever the trees say. Wider generators propose furthe
 which may overlap: an e-mail address spelled out, a national phone number, a social
 security number, an account number, a secret key. The trees score a candidate by its form
 and by CONTEXT characters on both sides. They are fitted on SAMPLE texts written for it
-(none of the corpus), on which the same generators and features run, so what the trees see
+(none of the corpus; plain sentences among them), on which the same generators and features run, so what the trees see
 there is what they see later; on texts kept apart, the threshold of each kind is the lowest
 score from which PRECISION holds, even odds at least. A candidate is kept if it reaches its kind's threshold,
 overlaps no base span, and overlaps no kept one of a higher score (then: earlier, then the
@@ -53,10 +53,23 @@ EXTRA = {
 AT = r"(?:\[at\]|\(at\)|\{at\}|\sat\s)"
 EXTRA_HINT = {"email": "(?i)" + EXTRA["email"][EXTRA["email"].index(AT) :].removesuffix("++)++") + ")", "secret": "[A-Za-z0-9_+/-]{20}"}
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
-CONTEXT, SAMPLE, PRECISION = 28, 4000, 0.98
+CONTEXT, SAMPLE, PRECISION, JUDGES = 28, 6000, 0.98, 8
 #: Words that go before or after such data, and words that go with other numbers.
 CLUES = "(?<![a-z])(?:tel|phone|fon|fax|mobil|cell|call|dial|ssn|social|security|tax|iban|account|konto|cuenta|compte|transfer|bank|mail|contact|kontakt|write|reach|token|secret|passw|api|auth|bearer|credential|key)"
 OTHERS = "(?<![a-z])(?:order|invoice|ticket|serial|isbn|part|model|sku|item|version|build|batch|lot|ref|page|commit|hash|sha|md5|checksum|uuid|digest|url|path|file|meet|arriv|sold|price|score|figure|table)"
+#: Words that go before "at" and a place in plain prose; places' endings; openings of keys; plain sentences.
+BEFORE_AT = "look looks looked looking meet met meets hosted host hosts arrive arrived available work works worked working based stay posted post published live lives living listed found sold bought shop order ordered register registered visit read more seen see is are was be been were held stored served running sign signed join joined start started laugh point pointed stop stopped aim wait waiting check buy download downloads us me them him her it you team office page info site store home news open online here there mirrored pictured documented explained described given shown back down up over out again in on"
+ENDINGS = ["com", "org", "net", "de", "fr", "edu", "io", "co.uk", "info"]
+OPENINGS = ["", "", "", "", "sk-", "sk_live_", "ghp_", "xoxb-", "AKIA", "pk_", "AIza", "eyJ"]
+PROSE = [
+    "We look at example.com for ideas and then write our own.", "The code is hosted at github.com and mirrored at gitlab.com.", "Let us meet at walmart.com headquarters.", "Read more at nytimes.com or at the library.",
+    "The train arrived at 10.45 and left at 11.02.", "They sold it at 3.99 each, then at 4.50.", "He stopped at once. Then he laughed.", "Version 1.2.3 came out in 2019, version 2.0.0 in 2021.", "The book has ISBN 978-3-16-148410-0 on its back.",
+    "Order 555-123-4567 was shipped on 2024-05-06.", "Call numbers 020 7946 0018 of the shelf are for history.", "See section 4.2.1 and table 12-34-5678 of the report.", "Part 123-45-6789 of the engine is out of stock.", "The score was 210 to 123 and 4567 people came.",
+    "Files are in /usr/share/doc/python3.11/examples/readme and below.", "The branch feature/user-login-page-2024-rework was merged.", "See https://example.com/articles/2023/how-to-grow-tomatoes-at-home for it.", "The class HttpConnectionPoolManagerFactory2 is never used.",
+    "Commit 3f2a9c1d4b5e6f708192a3b4c5d6e7f801234567 broke the build.", "Its md5 is d41d8cd98f00b204e9800998ecf8427e, of an empty file.", "The id 550e8400-e29b-41d4-a716-446655440000 is a uuid.", "Save it as final_report_version_12_of_march.pdf please.",
+    "In 2020-2021-2022-2023-2024 sales rose each year.", "Well-known-and-much-loved-in-the-1990s, the show came back.", "The key to success is practice at home. Nothing else.", "Her account of the war fills 300 pages at most.", "The secret of the old house was found in 1998.",
+    "A token of thanks, number 1234-5678-9012, was handed over.", "Flight LH 1234 5678 leaves from gate B22 at noon.", "The password must be at least 12 characters long.", "Model DE12 3456 7890 1234 is the newest of the line.",
+]
 #: Entries that a fold copies at most in one step, characters of a text's parts, and spans that are looked through at once.
 BLOCK, PART, MANY = 256, 1024, 64
 
@@ -193,11 +206,15 @@ def features(parts: Column, span: Column) -> dict[str, Column]:
         "number_before": flag(before.rlike(r"[0-9]\s*[-+*/,.]?\s*$")),
         "remainder": F.when(span["kind"] == "iban", _remainder_97(found)).otherwise(F.lit(0)),
         "hex": flag(found.rlike("^[0-9a-f]+$")),
+        "plain_user": flag(found.rlike(r"(?i)^[a-z]+\s+at\s")),
+        "prose_word": flag(found.rlike(rf"(?i)^(?:{BEFORE_AT.replace(' ', '|')})\s+at\s")),
+        "n_turns": F.regexp_count(found, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]")),
+        "n_parts": F.regexp_count(found, F.lit("[/_-]")),
     }
 
 
 FEATURES = [
-    "kind", "n_chars", "n_digits", "n_kinds_of_digit", "n_marks", "n_upper", "clue", "other", "clue_after", "other_after", "bad_start", "assigned", "in_path", "bracketed", "spelled_dot", "loose_dot", "number_before", "remainder", "hex",
+    "kind", "n_chars", "n_digits", "n_kinds_of_digit", "n_marks", "n_upper", "clue", "other", "clue_after", "other_after", "bad_start", "assigned", "in_path", "bracketed", "spelled_dot", "loose_dot", "number_before", "remainder", "hex", "plain_user", "prose_word", "n_turns", "n_parts",
 ]
 
 
@@ -215,10 +232,17 @@ def _drawn(rnd: random.Random, kind: str, real: bool) -> tuple[list[str], str, l
     name = lambda: "".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(3, 9)))
     area = f"{rnd.randint(2, 9)}{digits(2)}"
     if kind == "email":
+        place = f"{name()}{rnd.choice(['', '', '-' + name(), '.' + name()])}.{rnd.choice(ENDINGS)}"
         if real:
-            at, dot = rnd.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), ("{at}", "."), (" at ", " dot "), (" (at) ", "."), (" at ", ".")])
-            own = f"{name()}{rnd.choice(['.', '_', ''])}{name()}{at}{name()}{dot}{rnd.choice(['com', 'org', 'net', 'de', 'fr', 'edu'])}"
-            return ["mail:", "write to", "contact", "reach me:", "kontakt"], own, ["please", "for details", ""]
+            at, dot = rnd.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), ("{at}", "."), (" at ", " dot "), (" (at) ", "."), ("[at]", "."), (" AT ", " DOT ")])
+            if rnd.random() < 0.3:
+                at, dot = " at ", "."
+            user = rnd.choice([f"{name()}.{name()}", f"{name()}_{name()}", f"{name()}{digits(2)}", name(), name()])
+            return ["mail:", "write to", "contact", "reach me:", "kontakt", "email", "e-mail me:", "mail to", "send mail to"], f"{user}{at}{place.replace('.', dot)}", ["please", "for details", ""]
+        if rnd.random() < 0.6:
+            # The places of plain prose; after a word that tells of mail only with a word of plain prose.
+            word, told = (name(), False) if rnd.random() < 0.4 else (rnd.choice(BEFORE_AT.split()), rnd.random() < 0.3)
+            return ["contact", "write to", "mail", "reach"] if told else ["we", "they", "you can", "then", "it was", "and", "all", "this", "files"], f"{word} at {place}", ["today", "and so on", "", "for more"]
         end = rnd.choice([f"{name()}. {name().title()}", f"{rnd.randint(1, 12)}.{digits(2)}", f"{name()}.The"])
         return ["we meet", "arrived", "sold", "prices", "look"], f"{name()} at {end}", ["and so on", "hours", "each"]
     if kind == "phone":
@@ -233,13 +257,16 @@ def _drawn(rnd: random.Random, kind: str, real: bool) -> tuple[list[str], str, l
         return ["part", "model", "sku", "item", "ref"], f"{rnd.choice(['000', '666', '9' + digits(2), digits(3)])}-{digits(2)}-{digits(4)}", ["in stock", "of the batch", ""]
     if kind == "iban":
         return (["iban", "account", "konto", "transfer to", "bank:"], _account(rnd, True), ["today", ""]) if real else (["serial", "ref", "key id", "batch", "order"], _account(rnd, False), ["in stock", ""])
-    alphabet = rnd.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
-    own = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([24, 32, 40, 40, 64])))
+    alphabet = rnd.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+    opening, n = rnd.choice(OPENINGS) if real else "", rnd.choice([rnd.randint(20, 40), rnd.randint(20, 100)])
+    own = opening + "".join(rnd.choice(alphabet) for _ in range(max(n - len(opening) - 1, 4))) + rnd.choice("0123456789")
+    own = own.strip("-/+") + "0" * max(20 - len(own.strip("-/+")), 0)
     if real:
-        before = rnd.choice(["token", "api_key", "secret", "password", "auth_token", "access key"]) + rnd.choice([' = "', ": ", "=", " = '"])
-        return [before], own + "7", ["", ""]
-    own = rnd.choice([own + "3", f"{name()}-{name()}-{name()}-{rnd.randint(2000, 2030)}", f"{name()}/{name()}/{name()}/{name()}{rnd.randint(1, 99)}"])
-    return ["commit", "sha", "md5 checksum", "file", "url", "path", "digest of"], own, ["in the log", ""]
+        before = rnd.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "API key", "client_secret", "secret key", "aws_secret_access_key", "credential", "passwd"]) + rnd.choice([' = "', ": ", "=", " = '", " is ", ' : "'])
+        return [rnd.choice([before, before, before, "authorization: Bearer ", "bearer "])], own, ["", ""]
+    own = rnd.choice([own, own, "-".join(name() for _ in range(rnd.randint(3, 6))) + f"-{rnd.randint(2000, 2030)}", "/".join(name() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(1, 99)), "".join(name().title() for _ in range(rnd.randint(3, 5))) + digits(1), "_".join(name() for _ in range(4)) + f"_{rnd.randint(1, 99)}"])
+    own += "x" * max(20 - len(own), 0)
+    return ["commit", "sha", "md5 checksum", "file", "url", "path", "digest of", "hash", "sha256:", "uuid", "build", "see", "version", "checksum"], own, ["in the log", "", "was merged"]
 
 
 def written_texts(seed: int, n: int = SAMPLE) -> list[tuple[str, str, int, int]]:
@@ -247,12 +274,16 @@ def written_texts(seed: int, n: int = SAMPLE) -> list[tuple[str, str, int, int]]
     rnd, out = random.Random(seed), []
     filler = "the of a we and it was with from they had more time under over day house long river then made every small white".split()
     for _ in range(n):
+        if rnd.random() < 0.1:
+            out.append((" ".join(rnd.sample(PROSE, rnd.randint(1, 3))), "none", -1, -1))
+            continue
         kind, real = rnd.choice(list(EXTRA)), rnd.random() < 0.5
         before, own, after = _drawn(rnd, kind, real)
         lead = " ".join(rnd.choices(filler, k=rnd.randint(2, 9)))
-        told = rnd.random() < (0.85 if kind != "secret" else 1.0)
+        # What only its surroundings tell from plain prose keeps them.
+        told = rnd.random() < 0.85 or kind == "secret" or (kind == "email" and " at " in own and "." in own)
         head = f"{lead} {rnd.choice(before)}" if told else lead
-        head += "" if head[-1] in "=\"'" else " "
+        head += "" if head[-1] in "=\"' " else " "
         tail = f" {rnd.choice(after)} {' '.join(rnd.choices(filler, k=rnd.randint(1, 6)))}"
         if head[-1] in "\"'":
             tail = head[-1] + tail
@@ -262,7 +293,7 @@ def written_texts(seed: int, n: int = SAMPLE) -> list[tuple[str, str, int, int]]
 
 def judged(spark: SparkSession, texts: list[tuple[str, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the candidates that the generators find in written texts."""
-    rows = small_table(spark, [{"text": t, "kind": k, "start": a, "end": b} for t, k, a, b in texts], "text: string, kind: string, start: int, end: int")
+    rows = small_table(spark, [{"text": t, "kind": k, "start": a, "end": b} for t, k, a, b in texts], "text: string, kind: string, start: int, end: int").repartition(JUDGES)
     found = rows.withColumn("spans", F.concat(*[candidate_spans(F.col("text"), k) for k in EXTRA])).withColumn("parts", _parts(F.col("text")))
     found = found.select("kind", "start", "end", "parts", F.explode("spans").alias("span"))
     label = ((F.col("span.kind") == F.col("kind")) & (F.col("span.start") == F.col("start")) & (F.col("span.end") == F.col("end"))).cast("int")

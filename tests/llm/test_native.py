@@ -258,3 +258,50 @@ def test_spotsigs_pairs(spark):
     items = list(sets.items())
     want = {(min(i, j), max(i, j)) for k, (a, i) in enumerate(items) for b, j in items[k + 1 :] if jaccard(a, b) >= 0.8}
     assert got == want and want
+
+
+def hand_written():
+    """(text, {(kind, start, end)}) of texts that no writer made; spans are marked in the file."""
+    import pathlib
+
+    out = []
+    for line in (pathlib.Path(__file__).parent / "pii_texts.txt").read_text().splitlines():
+        text, spans, at = "", set(), 0
+        for m in re.finditer("⟦([a-z]+):(.*?)⟧", line):
+            text += line[at : m.start()]
+            spans.add((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], spans))
+    return out
+
+
+def test_pii_on_hand_written_texts(spark):
+    """Precision and recall of each wider kind; spans may differ at an edge, base kinds aside."""
+    texts = hand_written()
+    assert len(texts) >= 200
+    rows = pii.with_spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string"), "p").collect()
+    tally = {k: [0, 0, 0] for k in pii.EXTRA}  # right, wanted, given
+    wrong = []
+    for r in rows:
+        base = {(s.kind, s.start, s.end) for s in r.p.base}
+        got = {(s.kind, s.start, s.end) for s in r.p.all} - base
+        want = {w for w in texts[r.doc_id][1] if w not in base}
+        for kind in pii.EXTRA:
+            w, g = ({x for x in y if x[0] == kind} for y in (want, got))
+            hit = {x for x in w if any(a < x[2] and x[1] < b for _, a, b in g)}
+            extra = {y for y in g if not any(a < y[2] and y[1] < b for _, a, b in w)}
+            tally[kind] = [a + b for a, b in zip(tally[kind], (len(hit), len(w), len(hit) + len(extra)), strict=True)]
+            wrong += [("lost", r.text[a:b]) for _, a, b in w - hit] + [("added", kind, r.text[a:b]) for _, a, b in extra]
+    print(tally, *wrong, sep="\n")
+    for kind, (right, wanted, given) in tally.items():
+        assert right >= 0.85 * wanted and right >= 0.85 * given, (kind, tally, wrong)
+
+
+def test_pii_keys_of_any_length_and_places_of_prose(spark):
+    rnd = random.Random(77)
+    keys = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 1)) + "7" for n in range(20, 101)]
+    prose = ["We look at example.com", "It is hosted at github.com now", "They meet at example.com", "We will be at walmart.com", "Read it at bbc.co.uk daily"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*[f'api_key = "{k}" x' for k in keys], *prose])], "i int, text string")
+    got = {r.i: [s.kind for s in r.p.all] for r in pii.with_spans(df, "p").collect()}
+    assert sum(got[i] == ["secret"] for i in range(len(keys))) >= 0.95 * len(keys)
+    assert all(got[len(keys) + k] == [] for k in range(len(prose)))
