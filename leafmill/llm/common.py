@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,24 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("leafmill.shared.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-            spark.conf.set("leafmill.shared.dir", base)
-    path = f"{base.rstrip('/')}/leafmill-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    fs.deleteOnExit(target)
-    return path
+from leafmill.sources.shared import shared_dir, spread  # noqa: F401  the operators take shared_dir from here
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -77,7 +58,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def quantile_cuts(ids: DataFrame, column: str, parts: int) -> list:
