@@ -2,17 +2,17 @@
 
 Each distinct set of shingles gets TREES signatures of DEPTH min-wise hashes; sets that
 share a prefix of BASE hashes in some tree form a region there. Regions are counted first.
-One of up to REGION sets is dealt to a single task, in order, which pairs all of them. The
+One of up to REGION sets is dealt to a single task and is a cell. The
 rows of denser regions are put in one range-partitioned order, so that a region may be many
-tasks' work; it is cut by deeper prefixes, one more hash at a time, and neighbours in
-the order (longest common prefix) stay paired across the cuts. A region that is dense
-even at full depth pairs each set with the REGION / 2 before it. In the first CHAINED trees
-a dense region pairs all its sets with its most central one. Pairs that one-bit sketches
+tasks' work; they are cut into cells by deeper prefixes, one more hash at a time, and, where
+still dense at full depth, every REGION sets. Pairs that one-bit sketches
 place far below the threshold (five standard deviations) are not confirmed.
 
-Neighbours and central sets in the first CHAINED trees are confirmed first and give components; of the
-other pairs those between different components are confirmed then. So a large group of
-near copies costs a few comparisons for each member. What these leave open is finished
+Neighbours in the order (longest common prefix) in the first CHAINED trees are confirmed
+first, cells or not, and so are all sets of a dense region with its most central one; that
+gives components. Then the sets of a cell meet again and pair where their components
+differ; these pairs are confirmed. So a large group of
+near copies costs a few comparisons for each member, and its pairs are never made. What these leave open is finished
 exactly: dense regions that still hold several components, whatever tasks their rows were in, are joined where they overlap,
 and in each such clump the sets outside its largest component meet all the others in
 blocks of about BLOCK by BLOCK, by counts of shared shingles. Sets at the threshold share a region in some tree with
@@ -37,7 +37,7 @@ from .tokens import slices
 from .words import Words, digest, mix, runs
 
 TREES, DEPTH, BASE, CHAINED, REGION = 16, 8, 4, 4, 48
-BLOCK, COLUMNS = 256, 4096
+BLOCK, COLUMNS, LEAST_ROWS = 256, 4096, 2048
 ROW = 4 * BASE + DEPTH - BASE
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -87,26 +87,14 @@ def signed(docs: DataFrame, width: int, lower: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys binary, sketch binary")
 
 
-def _region_pairs(deep: np.ndarray, sketch: np.ndarray, far: int, a: int, b: int, depth: int):
-    """Index pairs of one region's rows a to b, in key order."""
+def _cells(deep: np.ndarray, a: int, b: int, depth: int = 0) -> list[tuple[int, int]]:
+    """Runs of at most REGION rows that a region's rows a to b, in key order, are cut into."""
     if b - a <= REGION:
-        i, j = np.triu_indices(b - a, 1)
-        near = _BITS[sketch[a + i] ^ sketch[a + j]].sum(axis=1) <= far
-        return [(a + i[near], a + j[near])]
+        return [(a, b)]
     if depth == deep.shape[1]:
-        out = []
-        for back in range(1, REGION // 2 + 1):
-            i = np.arange(a, b - back)
-            near = _BITS[sketch[i] ^ sketch[i + back]].sum(axis=1) <= far
-            out.append((i[near], i[near] + back))
-        return out
+        return [(x, min(x + REGION, b)) for x in range(a, b, REGION)]
     cuts = [a, *(np.nonzero(np.diff(deep[a:b, depth]))[0] + a + 1).tolist(), b]
-    out = []
-    for x, y in zip(cuts, cuts[1:], strict=False):
-        out += _region_pairs(deep, sketch, far, x, y, depth + 1)
-        if y < b and _BITS[sketch[y - 1] ^ sketch[y]].sum() <= far:
-            out.append((np.array([y - 1]), np.array([y])))
-    return out
+    return [cell for x, y in zip(cuts, cuts[1:], strict=False) for cell in _cells(deep, x, y, depth + 1)]
 
 
 def _central_pairs(sketch: np.ndarray, far: int, a: int, b: int):
@@ -130,75 +118,135 @@ def dense_regions(reps: DataFrame, folder: str) -> DataFrame:
     return written(trees_of(reps).groupBy("region").agg(F.count("*").alias("n")).where(f"n > {REGION}").select("region"), f"{folder}/dense")
 
 
-def candidates(reps: DataFrame, dense: DataFrame, at_least: float, folder: str) -> DataFrame:
-    """a, b, chained: pairs of nodes to confirm; all of the regions that aren't dense."""
+def tasks_for(reps: DataFrame) -> int:
+    """As many as the session sets, but no tasks of a few rows; results don't depend on it."""
+    return max(min(shuffle_parts(reps.sparkSession), TREES * reps.count() // LEAST_ROWS), 2)
+
+
+def far_of(at_least: float) -> int:
+    """Sketch bits that sets at the threshold differ in at most, but for five standard deviations."""
     agree = (1 + at_least) / 2
-    far = int(128 * (1 - agree) + 5 * (128 * agree * (1 - agree)) ** 0.5) + 1
-    rows = trees_of(reps)
-    parts = max(shuffle_parts(reps.sparkSession), 2)
+    return int(128 * (1 - agree) + 5 * (128 * agree * (1 - agree)) ** 0.5) + 1
+
+
+def candidates(reps: DataFrame, dense: DataFrame, at_least: float, folder: str) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of nodes to confirm first; cell, id, sketch: nodes that pair later, where they are still apart."""
+    far, rows, parts = far_of(at_least), trees_of(reps), tasks_for(reps)
+
+    def searcher(kind: int):
+        def run(batches):
+            task, made = TaskContext.get().partitionId(), 0
+            held: pa.Table | None = None
+            first = True
+
+            def pairs_of(table: pa.Table, last: bool):
+                nonlocal held, first, made
+                tree, ids, region = (np.asarray(table.column(c)) for c in ("tree", "id", "region"))
+                key, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("key", "sketch"))
+                starts = np.concatenate([[0], np.nonzero(region[1:] != region[:-1])[0] + 1])
+                stops = np.concatenate([starts[1:], [len(ids)]])
+                edges = []
+                if first:
+                    edges.append((0, "head"))
+                    first = False
+                if last:
+                    edges.append((len(ids) - 1, "tail"))
+                else:
+                    held = table.slice(int(starts[-1]))
+                    starts, stops = starts[:-1], stops[:-1]
+                until = int(stops[-1]) if len(stops) else 0
+                i = np.nonzero((region[1:until] == region[: max(until - 1, 0)]) & (tree[1:until] < CHAINED))[0]
+                i = i[_BITS[sketch[i] ^ sketch[i + 1]].sum(axis=1) <= far]
+                left, right, cells = [i], [i + 1], []
+                for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                    if b - a > REGION and tree[a] < CHAINED:
+                        x, y = _central_pairs(sketch, far, a, b)
+                        left.append(x)
+                        right.append(y)
+                    # Two alone, in a tree where neighbours are confirmed first, need no second meeting.
+                    cells += [c for c in _cells(key[:, 4 * BASE :], a, b) if c[1] - c[0] > (2 if tree[a] < CHAINED else 1)]
+                x, y = (ids[np.concatenate(z)] for z in (left, right))
+                none = lambda n, t: pa.nulls(n, t)
+                n = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.string()), none(n, pa.int32()), none(n, pa.int64())], FOUND)
+                size = np.array([b - a for a, b in cells], np.int64)
+                at = np.repeat(np.array([a for a, _ in cells], np.int64) - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                cell = np.repeat(np.arange(made, made + len(cells)), size) * (1 << 24) + (task * 2 + kind)
+                made, n = made + len(cells), len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), none(n, pa.int64()), pa.array(cell), table.column("sketch").take(pa.array(at)).combine_chunks().cast(pa.binary()), none(n, pa.string()), none(n, pa.int32()), none(n, pa.int64())], FOUND)
+                for x, side in edges if kind else []:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 1]), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.binary()), pa.array([side]), pa.array([task], pa.int32()), pa.array(region[x : x + 1])], FOUND)
+
+            pending: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                pending.append(batch)
+                if sum(x.num_rows for x in pending) >= 20_000 and (held is None or sum(x.num_rows for x in pending) >= held.num_rows):
+                    table = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches(pending)])
+                    pending, held = [], None
+                    yield from pairs_of(table.combine_chunks(), False)
+            if held is not None or pending:
+                table = pa.concat_tables([*([held] if held is not None else []), *([pa.Table.from_batches(pending)] if pending else [])])
+                yield from pairs_of(table.combine_chunks(), True)
+
+        return run
+
+    order = ["region", "key", "id"]
+    whole = only(rows, dense, "region", "left_anti").repartition(parts, "region").sortWithinPartitions(*order)
+    found = whole.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(searcher(0)), FOUND_DDL)
+    if not dense.isEmpty():
+        spread = only(rows, dense, "region").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = found.union(spread.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(searcher(1)), FOUND_DDL))
+    found = written(found, f"{folder}/found")
+    tails = found.where("side = 'tail'").select(F.col("a").alias("x"), "region", (F.col("task") + 1).alias("task"))
+    heads = found.where("side = 'head'").select(F.col("a").alias("y"), "region", "task")
+    across = tails.join(heads, ["region", "task"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = written(found.where("b is not null").select("a", "b").union(across).where("a != b").distinct(), f"{folder}/candidates")
+    return pairs, found.where("cell is not null").select("cell", F.col("a").alias("id"), "sketch")
+
+
+FOUND = ["a", "b", "cell", "sketch", "side", "task", "region"]
+FOUND_DDL = "a long, b long, cell long, sketch binary, side string, task int, region long"
+
+
+def still_apart(cells: DataFrame, found: DataFrame, at_least: float, parts: int) -> DataFrame:
+    """a, b: pairs of a cell whose components differ; at most REGION sets make a cell."""
+    far = far_of(at_least)
 
     def run(batches):
-        task = TaskContext.get().partitionId()
         held: pa.Table | None = None
-        first = True
-
-        def region(tree, key, sketch, ids, a, b):
-            i, j = (np.concatenate(x) for x in zip(*_region_pairs(key[:, 4 * BASE :], sketch, far, a, b, 0), strict=True))
-            chained = (j == i + 1) & (tree[i] < CHAINED)
-            if b - a > REGION and tree[a] < CHAINED:
-                x, y = _central_pairs(sketch, far, a, b)
-                i, j, chained = np.concatenate([i, x]), np.concatenate([j, y]), np.concatenate([chained, np.ones(len(x), bool)])
-            return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), chained.astype(np.int32)
 
         def pairs_of(table: pa.Table, last: bool):
-            nonlocal held, first
-            tree = np.asarray(table.column("tree"))
-            ids = np.asarray(table.column("id"))
-            key, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("key", "sketch"))
-            region_of = np.asarray(table.column("region"))
-            same = region_of[1:] == region_of[:-1]
-            starts = np.concatenate([[0], np.nonzero(~same)[0] + 1])
+            nonlocal held
+            cell, ids, c = (np.asarray(table.column(x)) for x in ("cell", "id", "c"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            starts = np.concatenate([[0], np.nonzero(np.diff(cell))[0] + 1])
             stops = np.concatenate([starts[1:], [len(ids)]])
-            edge = []
-            if first:
-                edge.append((0, min(stops[0], REGION // 2), "head"))
-                first = False
-            if last:
-                edge.append((max(starts[-1], len(ids) - REGION // 2), len(ids), "tail"))
-            else:
+            if not last:
                 held = table.slice(int(starts[-1]))
                 starts, stops = starts[:-1], stops[:-1]
-            found = [region(tree, key, sketch, ids, a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b - a > 1]
-            a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "chained": pa.array(c, pa.int32()), "side": pa.nulls(len(a), pa.string()), "task": pa.nulls(len(a), pa.int32()), "region": pa.nulls(len(a), pa.int64())})
-            for x, y, side in edge:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[x:y], pa.int64()), "b": pa.nulls(y - x, pa.int64()), "chained": pa.array([int(tree[x] < CHAINED)] * (y - x), pa.int32()), "side": pa.array([side] * (y - x)), "task": pa.array([task] * (y - x), pa.int32()), "region": pa.array(region_of[x:y], pa.int64())})
+            out = []
+            for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                if (c[a:b] != c[a]).any():
+                    i, j = np.triu_indices(b - a, 1)
+                    i, j = a + i, a + j
+                    keep = (c[i] != c[j]) & (_BITS[sketch[i] ^ sketch[j]].sum(axis=1) <= far)
+                    out.append((ids[i[keep]], ids[j[keep]]))
+            x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-        pending: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pending.append(batch)
-            if sum(x.num_rows for x in pending) >= 20_000 and (held is None or sum(x.num_rows for x in pending) >= held.num_rows):
-                table = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches(pending)])
-                pending, held = [], None
-                yield from pairs_of(table.combine_chunks(), False)
-        if held is not None or pending:
-            table = pa.concat_tables([*([held] if held is not None else []), *([pa.Table.from_batches(pending)] if pending else [])])
-            yield from pairs_of(table.combine_chunks(), True)
-
-    order, shape = ["region", "key", "id"], "a long, b long, chained int, side string, task int, region long"
-    whole = only(rows, dense, "region", "left_anti").repartition(parts, "region").sortWithinPartitions(*order)
-    found = whole.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(run), shape).where("side is null")
-    if not dense.isEmpty():
-        spread = only(rows, dense, "region").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        found = found.union(spread.select("id", "tree", "key", "sketch", "region").mapInArrow(tidy(run), shape))
-    found = written(found, f"{folder}/found")
-    tails = found.where("side = 'tail'").select(F.col("a").alias("x"), "region", (F.col("task") + 1).alias("task"), "chained")
-    heads = found.where("side = 'head'").select(F.col("a").alias("y"), "region", "task")
-    across = tails.join(heads, ["region", "task"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "chained")
-    every = found.where("side is null").select("a", "b", "chained").union(across).where("a != b")
-    return written(every.groupBy("a", "b").agg(F.max("chained").alias("chained")), f"{folder}/candidates")
+            if batch.num_rows:
+                table = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])]).combine_chunks()
+                held = None
+                yield from pairs_of(table, False)
+        if held is not None:
+            yield from pairs_of(held.combine_chunks(), True)
+
+    names = found.toDF("id", "c")
+    named = cells.join(F.broadcast(names) if names.count() <= MOST_BROADCAST else names, "id", "left").select("cell", "id", F.coalesce("c", "id").alias("c"), "sketch")
+    return named.repartition(parts, "cell").sortWithinPartitions("cell", "id").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> DataFrame:
@@ -306,8 +354,8 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
     reps = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), f"{folder}/reps")
     dense = dense_regions(reps, folder)
     members = None if dense.isEmpty() else dense_members(reps, dense, folder)
-    pairs = candidates(reps, dense, at_least[0] / at_least[1], folder)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    pairs, cells = candidates(reps, dense, at_least[0] / at_least[1], folder)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(cells.select("id"))
     ids = written((ids if members is None else ids.union(members.select("id"))).distinct(), f"{folder}/ids")
 
     def collect(batches):
@@ -319,10 +367,9 @@ def near_groups(docs: DataFrame, width: int = 5, at_least: tuple[int, int] = (4,
 
     texts = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id").where("text is not null")
     sets = written(texts.mapInArrow(tidy(collect), "doc_id long, shingles binary").where(F.length("shingles") > 0), f"{folder}/sets")
-    links = written(confirmed(pairs.where("chained = 1"), sets, at_least), f"{folder}/links1")
+    links = written(confirmed(pairs, sets, at_least), f"{folder}/links1")
     first = components(links, f"{folder}/first")
-    apart = pairs.where("chained = 0").join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
-    apart = written(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{folder}/apart")
+    apart = written(still_apart(cells, first, at_least[0] / at_least[1], tasks_for(reps)), f"{folder}/apart")
     more = written(confirmed(apart, sets, at_least), f"{folder}/links2")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/second")
     last = None if members is None else finished(members, sets, final, at_least, folder)
