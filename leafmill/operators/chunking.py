@@ -1,9 +1,16 @@
-"""Paragraph-aligned chunks of bounded length, by folds over arrays."""
+"""Paragraph-aligned chunks of bounded length.
+
+Short texts stay on the JVM; a text over the limit is cut by a table function of a lateral
+join, in time linear in its length. The same rule as folds over arrays serves as a Column.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from leafmill.functions import strings as S
 
@@ -53,12 +60,56 @@ def chunks(text: Column, most: int = MAX_CHARS) -> Column:
     return F.when(F.length(text) <= most, F.array(text)).otherwise(packed(pieces(text, most), most))
 
 
+def cut_text(text: str, most: int) -> Iterator[str]:
+    """The chunks of a text, one after the other: paragraphs, long ones cut by offsets at the last space, packed greedily."""
+
+    def parts():
+        for p in text.split("\n\n"):
+            p, at = p.strip(), 0
+            while len(p) - at > most:
+                space = p.rfind(" ", at, at + most)
+                cut = space if space > at else at + most
+                yield p[at:cut]
+                at = cut
+                while at < len(p) and p[at].isspace():
+                    at += 1
+            if at < len(p):
+                yield p[at:]
+
+    if len(text) <= most:
+        yield text
+        return
+    held, size = [], 0
+    for p in parts():
+        if size and size + len(p) + 2 > most:
+            yield "\n\n".join(held)
+            held, size = [], 0
+        held.append(p)
+        size += len(p) + 2
+    if size:
+        yield "\n\n".join(held)
+
+
+@udtf(returnType="idx int, total int, chunk string, skipped_chars long", useArrow=True)
+class Chunks:
+    """Rows of chunk_table() for one text; limit -1 for none."""
+
+    def eval(self, text: str, most: int, limit: int):
+        kept, skipped = [], 0
+        for chunk in cut_text(text, most):
+            if limit < 0 or len(kept) < limit:
+                kept.append(chunk)
+            else:
+                skipped += len(chunk)
+        for i, chunk in enumerate(kept, 1):
+            yield i, len(kept), chunk, skipped
+
+
 def chunk_table(papers: DataFrame, key: str = "filename", text: str = "text", most: int = MAX_CHARS, limit: int | None = MAX_CHUNKS) -> DataFrame:
     """key, idx (from 1), total (after the limit), chunk, skipped_chars."""
     if limit is not None and limit < 0:
         raise ValueError("the limit of chunks can't be negative")
-    rows = papers.select(key, chunks(F.col(text), most).alias("__all"))
-    kept = F.col("__all") if limit is None else F.slice("__all", 1, limit) if limit else F.slice("__all", 1, 0)
-    rest = F.lit(0) if limit is None else F.aggregate(F.slice("__all", limit + 1, 1 << 30), F.lit(0), lambda n, c: n + F.length(c))
-    rows = rows.select(key, kept.alias("__kept"), rest.cast("long").alias("skipped_chars"))
-    return rows.select(key, "skipped_chars", F.size("__kept").alias("total"), F.posexplode("__kept").alias("pos", "chunk")).select(key, (F.col("pos") + 1).alias("idx"), "total", "chunk", "skipped_chars")
+    rows = papers.select(F.col(key), F.col(text).alias("__text"))
+    short = rows.where((F.length("__text") <= most) & F.lit(limit != 0)).select(key, F.lit(1).alias("idx"), F.lit(1).alias("total"), F.col("__text").alias("chunk"), F.lit(0).cast("long").alias("skipped_chars"))
+    cut = Chunks(F.col("__text").outer(), F.lit(most), F.lit(-1 if limit is None else limit))
+    return short.union(rows.where(F.length("__text") > most).lateralJoin(cut).select(key, "idx", "total", "chunk", "skipped_chars"))

@@ -8,7 +8,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
@@ -100,11 +100,13 @@ def load(spark: SparkSession, o: Options) -> DataFrame:
 def run(spark: SparkSession, o: Options) -> Report:
     loaded = load(spark, o)
     work = f"{o.work_dir}/run"
-    loaded.write.mode("overwrite").parquet(f"{work}/loaded")
-    loaded = spark.read.parquet(f"{work}/loaded")
+    # Numbers are taken on the way into the tables; jobs of their own only list what they tell of.
+    read = Observation("loaded")
+    loaded.observe(read, F.count_if(F.col("error").isNotNull()).alias("failed")).write.mode("overwrite").parquet(f"{work}/loaded")
+    loaded = spark.read.schema(loaded.schema).parquet(f"{work}/loaded")
     papers = loaded.where(F.col("error").isNull()).drop("error")
-    failures = loaded.where(F.col("error").isNotNull()).count()
-    errors = [f"extract failed for {r[0]}: {r[1]}" for r in loaded.where(F.col("error").isNotNull()).select("filename", "error").orderBy("filename").limit(100).collect()]
+    failures = read.get["failed"]
+    errors = [f"extract failed for {r[0]}: {r[1]}" for r in loaded.where(F.col("error").isNotNull()).select("filename", "error").orderBy("filename").limit(100).collect()] if failures else []
 
     def keep(table: DataFrame, name: str) -> DataFrame:
         table.write.mode("overwrite").parquet(f"{work}/{name}")
@@ -113,13 +115,15 @@ def run(spark: SparkSession, o: Options) -> Report:
     crops = files.crop_files(spark, f"{o.work_dir}/figures")
     answers = ledger.Ledger(f"{o.work_dir}/ledger", f"{getattr(o.model, '__qualname__', type(o.model).__name__)} {model.text_model()} {model.vision_model()}") if o.use_cache else None
     done = model.summarized(papers, crops, o.model, o.prompts, o.max_chunks, keep, answers)
-    done.write.mode("overwrite").parquet(f"{work}/summarized")
-    done = spark.read.parquet(f"{work}/summarized")
-    n = done.count()
-    failed = done.where("status = 'failed'")
-    failures += failed.count()
-    errors += [f"summary failed for {r[0]}: {r[1]}" for r in failed.select("filename", "error").orderBy("filename").limit(100).collect()]
-    little = [r[0] for r in done.where(F.length("text") < LITTLE_TEXT).select("filename").orderBy("filename").limit(100).collect()]
+    told = Observation("summarized")
+    is_little = F.length("text") < LITTLE_TEXT
+    counted = done.observe(told, F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(is_little).alias("little"))
+    counted.write.mode("overwrite").parquet(f"{work}/summarized")
+    done = spark.read.schema(done.schema).parquet(f"{work}/summarized")
+    n = told.get["n"]
+    failures += told.get["failed"]
+    errors += [f"summary failed for {r[0]}: {r[1]}" for r in done.where("status = 'failed'").select("filename", "error").orderBy("filename").limit(100).collect()] if told.get["failed"] else []
+    little = [r[0] for r in done.where(is_little).select("filename").orderBy("filename").limit(100).collect()] if told.get["little"] else []
     if o.paper and not n:
         return Report(0, max(failures, 1), [], 0, little, errors)
     there = done.select("filename", F.explode("figures.png_path").alias("path")).join(crops.select("path"), "path", "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import filecmp
 import os
 import shutil
 import uuid
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.sources import files
+from leafmill.sources import files, shared
 
 
 def changed(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -46,17 +45,57 @@ def write_if_changed(new: DataFrame, folder: str, parts: tuple[str, ...] = ("",
 
 
 def write_pieces(pieces: DataFrame, folder: str, name: str) -> bool:
-    """Whether folder/name, put together from pieces in order, is another file than before; a partition at a time is held."""
-    path = os.path.join(folder, name)
+    """Whether folder/name, put together from pieces in order, is another file than before.
+
+    The pieces are put in order and written as a table; the sizes of its partitions, a row
+    each, are all that the driver holds. From their sums each task knows where its partition
+    begins: where the old file has the same size it compares its range, else, or where any
+    range differs, it writes it into the new file, which takes the old one's place when all
+    are done. A task that runs again writes the same bytes to the same place.
+    """
+    spark, path = pieces.sparkSession, os.path.join(folder, name)
     os.makedirs(folder, exist_ok=True)
-    with open(f"{path}.{uuid.uuid4().hex}.part", "w", encoding="utf-8", newline="") as f:
-        for row in pieces.orderBy("part", "filename").select("piece").toLocalIterator():
-            f.write(row[0])
-    if os.path.exists(path) and filecmp.cmp(f.name, path, shallow=False):
-        os.remove(f.name)
-        return False
-    os.replace(f.name, path)
-    return True
+    stage, target = f"{folder}/.{name}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.part"
+    pieces.orderBy("part", "filename").select("part", "filename", F.col("piece").cast("binary").alias("piece"), F.spark_partition_id().alias("at")).write.parquet(stage)
+    try:
+        staged = spark.read.schema("part int, filename string, piece binary, at int").parquet(stage)
+        sizes = {r[0]: r[1] for r in staged.groupBy("at").agg(F.sum(F.octet_length("piece"))).collect()}
+        begins, total = {}, 0
+        for k in sorted(sizes):
+            begins[k], total = total, total + sizes[k]
+        ordered = staged.repartition(max(len(sizes), 1), "at").sortWithinPartitions("at", "part", "filename")
+
+        def ranges(mode: str, file: str):
+            def run(batches):
+                place, before, differ = 0, None, 0
+                with open(file, mode) as f:
+                    for rows in batches:
+                        for at, piece in zip(rows["at"], rows["piece"], strict=True):
+                            place, before = (begins[at] if at != before else place), at
+                            f.seek(place)
+                            if mode == "rb":
+                                differ += f.read(len(piece)) != piece
+                            else:
+                                f.write(piece)
+                            place += len(piece)
+                    if mode != "rb":
+                        f.flush()
+                        os.fsync(f.fileno())
+                yield pd.DataFrame({"n": [differ]})
+
+            return ordered.select("at", "piece").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+        if os.path.exists(path) and os.path.getsize(path) == total and not ranges("rb", path):
+            return False
+        with open(target, "wb") as f:
+            f.truncate(total)
+        ranges("r+b", target)
+        os.replace(target, path)
+        return True
+    finally:
+        shared.remove(spark, stage)
+        if os.path.exists(target):
+            os.remove(target)
 
 
 def export_crops(papers: DataFrame, folder: str) -> int:

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -72,6 +73,42 @@ def test_title_cascade(spark):
     }
 
 
+def test_cut_text_equals_the_folds_and_is_linear(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices(["a", "bc", " ", "  ", "\n", "\n\n", "\t", "\u3000", "é\U0001f600", "x" * 30, "\n\n\n"], k=rnd.randint(0, 80))) for _ in range(400)]
+    for text, got in zip(texts, column(spark, texts, lambda c: chunking.chunks(c, 40)), strict=True):
+        assert list(chunking.cut_text(text, 40)) == got, text
+    table = chunking.chunk_table(spark.createDataFrame(list(enumerate(texts)), "filename int, text string"), most=40, limit=None)
+    assert "BatchEvalPythonUDTF" in table._jdf.queryExecution().executedPlan().toString() or "ArrowEvalPythonUDTF" in table._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in table.orderBy("filename", "idx").collect():
+        found.setdefault(r.filename, []).append(r.chunk)
+    assert found == {i: list(chunking.cut_text(t, 40)) for i, t in enumerate(texts) if list(chunking.cut_text(t, 40))}
+    began = time.time()
+    long = list(chunking.cut_text("word " * 4_000_000, 12_000))
+    assert len(long) == 1667 and sum(map(len, long)) == 4_000_000 * 5 - 1667 and time.time() - began < 5
+
+
+def test_one_file_written_in_ranges(spark, tmp_path):
+    """Pieces of many tasks at their places; equal bytes leave the file alone, others replace it."""
+    pieces = [(p, f"f{k:04d}", f"{p}-{k} é\U0001f600\n" * (k % 5)) for p in range(3) for k in range(400)]
+    rows = list(pieces)
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "part int, filename string, piece string").repartition(7)
+    want = "".join(t for _, _, t in sorted(pieces)).encode()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sinks.write_pieces(df, str(tmp_path), "all.md") and (tmp_path / "all.md").read_bytes() == want
+        before = (tmp_path / "all.md").stat().st_mtime_ns
+        assert not sinks.write_pieces(df, str(tmp_path), "all.md") and (tmp_path / "all.md").stat().st_mtime_ns == before
+        same_size = df.withColumn("piece", F.when(F.col("filename") == "f0399", F.replace("piece", F.lit("2-"), F.lit("9-"))).otherwise(F.col("piece")))
+        assert sinks.write_pieces(same_size, str(tmp_path), "all.md") and (tmp_path / "all.md").read_bytes() == want.replace(b"2-399", b"9-399")
+        assert sinks.write_pieces(df.limit(0), str(tmp_path), "all.md") and (tmp_path / "all.md").read_bytes() == b""
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [p.name for p in tmp_path.iterdir()] == ["all.md"]
+
+
 def test_chunks(spark):
     rnd = random.Random(1)
     texts = ["", "hello world", "x" * 205, "word " * 90, "\n\n".join("p" * rnd.randint(1, 90) for _ in range(40)), " " * 300, "a " + "b" * 300 + "\n\nc", "é " * 200]
