@@ -11,9 +11,9 @@ from leafmill.sources.files import BINARY, basename
 
 
 def new_files(spark: SparkSession, folder: str, glob: str = "*.pdf", per_batch: int = 1000) -> DataFrame:
-    """A streaming table path, filename, content, hash."""
+    """A streaming table path, filename, content, hash, modificationTime."""
     found = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(folder)
-    return found.select("path", basename(F.col("path")).alias("filename"), "content", F.sha2("content", 256).alias("hash"))
+    return found.select("path", basename(F.col("path")).alias("filename"), "content", F.sha2("content", 256).alias("hash"), "modificationTime")
 
 
 def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
