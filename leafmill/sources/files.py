@@ -38,9 +38,14 @@ def pdf_files(spark: SparkSession, folder: str, only: str | None = None) -> Data
     return files(spark, folder, "*.pdf", only).withColumn("hash", content_hash(F.col("content")))
 
 
+def folded(text: Column) -> Column:
+    """Without case, as Unicode folds it: sharp s and ligatures are what they are in capitals, both small sigmas are one."""
+    return F.lower(F.replace(F.upper(text), F.lit("Σ"), F.lit("σ")))
+
+
 def selected(names: DataFrame, wanted: str, column: str = "filename") -> DataFrame:
     """Rows whose name or stem is `wanted`; only if there is none, whose stem contains it; case set aside."""
-    key, name = F.lower(F.lit(wanted)), F.lower(F.col(column))
+    key, name = folded(F.lit(wanted)), folded(F.col(column))
     tier = F.when((name == key) | (S.stem(name) == key), 1).when(S.stem(name).contains(key), 2)
     ranked = names.withColumn("__tier", tier).where(F.col("__tier").isNotNull())
     best = ranked.agg(F.min("__tier").alias("__best"))

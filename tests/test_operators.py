@@ -73,6 +73,13 @@ def test_title_cascade(spark):
     }
 
 
+def test_names_meet_without_case(spark):
+    words = ["Straße.pdf", "ﬁrst.pdf", "ΛΟΓΟΣ.pdf", "λόγος.pdf", "İx.pdf", "ABC.PDF", "ŉ.pdf", "ǰ.pdf"]
+    assert column(spark, words, files.folded) == [w.casefold() for w in words]
+    names = spark.createDataFrame([(w,) for w in words], "filename string")
+    assert [r[0] for r in files.selected(names, "STRASSE").collect()] == ["Straße.pdf"] and [r[0] for r in files.selected(names, "First").collect()] == ["ﬁrst.pdf"]
+
+
 def test_cut_text_equals_the_folds_and_is_linear(spark):
     rnd = random.Random(6)
     texts = ["".join(rnd.choices(["a", "bc", " ", "  ", "\n", "\n\n", "\t", "\u3000", "é\U0001f600", "x" * 30, "\n\n\n"], k=rnd.randint(0, 80))) for _ in range(400)]
