@@ -5,7 +5,8 @@ words, common words between them skipped. Where common words are rare (lists, ta
 content word with GAP content words right after it is an anchor too. A text's fingerprint
 is its sorted set of signatures, eight hex digits each. A text with no such chain takes
 each word as an anchor with the words that follow (fewer near the end), so any text with
-a word has a signature. Two fingerprints are compared by Jaccard, pruned by the ratio of set sizes.
+a word has a signature. Two fingerprints are compared by Jaccard; near_pairs() finds all alike
+ones of a table by partitions of set length, and computes Jaccard only where lengths allow it.
 
 Null text is the empty text; the empty text has the empty fingerprint, which is like
 another empty one (1) and unlike all others (0). Rows that repeat a doc_id are put in
