@@ -30,26 +30,66 @@ def near(a: str, b: str, gap: float = GAP) -> Column:
     return (x(a, "x1") + gap >= x(b, "x0")) & (x(b, "x1") + gap >= x(a, "x0")) & (x(a, "y1") + gap >= x(b, "y0")) & (x(b, "y1") + gap >= x(a, "y0"))
 
 
+#: Rows of the grid that a box may cover to be put into it; higher boxes wait for the exact pass.
+MOST_ROWS = 256
+
+
+def _sharing(boxes: np.ndarray, side: float) -> np.ndarray:
+    """Bounding boxes of those that share a cell of a grid, again and again, until none do."""
+    while len(boxes) > 1:
+        low, high = np.floor(boxes[:, :2] / side).astype(np.int64), np.floor(boxes[:, 2:] / side).astype(np.int64)
+        fit = (high >= low).all(axis=1) & (high[:, 1] - low[:, 1] < MOST_ROWS)
+        own = np.nonzero(fit)[0]
+        if len(own) < 2:
+            return boxes
+        # A row of the grid after the other, boxes by their first column: a run ends where none of it reaches the next.
+        count = high[own, 1] - low[own, 1] + 1
+        box = np.repeat(own, count)
+        row = low[box, 1] + np.arange(len(box)) - np.repeat(np.cumsum(count) - count, count)
+        row, left = row - row.min(), low[:, 0] - low[own, 0].min()
+        wide = int((high[own, 0] - low[own, 0].min()).max()) + 2
+        order = np.argsort(row * wide + left[box], kind="stable")
+        box, row = box[order], row[order]
+        reach = np.maximum.accumulate(row * wide + left[box] + high[box, 0] - low[box, 0])
+        begins = np.concatenate([[0], np.nonzero((row * wide + left[box])[1:] > reach[:-1])[0] + 1])
+        run = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(box)))
+        label = np.arange(len(boxes))
+        while True:
+            least = np.minimum.reduceat(label[box], begins)
+            new = label.copy()
+            np.minimum.at(new, box, least[run])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        names, part = np.unique(label, return_inverse=True)
+        if len(names) == len(boxes):
+            return boxes
+        out = np.concatenate([np.full((len(names), 2), np.inf), np.full((len(names), 2), -np.inf)], axis=1)
+        np.minimum.at(out[:, :2], part, boxes[:, :2])
+        np.maximum.at(out[:, 2:], part, boxes[:, 2:])
+        boxes = out
+    return boxes
+
+
 def grown(boxes: np.ndarray, gap: float = GAP) -> np.ndarray:
     """Bounding boxes that no longer reach each other.
 
     A box takes in whatever it reaches, finished boxes too, until nothing is left to
-    reach; the resulting set doesn't depend on the order.
+    reach; the resulting set doesn't depend on the order. Boxes that share a cell as wide
+    as the gap reach each other, so a grid joins the many of a crowded page first; at most
+    a box a cell is left for the exact pass.
     """
-    waiting = list(map(tuple, boxes))
-    done = np.zeros((0, 4))
-    while waiting:
-        box = np.array(waiting.pop())
+    waiting, done = _sharing(np.asarray(boxes, float).reshape(-1, 4), gap) if gap > 0 else np.asarray(boxes, float).reshape(-1, 4), np.zeros((0, 4))
+    while len(waiting):
+        box, waiting = waiting[-1], waiting[:-1]
         while True:
-            pool = np.concatenate([done, np.array(waiting).reshape(-1, 4)])
-            hit = (box[2] + gap >= pool[:, 0]) & (pool[:, 2] + gap >= box[0]) & (box[3] + gap >= pool[:, 1]) & (pool[:, 3] + gap >= box[1])
-            if not hit.any():
+            hits = [(box[2] + gap >= pool[:, 0]) & (pool[:, 2] + gap >= box[0]) & (box[3] + gap >= pool[:, 1]) & (pool[:, 3] + gap >= box[1]) for pool in (done, waiting)]
+            if not (hits[0].any() or hits[1].any()):
                 break
-            taken = np.concatenate([pool[hit], box[None]])
+            taken = np.concatenate([done[hits[0]], waiting[hits[1]], box[None]])
             box = np.concatenate([taken[:, :2].min(axis=0), taken[:, 2:].max(axis=0)])
-            n = len(done)
-            done = done[~hit[:n]]
-            waiting = [w for w, h in zip(waiting, hit[n:], strict=True) if not h]
+            done, waiting = done[~hits[0]], waiting[~hits[1]]
         done = np.concatenate([done, box[None]])
     return done
 

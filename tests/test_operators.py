@@ -154,6 +154,22 @@ def test_boxes_grow_together():
     assert len(layout.grown(np.array([[0, 0, 1, 1], [16, 0, 17, 1]]))) == 1 and len(layout.grown(np.array([[0, 0, 1, 1], [16.1, 0, 17, 1]]))) == 2
 
 
+def test_boxes_of_a_crowded_page_and_odd_ones():
+    rng = np.random.default_rng(3)
+    for k in range(150):
+        scale = rng.choice([300, 2000, 100_000])
+        corner, size = rng.uniform(-scale / 3, scale, (rng.integers(1, 16), 2)), rng.exponential(rng.choice([5, 30, 4000]), (1, 2))
+        if k % 3 == 0:
+            corner, size = np.round(corner / 15) * 15, np.round(size / 15) * 15
+        boxes = np.concatenate([corner, corner + size], axis=1)
+        assert sorted(map(tuple, layout.grown(boxes))) == grown_slowly(boxes)
+    corner = rng.uniform(0, 600, (50_000, 2))
+    apart = np.array([[900.0, 0, 910, 10]])
+    began = time.time()
+    got = layout.grown(np.concatenate([corner, corner + rng.uniform(0, 3, corner.shape)], axis=1).tolist() + apart.tolist())
+    assert len(got) == 2 and time.time() - began < 5
+
+
 def page(spark, prims, blocks):
     return spark.createDataFrame([("d", 0, k, *map(float, b), 612.0, 792.0) for k, b in prims], PRIMS), spark.createDataFrame([("d", 0, i, *map(float, b), t) for i, (b, t) in enumerate(blocks)], BLOCKS)
 
