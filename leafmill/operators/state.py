@@ -102,7 +102,8 @@ def _commit(spark: SparkSession, folder: str, entry: Entry) -> None:
 
 def _write(rows: DataFrame, folder: str, segment: str) -> int:
     path = _path(folder, segment)
-    rows.select(*SEGMENT.names).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    # Small segments become a file for each folder that they touch, large ones as many as their size asks for.
+    rows.select(*SEGMENT.names).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
     return rows.sparkSession.read.schema(SEGMENT).parquet(path).count()
 
 
