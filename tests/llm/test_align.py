@@ -117,3 +117,17 @@ def test_tables_of_the_operator(spark, make, tmp_path):
     assert rows.count() == 3
     assert {(r.freq, r.docs) for r in dictionary.collect()} == {(3, 2), (2, 2)}
     assert all(r.best and r.links in (2, 3) and r.docs_bound == 2 for r in pairs.collect())
+
+
+def test_a_text_of_18_megabytes(tools):
+    """Its groups spell it, on both sides, in memory that its tokens take."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(50_000)]
+    text = " ".join(rnd.choices(words, k=2_800_000))
+    tool = align.Aligner(tools)
+    flat, ends = tool.joined(pa.array([text]))
+    sides = [g.split("|") for g in tool.groups.to_pylist()]
+    for side, spell in enumerate((tools.a_bytes, tools.b_bytes)):
+        spoken = [b"".join(spell[int(i)] for i in s[side].split(",")) for s in sides]
+        assert b"".join([spoken[i] for i in flat.tolist()]) == (" " + text).encode()
+    assert ends.tolist() == [len(flat)]

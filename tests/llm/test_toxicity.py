@@ -132,3 +132,18 @@ def test_other_columns_pass(spark, make):
     got = tox.tagged(docs, model)
     assert got.columns == [*docs.columns, "score", "spans"]
     assert {r.halo for r in got.collect()} == {"h"}
+
+
+def test_a_text_of_18_megabytes():
+    """Only the places of the offending words are told, however far apart they are."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(50_000)]
+    own = rnd.choices(words, k=2_800_000)
+    for k in (0, 1_400_000, 2_799_999):
+        own[k] = "grotbag"
+    field = tox.Field(np.zeros(tox.BUCKETS), np.array([-3.0, 0.0, 0.0, -3.0]))
+    field.weights[0] = -4.0
+    field.weights[tox.forms(["grotbag"])[0, 0]] = 20.0
+    _, bounds, coded = tox.tokens_of(pa.array([" ".join(own)]))
+    p = tox.Tagger(field).marginals(bounds, coded)
+    assert np.nonzero(p >= 0.5)[0].tolist() == [0, 1_400_000, 2_799_999]
