@@ -143,7 +143,8 @@ def test_a_text_of_18_megabytes():
         own[k] = "grotbag"
     field = tox.Field(np.zeros(tox.BUCKETS), np.array([-3.0, 0.0, 0.0, -3.0]))
     field.weights[0] = -4.0
-    field.weights[tox.forms(["grotbag"])[0, 0]] = 20.0
+    field.weights[tox.forms(["grotbag"])[0]] = 4.0
+    field.weights[0] = -4.0
     _, bounds, coded = tox.tokens_of(pa.array([" ".join(own)]))
     p = tox.Tagger(field).marginals(bounds, coded)
     assert np.nonzero(p >= 0.5)[0].tolist() == [0, 1_400_000, 2_799_999]
