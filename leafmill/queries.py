@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import strings as S
 from leafmill.operators import chunking, layout, model, render, state, titles, weave
 from leafmill.schemas import FIGURES, STATE
-from leafmill.sources import files, shared, sinks
+from leafmill.sources import files, packs, pages, shared, sinks
 from leafmill.streaming.incremental import windowed_counts
 
 QUERIES: dict = {}
@@ -317,6 +317,18 @@ def write_if_changed(spark, sf):
     return sinks.changed(docs, old).select("filename", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
+@query("""SELECT 'd' || doc_id || '.txt' AS filename, CAST(p AS INT) AS page, md5(substr(text, p * 1000 + 1, 1000)) AS page_md5
+FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS p FROM documents WHERE text IS NOT NULL)""")
+def page_ranges(spark, sf):
+    """All documents as files, by the sink with a commit, and read again by pages; long files by several tasks."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.format_string("d%d.txt", "doc_id").alias("filename"), F.col("text").alias("content"))
+    folder = shared.shared_dir(spark)
+    packs.stage(docs, folder)
+    packs.publish(spark, folder)
+    found = pages.pages(spark, folder, ("filename", "page", "text"), pages.Characters, glob="*.txt", splitBytes=1 << 20)
+    return found.select("filename", "page", F.md5(F.col("text").cast("binary")).alias("page_md5"))
+
+
 # ---- layout -----------------------------------------------------------------------------
 
 PRIMS = """SELECT CAST(CAST(floor(l_orderkey / 20) AS BIGINT) AS {s}) AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, CASE WHEN l_suppkey % 2 = 0 THEN 'raster' ELSE 'vector' END AS kind,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.sources import files, shared
+from leafmill.sources import files, packs, shared
 
 
 def changed(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -23,25 +23,18 @@ def changed(new: DataFrame, old: DataFrame) -> DataFrame:
 def write_if_changed(new: DataFrame, folder: str, parts: tuple[str, ...] = ("", "raw/")) -> DataFrame:
     """filename of each file of `new` that the folder, which all executors share, doesn't hold as it is; those are written.
 
-    Markdown in the folder's `parts` is compared; names elsewhere count as new. A file is
-    put in place whole, so a repeated task does no harm.
+    Markdown in the folder's `parts` is compared; names elsewhere count as new. Files are
+    put in place whole after all of them are computed and committed; what an earlier run that was broken
+    off has committed goes there first.
     """
-
-    def put(batches):
-        for rows in batches:
-            for name, content in zip(rows["filename"], rows["content"], strict=True):
-                path = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.{uuid.uuid4().hex}.part", "wb") as f:
-                    f.write(content.encode())
-                os.replace(f.name, path)
-            yield rows[["filename"]]
-
+    packs.publish(new.sparkSession, folder)
+    packs.sweep(folder)
     there = new.sparkSession.createDataFrame([], "filename string, content binary")
     for part in parts:
         if files.there(new.sparkSession, f"{folder}/{part}"):
             there = there.union(files.files(new.sparkSession, f"{folder}/{part}", "*.md").select(F.concat(F.lit(part), "filename"), "content"))
-    return changed(new.select("filename", "content"), there).mapInPandas(put, "filename string")
+    packs.stage(changed(new.select("filename", "content"), there), folder)
+    return packs.publish(new.sparkSession, folder)
 
 
 def write_pieces(pieces: DataFrame, folder: str, name: str) -> bool:
