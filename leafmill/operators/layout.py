@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,35 +96,120 @@ def grown(boxes: np.ndarray, gap: float = GAP) -> np.ndarray:
     return done
 
 
-def clustered(boxes: DataFrame, gap: float = GAP) -> DataFrame:
-    """Clusters of the boxes of each page (doc_id, page, page_w, page_h).
+#: Boxes of a page from which it is grown by itself, and pairs of boxes that are compared at a time.
+CROWDED, PAIRS = 64, 1 << 20
+
+
+def _joined(page: np.ndarray, boxes: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes of many small pages, ordered by page, each page's grown together until none reaches another.
+
+    All pages take a turn at once: components of boxes that reach each other become their bounds;
+    pages where nothing was joined are done.
+    """
+    done = [(page[:0], boxes[:, :0])]
+    while len(page):
+        begins = np.nonzero(np.diff(page, prepend=page[0] - 1))[0]
+        count = np.diff(begins, append=len(page))
+        after = np.repeat(begins + count, count) - np.arange(len(page)) - 1
+        a = np.repeat(np.arange(len(page)), after)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after) + a + 1
+        x0, y0, x1, y1 = boxes
+        met = (x1[a] + gap >= x0[b]) & (x1[b] + gap >= x0[a])
+        a, b = a[met], b[met]
+        met = (y1[a] + gap >= y0[b]) & (y1[b] + gap >= y0[a])
+        a, b = a[met], b[met]
+        label = np.arange(len(page))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.zeros(len(begins), bool)
+        moved[np.searchsorted(begins, a, "right") - 1] = True
+        still = np.repeat(~moved, count)
+        done.append((page[still], boxes[:, still]))
+        order = np.argsort(label[~still], kind="stable")
+        rest, names = np.nonzero(~still)[0][order], label[~still][order]
+        if not len(rest):
+            break
+        first = np.nonzero(np.diff(names, prepend=-1))[0]
+        page, boxes = page[names[first]], np.concatenate([np.minimum.reduceat(boxes[:2, rest], first, axis=1), np.maximum.reduceat(boxes[2:, rest], first, axis=1)])
+    page, boxes = np.concatenate([p for p, _ in done]), np.concatenate([x for _, x in done], axis=1)
+    order = np.argsort(page, kind="stable")
+    return page[order], boxes[:, order]
+
+
+def grown_pages(counts: np.ndarray, boxes: np.ndarray, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Of pages with so many boxes each, one after another (4 rows of corners): how many clusters each has, and their corners."""
+    ends, found, out = np.cumsum(counts), np.zeros(len(counts), np.int64), []
+    pairs, at = np.cumsum(np.where(counts < CROWDED, counts * (counts - 1) // 2 + counts, 0)), 0
+    while at < len(counts):
+        if counts[at] >= CROWDED:
+            own = grown(boxes[:, ends[at] - counts[at] : ends[at]].T, gap).T
+            found[at], at = own.shape[1], at + 1
+        else:
+            to = max(at + 1, int(np.searchsorted(pairs, pairs[at] + PAIRS)))
+            crowded = np.nonzero(counts[at:to] >= CROWDED)[0]
+            to = at + int(crowded[0]) if len(crowded) else to
+            page, own = _joined(np.repeat(np.arange(at, to), counts[at:to]), boxes[:, ends[at] - counts[at] : ends[to - 1]], gap)
+            found[at:to], at = np.bincount(page - at, minlength=to - at) if len(page) else 0, to
+        out.append(own)
+    return found, np.concatenate(out, axis=1) if out else np.zeros((4, 0))
+
+
+def clustered(boxes: DataFrame, gap: float = GAP, first: Column | None = None) -> DataFrame:
+    """Clusters of the boxes of each page (doc_id, page, page_w, page_h); where `first` holds, boxes are clustered among themselves before.
 
     A page is one array, so a batch of Arrow rows holds many pages and a long document
-    isn't one task's.
+    isn't one task's. Rows are dealt out before they are listed, as lists don't get smaller by a
+    first listing where the rows are.
     """
     kinds, corners = dict(boxes.dtypes), ["x0", "y0", "x1", "y1"]
     keys = ["doc_id", "page", "page_w", "page_h"]
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", found array<array<double>>"
+    in_two = first is not None
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + ", ".join(f"{k} double" for k in corners)
 
     def run(batches):
         for rows in batches:
-            found = [grown(np.stack(list(b)).astype(float), gap).tolist() for b in rows["found"]]
-            yield rows.assign(found=found)
+            listed = rows.column("found")
+            page, flat = np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy()), listed.flatten()
+            own = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            if in_two:
+                early = flat.field(4).to_numpy(zero_copy_only=False)
+                counts, joined = grown_pages(np.bincount(page[early], minlength=len(listed)), own[:, early], gap)
+                page, own = np.concatenate([page[~early], np.repeat(np.arange(len(listed)), counts)]), np.concatenate([own[:, ~early], joined], axis=1)
+                order = np.argsort(page, kind="stable")
+                page, own = page[order], own[:, order]
+            counts, own = grown_pages(np.bincount(page, minlength=len(listed)), own, gap)
+            of = pa.array(np.repeat(np.arange(len(listed)), counts))
+            yield pa.RecordBatch.from_arrays([rows.column(k).take(of) for k in keys] + [pa.array(x) for x in own], keys + corners)
 
-    listed = boxes.groupBy(*keys).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in corners])).alias("found"))
-    rows = listed.select(*keys, "found").mapInPandas(run, schema).select(*keys, F.explode("found").alias("box"))
-    return rows.select(*keys, *[F.col("box")[i].alias(c) for i, c in enumerate(corners)])
+    values = [F.col(c).cast("double").alias(c) for c in corners] + ([first.alias("first")] if in_two else [])
+    dealt = boxes.select(*keys, F.struct(*values).alias("box")).repartition("doc_id", "page")
+    return dealt.groupBy(*keys).agg(F.collect_list("box").alias("found")).mapInArrow(run, schema)
 
 
-def raster_regions(prims: DataFrame) -> DataFrame:
-    return prims.where((F.col("kind") == "raster") & share().between(MIN_RASTER, MAX_REGION))
+def is_raster_region() -> Column:
+    return (F.col("kind") == "raster") & share().between(MIN_RASTER, MAX_REGION)
 
 
-def vector_boxes(prims: DataFrame) -> DataFrame:
+def is_vector_box() -> Column:
     """Drawings without rules, backgrounds, page frames and specks."""
     frame = (F.col("x0") <= FRAME) & (F.col("y0") <= FRAME) & (F.col("x1") >= F.col("page_w") - FRAME) & (F.col("y1") >= F.col("page_h") - FRAME)
     solid = (F.col("x1") - F.col("x0") >= THIN) & (F.col("y1") - F.col("y0") >= THIN)
-    return prims.where((F.col("kind") == "vector") & solid & share().between(MIN_RASTER, MAX_REGION) & ~frame)
+    return (F.col("kind") == "vector") & solid & share().between(MIN_RASTER, MAX_REGION) & ~frame
+
+
+def raster_regions(prims: DataFrame) -> DataFrame:
+    return prims.where(is_raster_region())
+
+
+def vector_boxes(prims: DataFrame) -> DataFrame:
+    return prims.where(is_vector_box())
 
 
 def with_captions(regions: DataFrame, blocks: DataFrame) -> DataFrame:
