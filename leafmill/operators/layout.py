@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
+from leafmill.functions.arrays import bound
 
 #: Shares of the page's area, and lengths in points.
 MIN_RASTER, MAX_REGION, MIN_FIGURE = 0.01, 0.85, 0.04
@@ -215,16 +216,16 @@ def vector_boxes(prims: DataFrame) -> DataFrame:
 def with_captions(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """label and caption of the nearest caption block on the page, null where there is none near.
 
-    regions need a `region` number that is theirs alone on their page.
+    Regions of a page with one `region` number share the caption nearest to any of them.
     """
-    text = S.py_strip(S.collapse(F.col("text")))
-    lines = blocks.select("doc_id", "page", "ord", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], text.alias("caption")).where(F.col("caption").rlike(CAPTION))
-    lines = lines.withColumn("label", S.py_rstrip(F.regexp_extract("caption", CAPTION, 0)))
+    # White space is single blanks by then, so a trim strips it, and a label ends with its word.
+    told = bound(F.trim(S.collapse(F.col("text"))), lambda c: F.struct(c.alias("caption"), F.regexp_extract(c, CAPTION, 0).alias("label")))
+    lines = blocks.select("doc_id", "page", "ord", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(F.filter(F.array(told), lambda x: x["label"] != "")).alias("told"))
     gap = F.greatest(F.lit(0.0), F.col("y0") - F.col("by1"), F.col("by0") - F.col("y1"))
     near_by = (gap <= CAPTION_GAP) & (F.col("bx1") >= F.col("x0") - CAPTION_SLACK) & (F.col("bx0") <= F.col("x1") + CAPTION_SLACK)
     score = gap + F.when(F.col("by1") <= F.col("y0") + CAPTION_SLACK, ABOVE).otherwise(0.0)
     met = regions.select("doc_id", "page", "region", "x0", "y0", "x1", "y1").join(lines, ["doc_id", "page"]).where(near_by)
-    best = met.groupBy("doc_id", "page", "region").agg(F.min_by(F.struct("label", "caption"), F.struct(score.alias("score"), "ord")).alias("best"))
+    best = met.groupBy("doc_id", "page", "region").agg(F.min_by("told", F.struct(score.alias("score"), "ord")).alias("best"))
     return regions.join(best, ["doc_id", "page", "region"], "left").select(*regions.columns, F.col("best.label").alias("label"), F.col("best.caption").alias("caption"))
 
 
@@ -244,10 +245,9 @@ def figures(prims: DataFrame, blocks: DataFrame, max_pages: int | None = None, m
     prims = prims.where(F.abs(F.col("page_w") * F.col("page_h")) > 0)
     if max_pages is not None:
         prims = prims.where(F.col("page") < max_pages)
-    keys = ["doc_id", "page", "page_w", "page_h"]
-    boxes = raster_regions(prims).select(*keys, "x0", "y0", "x1", "y1").unionByName(clustered(vector_boxes(prims)))
+    boxes = prims.where(is_raster_region() | is_vector_box())
     on_page = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "y1", "x1")
-    regions = clustered(boxes).withColumn("region", F.row_number().over(on_page))
+    regions = clustered(boxes, first=F.col("kind") == "vector").withColumn("region", F.row_number().over(on_page))
     kept = largest(merged_by_caption(with_captions(regions, blocks)), max_figures)
     in_doc = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "fig_idx")
     rect = F.struct("x0", "y0", "x1", "y1").alias("rect")
