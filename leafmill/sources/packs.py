@@ -63,6 +63,53 @@ def held(fs: pafs.FileSystem, path: str, size: int) -> bytes | None:
         return f.read()
 
 
+class LocalPlace:
+    """Places files on a local disk: each is written in a folder of the task's own and linked to its name.
+
+    A folder is locked for each name that is looked up, made or moved in it, so tasks that share
+    one wait for each other; a link is one step there, and tells whether the name is taken.
+    """
+
+    def __init__(self, fs: pafs.FileSystem, own: str):
+        self.fs, self.waiting = fs, f"{own}/{uuid.uuid4().hex}"
+        os.makedirs(own, exist_ok=True)
+
+    def __call__(self, path: str, data: bytes) -> bool:
+        """Whether the file is new or other than before."""
+        with open(self.waiting, "wb") as f:
+            f.write(data)
+        try:
+            for _ in range(2):
+                try:
+                    os.link(self.waiting, path)
+                    return True
+                except FileNotFoundError:
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                except OSError:  # the name is taken, or there are no links here
+                    break
+            if held(self.fs, path, len(data)) == data:
+                return False
+            os.replace(self.waiting, path)
+            return True
+        finally:
+            if os.path.lexists(self.waiting):
+                os.remove(self.waiting)
+
+
+class StorePlace:
+    """Places files in a store, where a finished upload appears as a whole."""
+
+    def __init__(self, fs: pafs.FileSystem):
+        self.fs = fs
+
+    def __call__(self, path: str, data: bytes) -> bool:
+        if held(self.fs, path, len(data)) == data:
+            return False
+        self.fs.create_dir(os.path.dirname(path), recursive=True)
+        put(self.fs, path, data)
+        return True
+
+
 @dataclass
 class Packed(WriterCommitMessage):
     pack: str | None
@@ -151,17 +198,15 @@ def publish(spark: SparkSession, folder: str) -> DataFrame:
     told_of = f"{shared_dir(spark)}/published"
     spark.createDataFrame([], "filename string").write.parquet(told_of)
 
-    def place(batches):
-        own, base = store(folder)
-        for batch in batches:
-            put_here = []
-            for name, content in zip(batch.column("filename").to_pylist(), batch.column("content"), strict=True):
-                path, data = f"{base}/{name}", content.as_py()
-                if held(own, path, len(data)) != data:
-                    own.create_dir(os.path.dirname(path), recursive=True)
-                    put(own, path, data)
-                    put_here.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(put_here, pa.string())], ["filename"])
+    def placing(job: str):
+        def place(batches):
+            own, base = store(folder)
+            to = LocalPlace(own, f"{base}/{PACKS}/{job}/placing") if isinstance(own, pafs.LocalFileSystem) else StorePlace(own)
+            for batch in batches:
+                put_here = [name for name, content in zip(batch.column("filename").to_pylist(), batch.column("content"), strict=True) if to(f"{base}/{name}", content.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(put_here, pa.string())], ["filename"])
+
+        return place
 
     for path in manifests(fs, root):
         with fs.open_input_stream(path) as f:
@@ -173,7 +218,7 @@ def publish(spark: SparkSession, folder: str) -> DataFrame:
         if not again.isEmpty():
             twice = rows.join(again, "filename", "left_semi").groupBy("filename").agg(F.max("content").alias("content"))
             rows = rows.join(again, "filename", "left_anti").union(twice)
-        rows.mapInArrow(place, "filename string").write.mode("append").parquet(told_of)
+        rows.mapInArrow(placing(told["job"]), "filename string").write.mode("append").parquet(told_of)
         fs.delete_file(path)
         fs.delete_dir(f"{root}/{PACKS}/{told['job']}")
     return spark.read.schema("filename string").parquet(told_of)

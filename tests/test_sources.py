@@ -140,3 +140,16 @@ def test_shares():
     made = pages.shares([("a", 3), ("b", 4), ("c", 5), ("d", 21), ("e", 0), ("f", 10)], 10)
     assert [s.files for s in made] == [[("a", 0, 1), ("b", 0, 1)], [("d", 0, 3)], [("d", 1, 3)], [("d", 2, 3)], [("c", 0, 1), ("e", 0, 1)], [("f", 0, 1)]]
     assert pages.shares([], 10) == []
+
+
+def test_a_file_is_looked_up_by_its_link(tmp_path, monkeypatch):
+    """A new file takes one step in the folder that tasks share; a known one is compared, a folder made where it lacks."""
+    looked = []
+    real = packs.held
+    monkeypatch.setattr(packs, "held", lambda fs, path, size: looked.append(path) or real(fs, path, size))
+    place = packs.LocalPlace(packs.store(str(tmp_path))[0], f"{tmp_path}/.own")
+    assert place(f"{tmp_path}/a", b"1") and place(f"{tmp_path}/deep/er/b", b"2") and looked == []
+    assert not place(f"{tmp_path}/a", b"1") and place(f"{tmp_path}/a", b"22") and place(f"{tmp_path}/deep/er/b", b"3")
+    assert seen(tmp_path) == {"a": b"22", "deep/er/b": b"3"} and not os.listdir(f"{tmp_path}/.own")
+    monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(PermissionError("no links here")))
+    assert place(f"{tmp_path}/c", b"4") and not place(f"{tmp_path}/c", b"4") and seen(tmp_path)["c"] == b"4"
