@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,10 +110,24 @@ def strip_boilerplate(c: Column) -> Column:
     return clean_text(F.regexp_replace(F.array_join(content_lines(c), "\n"), r"(?U)(?<![^\n])(?:[^\S\n]|\x1f)++(?![^\n])", ""))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+#: Bytes of texts that are Python strings at a time; the others of a batch stay Arrow's.
+SLICE_BYTES = 1 << 20
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
     """Compatibility composition; ASCII texts are returned as they are."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
+    out = []
+    for at in range(0, len(texts), step):
+        own = texts.slice(at, step)
+        if not pc.all(pc.string_is_ascii(own)).as_py():  # nulls are passed over
+            own = pa.array((t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in own.to_pylist()), texts.type)
+        out.append(own)
+    folded = pa.concat_arrays(out) if out else texts
+    del out
+    pa.default_memory_pool().release_unused()  # or a worker keeps what its largest batch took
+    return folded
 
 
 def clean_pdf_text(c: Column) -> Column:
