@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
-from leafmill.functions.arrays import bound, sums_before
 
 from .model import NO_VISION
 from .weave import extra_caption, figure_label, woven
@@ -78,33 +77,30 @@ def raw_document(crops: Column | None = None) -> Column:
     return F.concat(head, S.py_strip(woven(F.coalesce("text", F.lit("")), F.col("figures"), block)), F.lit("\n"))
 
 
-def bump_headings(md: Column, levels: int = 1) -> Column:
-    """Headings of levels 1 to 5 sink by `levels`; lines between fences stay."""
+#: Line ends, for sets of characters.
+ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
-    def sunk(lines: Column) -> Column:
-        fences = F.transform(lines, lambda x: x.rlike(rf"(?U)\A{S.WS}*+(?:```|~~~)").cast("int"))
-        heading = lambda x: x.rlike(r"(?U)\A#{1,5}\s")  # noqa: E731  a fence is none
-        return bound(sums_before(fences), lambda before: F.transform(lines, lambda x, i: F.when((F.get(before, i) % 2 == 0) & heading(x), F.concat(F.lit("#" * levels), x)).otherwise(x)))
 
-    body = F.array_join(bound(S.py_splitlines(md), sunk), "\n")
-    return F.when(F.endswith(md, F.lit("\n")), F.concat(body, F.lit("\n"))).otherwise(body)
+def bump_headings(md: Column, levels: int = 1) -> Column:
+    """Headings of levels 1 to 5 sink by `levels`; lines between fences stay."""
+    # Parts begin with a fence each, so every other one is inside; the line end in front makes the first line as the others.
+    lined = F.concat(F.lit("\n"), F.regexp_replace(md, rf"\r\n|[{ENDS}&&[^\n]]", "\n"))
+    parts = F.split(lined, r"(?U)(?<=\n)(?=[\s\x1f&&[^\n]]*+(?:```|~~~))", -1)
+    sunk = F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"(?U)(?<=\n)(?=#{1,5}[\s&&[^\n]])", "#" * levels)).otherwise(x))
+    body = F.substring(F.array_join(sunk, ""), F.lit(2), F.length(md) * (levels + 1) + 1)
+    return F.when(F.endswith(md, F.lit("\n")), body).otherwise(F.regexp_replace(body, r"\n\z", ""))
 
 
 def extract_h1(md: Column) -> Column:
-    first = F.get(F.filter(S.py_splitlines(md), lambda x: x.rlike(r"(?U)\A#\s+.*\S")), 0)
+    first = F.regexp_extract(md, rf"(?U)#(?<![^{ENDS}]#)[\s&&[^{ENDS}]]+[^{ENDS}]*[\S&&[^{ENDS}]][^{ENDS}]*", 0)
     return S.found(F.regexp_extract(first, r"(?U)\A#\s+(.+?)\s*\z", 1))
 
 
 def first_tldr(md: Column) -> Column:
     """The first bullet under the first TL;DR heading, if the first line under it is a bullet."""
-    lines = F.transform(S.py_splitlines(md), S.py_strip)
-
-    def pick(own: Column) -> Column:
-        at = F.array_position(F.transform(own, lambda x: F.startswith(F.replace(F.lower(x), F.lit(";"), F.lit("")), F.lit("### tldr"))), True)
-        below = F.get(F.filter(F.slice(own, at.cast("int") + 1, F.size(own)), lambda x: x != ""), 0)
-        return F.when(at > 0, F.when(below.rlike(r"\A[*-] "), S.py_strip(F.replace(F.substring(below, F.lit(3), F.length(below)), F.lit("**"), F.lit("")))))
-
-    line = F.transform(F.array(lines), pick)[0]
+    head = ";*".join(["", "#", "#", "#", " ", "t", "l", "d", "r"])
+    below = S.py_strip(F.regexp_extract(md, rf"(?iU)(?<![^{ENDS}])[\s\x1f&&[^{ENDS}]]*+{head}[^{ENDS}]*+{S.WS}*+([^{ENDS}]*)", 1))
+    line = F.when(below.rlike(r"\A[*-] "), S.py_strip(F.replace(F.substring(below, F.lit(3), F.length(below)), F.lit("**"), F.lit(""))))
     space = TLDR_CUT - F.locate(" ", F.reverse(F.substring(line, 1, TLDR_CUT)))
     cut = F.when((space > 0) & (space < TLDR_CUT), space).otherwise(F.lit(TLDR_CUT))
     return F.when(F.length(line) > TLDR_CHARS, F.concat(F.substring(line, F.lit(1), cut), F.lit("…"))).otherwise(line)
