@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
+from leafmill.functions.arrays import bound
 
 from .model import NO_VISION
 from .weave import extra_caption, figure_label, woven
@@ -77,8 +78,8 @@ def raw_document(crops: Column | None = None) -> Column:
     return F.concat(head, S.py_strip(woven(F.coalesce("text", F.lit("")), F.col("figures"), block)), F.lit("\n"))
 
 
-#: Line ends, for sets of characters.
-ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: Line ends, for sets of characters; of a set that lists them one by one, Java's test of a character took some twenty times as long.
+ENDS = r"\v\x1c-\x1e"
 
 
 def bump_headings(md: Column, levels: int = 1) -> Column:
@@ -99,11 +100,18 @@ def extract_h1(md: Column) -> Column:
 def first_tldr(md: Column) -> Column:
     """The first bullet under the first TL;DR heading, if the first line under it is a bullet."""
     head = ";*".join(["", "#", "#", "#", " ", "t", "l", "d", "r"])
-    below = S.py_strip(F.regexp_extract(md, rf"(?iU)(?<![^{ENDS}])[\s\x1f&&[^{ENDS}]]*+{head}[^{ENDS}]*+{S.WS}*+([^{ENDS}]*)", 1))
-    line = F.when(below.rlike(r"\A[*-] "), S.py_strip(F.replace(F.substring(below, F.lit(3), F.length(below)), F.lit("**"), F.lit(""))))
-    space = TLDR_CUT - F.locate(" ", F.reverse(F.substring(line, 1, TLDR_CUT)))
-    cut = F.when((space > 0) & (space < TLDR_CUT), space).otherwise(F.lit(TLDR_CUT))
-    return F.when(F.length(line) > TLDR_CHARS, F.concat(F.substring(line, F.lit(1), cut), F.lit("…"))).otherwise(line)
+    bullet = rf"[*-] (?=[\s\x1f&&[^{ENDS}]]*+[^\s\x1c-\x1f])([^{ENDS}]*+)"
+    found = F.regexp_extract(F.concat(F.lit("\n"), md), rf"(?U)[{ENDS}][\s\x1f&&[^{ENDS}]]*+(?i:{head})[^{ENDS}]*+{S.WS}*+(?:{bullet})?+", 1)
+
+    def short(line: Column) -> Column:
+        # What is left of a line's end after TLDR_CHARS only tells whether there is more than white space.
+        space = TLDR_CUT - F.locate(" ", F.reverse(F.substring(line, 1, TLDR_CUT)))
+        cut = F.when((space > 0) & (space < TLDR_CUT), space).otherwise(F.lit(TLDR_CUT))
+        more = F.substring(line, F.lit(TLDR_CHARS + 1), F.length(line)).rlike(r"(?U)[^\s\x1c-\x1f]")
+        return F.when(more, F.concat(F.substring(line, F.lit(1), cut), F.lit("…"))).otherwise(S.py_rstrip(F.substring(line, 1, TLDR_CHARS)))
+
+    # A line may be the whole text, so each is made once.
+    return bound(found, lambda x: F.when(x != "", bound(S.py_lstrip(F.replace(x, F.lit("**"), F.lit(""))), short)))
 
 
 def document_title() -> Column:

@@ -23,3 +23,19 @@ def test_no_fold_over_lines():
     import inspect
 
     assert "py_splitlines" not in inspect.getsource(render.extract_h1) + inspect.getsource(render.first_tldr) + inspect.getsource(render.bump_headings)
+
+
+def test_bullet_is_found_in_one_pass(spark):
+    """Whatever is done with the bullet, the text is searched for it once; long lines and odd blanks end where Python's do."""
+    head, c = "x\n### TL;DR\x1e\x1f\n", F.col("content")
+    lines = ["* " + "a " * 69 + "b", "* " + "a " * 70 + "b", "* " + "é" * 140 + "**\x1f 　", "- " + "𝒳" * 141, "* ****", "*  ", "- \x1d* b", "* one\x1ctwo", "* " + "a" * 140 + " " * 9 + "b"]
+    docs = spark.createDataFrame([(i, head + x) for i, x in enumerate(lines)], "i int, content string").select("i", render.first_tldr(c).alias("t"))
+    assert [r.t for r in docs.orderBy("i").collect()] == ["a " * 69 + "b", "a " * 67 + "a…", "é" * 140, "𝒳" * 137 + "…", "", None, None, "one", "a" * 137 + "…"]
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_line_ends(spark):
+    """The set of line ends is Python's."""
+    every = [chr(i) for i in range(1, 0x3000)]
+    got = spark.createDataFrame([(x,) for x in every], "x string").where(F.col("x").rlike(rf"(?U)[{render.ENDS}]")).collect()
+    assert sorted(r.x for r in got) == [x for x in every if len(f"a{x}b".splitlines()) == 2]
