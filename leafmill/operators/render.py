@@ -142,9 +142,10 @@ def index_pieces(docs: DataFrame, raw: DataFrame) -> DataFrame:
     """Pieces of the index of docs(filename, content), with links to raw(filename)."""
     has_raw = raw.select("filename").distinct().withColumn("__raw", F.lit(True))
     link = F.when(F.col("__raw"), F.concat(F.lit(" ([raw](raw/"), F.col("filename"), F.lit("))")))
-    tldr = F.concat(F.lit(" — "), first_tldr(F.col("content")))
-    entry = F.concat(F.lit("- ["), document_title(), F.lit("]("), F.col("filename"), F.lit(")"), F.coalesce(link, F.lit("")), F.coalesce(tldr, F.lit("")))
-    return _pieces(docs.join(has_raw, "filename", "left"), "# Papers Index", (entry, "\n\n", "\n"), "\n")
+    # What a text gives is found where it is read, so that no text is shuffled for the links.
+    short = docs.select("filename", document_title().alias("__title"), F.concat(F.lit(" — "), first_tldr(F.col("content"))).alias("__tldr"))
+    entry = F.concat(F.lit("- ["), F.col("__title"), F.lit("]("), F.col("filename"), F.lit(")"), F.coalesce(link, F.lit("")), F.coalesce("__tldr", F.lit("")))
+    return _pieces(short.join(has_raw, "filename", "left"), "# Papers Index", (entry, "\n\n", "\n"), "\n")
 
 
 def combined_pieces(docs: DataFrame) -> DataFrame:

@@ -39,3 +39,17 @@ def test_line_ends(spark):
     every = [chr(i) for i in range(1, 0x3000)]
     got = spark.createDataFrame([(x,) for x in every], "x string").where(F.col("x").rlike(rf"(?U)[{render.ENDS}]")).collect()
     assert sorted(r.x for r in got) == [x for x in every if len(f"a{x}b".splitlines()) == 2]
+
+
+def test_index_joins_no_texts(spark):
+    """Links are joined to titles and bullets, not to the texts that these are from."""
+    docs = spark.createDataFrame([("a_b.md", "# T\n### TLDR\n- x"), ("c_d.md", None), ("e_f.md", "y")], "filename string, content string")
+    index = render.index_pieces(docs, spark.createDataFrame([("c_d.md",), ("c_d.md",)], "filename string"))
+
+    def joined(plan):
+        own = [plan.output().mkString(" ")] if plan.nodeName() == "Join" else []
+        return own + [x for i in range(plan.children().size()) for x in joined(plan.children().apply(i))]
+
+    carried = joined(index._jdf.queryExecution().optimizedPlan())
+    assert any("filename" in x for x in carried) and not any("content" in x for x in carried)
+    assert "".join(r.piece for r in index.orderBy("part", "filename").collect()) == "# Papers Index\n\n- [T](a_b.md) — x\n- [c d](c_d.md) ([raw](raw/c_d.md))\n- [e f](e_f.md)\n"
