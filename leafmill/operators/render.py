@@ -93,8 +93,8 @@ def bump_headings(md: Column, levels: int = 1) -> Column:
 
 
 def extract_h1(md: Column) -> Column:
-    first = F.regexp_extract(md, rf"(?U)#(?<![^{ENDS}]#)[\s&&[^{ENDS}]]+[^{ENDS}]*[\S&&[^{ENDS}]][^{ENDS}]*", 0)
-    return S.found(F.regexp_extract(first, r"(?U)\A#\s+(.+?)\s*\z", 1))
+    # No run of blanks is tried in more ways than one: neither behind the mark nor in the title or behind it.
+    return S.found(F.regexp_extract(md, rf"(?U)#(?<![^{ENDS}]#)[\s&&[^{ENDS}]]++([\S&&[^{ENDS}]](?:[^{ENDS}]*[\S&&[^{ENDS}]])?+)", 1))
 
 
 def first_tldr(md: Column) -> Column:

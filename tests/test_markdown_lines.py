@@ -1,5 +1,7 @@
 """Headings and bullets of texts with many lines, and with odd line ends."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import render
@@ -53,3 +55,14 @@ def test_index_joins_no_texts(spark):
     carried = joined(index._jdf.queryExecution().optimizedPlan())
     assert any("filename" in x for x in carried) and not any("content" in x for x in carried)
     assert "".join(r.piece for r in index.orderBy("part", "filename").collect()) == "# Papers Index\n\n- [T](a_b.md) — x\n- [c d](c_d.md) ([raw](raw/c_d.md))\n- [e f](e_f.md)\n"
+
+
+def test_titles_with_many_blanks(spark):
+    """Time is in proportion to the blanks behind a mark, in a title and behind it."""
+    blanks = " " * 60_000
+    rows = [(0, "#" + blanks + "\n# a"), (1, "# a" + blanks + "b" + blanks), (2, "#\t\x1f é \u2028# b"), (3, "# " + "\xa0" * 9), (4, "#")]
+    docs = spark.createDataFrame(rows, "i int, content string")
+    began = time.monotonic()
+    got = docs.select("i", render.extract_h1(F.col("content")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["a", "a" + blanks + "b", "\x1f é", None, None]
+    assert time.monotonic() - began < 30
